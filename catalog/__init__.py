@@ -6,7 +6,7 @@ independently of the Spark code.
 
 from catalog.registry import ORACLES, QUERIES
 from catalog import (  # noqa: F401  (importing registers)
-    joining, quality, rows, scalars, totals, warehouse, windowing,
+    files, joining, quality, rows, scalars, totals, upkeep, warehouse, windowing,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
