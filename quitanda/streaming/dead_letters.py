@@ -32,11 +32,12 @@ def route_messages(messages: DataFrame, ddl: str = SALE_MESSAGE, required=SALE_M
 def route_dead_letters(ok: str, retry: str, dlq: str, **how) -> Callable[[DataFrame, int], None]:
     """foreachBatch handler writing each route to its own folder."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        routed = route_messages(batch, **how)
+        routed = route_messages(batch, **how).persist()
         keyed_by_batch(routed.where("rota = 'ok'").select("mensagem.*"), batch_id, ok)
         left = routed.select(F.col(how.get("value", "value")), how.get("attempts", "tentativas"), "erros", "rota")
         keyed_by_batch(left.where("rota = 'repetir'").drop("rota"), batch_id, retry)
         keyed_by_batch(left.where("rota = 'dlq'").drop("rota"), batch_id, dlq)
+        routed.unpersist()
 
     return handle
 
