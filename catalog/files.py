@@ -146,13 +146,14 @@ def daily_job(spark, sf):
     return spark.read.schema(ddl).json(f"{out}/vendas_por_dia_uf").where("data_ref = '1998-03-10'").drop("data_ref")
 
 
-@query("land_raw", """SELECT strftime(o_orderdate, '%Y') AS ano, strftime(o_orderdate, '%m') AS mes, strftime(o_orderdate, '%d') AS dia, COUNT(*) AS pedidos FROM orders GROUP BY 1, 2, 3""")
+@query("land_raw", """SELECT strftime(ts, '%Y') AS ano, strftime(ts, '%m') AS mes, strftime(ts, '%d') AS dia, COUNT(*) AS eventos FROM events GROUP BY 1, 2, 3""")
 def land_raw(spark, sf):
-    path = scratch_path(spark, "raw-pedidos")
-    o = table(spark, sf, "orders").withColumn("dia_venda", F.to_date("o_orderdate"))
-    sinks.land_raw(o.hint("rebalance", "dia_venda"), path, F.col("dia_venda"))
-    return spark.read.schema("o_orderkey bigint, ano string, mes string, dia string").json(path).groupBy("ano", "mes", "dia").agg(
-        F.count("o_orderkey").alias("pedidos"))
+    """Events as gzip JSON lines under their date, read back."""
+    path = scratch_path(spark, "raw-eventos")
+    e = table(spark, sf, "events").withColumn("data", F.to_date("ts")).hint("rebalance", "data")
+    sinks.land_raw(e, path, F.col("data"))
+    return spark.read.schema("event_id bigint, ano string, mes string, dia string").json(path).groupBy("ano", "mes", "dia").agg(
+        F.count("event_id").alias("eventos"))
 
 
 @query("product_catalog", """SELECT CAST(p_partkey AS VARCHAR) AS produto_id, p_name AS produto_nome FROM part""")

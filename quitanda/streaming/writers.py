@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quitanda.functions.dates import hour_label
@@ -19,15 +19,26 @@ def finish(writer) -> StreamingQuery:
 
 
 def write_raw_events(events: DataFrame, path: str, checkpoint: str, rows_per_file: int = 1000,
-                     every: str | None = None):
-    """JSON lines by event type and hour of event time; give ``every`` for a timed trigger."""
-    parts = events.withColumns({
-        "tipo": F.coalesce("event_type", F.lit("DESCONHECIDO")),
-        "hora": hour_label(F.col("timestamp").cast("timestamp")),
-    })
-    writer = (parts.writeStream.format("json").option("path", path)
-              .option("checkpointLocation", checkpoint)
-              .option("maxRecordsPerFile", rows_per_file).partitionBy("tipo", "hora"))
+                     rows_per_task: int = 1_000_000, every: str | None = None):
+    """JSON lines by event type and hour of event time; give ``every`` for a timed trigger.
+
+    A micro-batch is shuffled by type and hour, so small groups give one file. Each group is cut
+    into as many parts as the batch has ``rows_per_task``: a group holding a third of a large
+    batch is written by that many tasks.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        parts = batch.withColumns({
+            "tipo": F.coalesce("event_type", F.lit("DESCONHECIDO")),
+            "hora": hour_label(F.col("timestamp").cast("timestamp")),
+        })
+        cuts = batch.count() // rows_per_task + 1
+        # A numbered shuffle is not coalesced: creating files, not bytes, is what takes time.
+        tasks = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shuffled = parts.repartition(tasks, "tipo", "hora", F.pmod(F.xxhash64("_id"), F.lit(cuts)))
+        replace_batch(shuffled.write.option("maxRecordsPerFile", rows_per_file).partitionBy("tipo", "hora").format("json"),
+                      batch_id, path)
+
+    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
     return writer.trigger(processingTime=every).start() if every else finish(writer)
 
 
@@ -45,9 +56,9 @@ def write_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
                   .option("checkpointLocation", checkpoint))
 
 
-def keyed_by_batch(df: DataFrame, batch: int, path: str) -> None:
-    (df.withColumn("lote", F.lit(batch)).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("lote").parquet(path))
+def replace_batch(writer: DataFrameWriter, batch_id: int, path: str) -> None:
+    """Write into the micro-batch's own folder; a retry of the batch replaces just that folder."""
+    writer.mode("overwrite").option("partitionOverwriteMode", "static").save(f"{path}/lote={batch_id}")
 
 
 def validate_and_route(dataset: str, valid: str, quarantine: str, reports: str) -> Callable[[DataFrame, int], None]:
@@ -56,9 +67,10 @@ def validate_and_route(dataset: str, valid: str, quarantine: str, reports: str)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         verdicts = validate_files(batch, spec)
-        keyed_by_batch(verdicts, batch_id, reports)
+        replace_batch(verdicts.write.format("parquet"), batch_id, reports)
         routed = with_findings(batch, spec).join(verdicts.select("_source_file", "valido"), "_source_file")
-        keyed_by_batch(routed.where("valido").drop("erros", "avisos", "valido"), batch_id, valid)
-        keyed_by_batch(routed.where("NOT valido"), batch_id, quarantine)
+        good = routed.where("valido").drop("erros", "avisos", "valido")
+        replace_batch(good.write.format("parquet"), batch_id, valid)
+        replace_batch(routed.where("NOT valido").write.format("parquet"), batch_id, quarantine)
 
     return handle
