@@ -50,11 +50,11 @@ def mean_sql(total: str, count: str, places: int = 2, scale: int = 2, kind: str
 
 def pct_sql(part: str, whole: str, scale: int = 2) -> str:
     """part / whole in percent."""
-    return exact(f"{cents(part)} * 100", cents(whole), scale, "DECIMAL(10,4)")
+    return exact(f"{cents(part)} * 100", cents(whole), scale, "DECIMAL(18,4)")
 
 
 def growth_sql(now: str, before: str) -> str:
-    return exact(f"({cents(now)} - {cents(before)}) * 100", cents(before), 2, "DECIMAL(10,4)")
+    return exact(f"({cents(now)} - {cents(before)}) * 100", cents(before), 2, "DECIMAL(18,4)")
 
 
 def total_sql(e: str) -> str:
@@ -95,7 +95,7 @@ SALES = f"""priced AS (
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   JOIN part ON l_partkey = p_partkey),
 sales AS (
-  SELECT *, {exact(f"{cents('valor_total - custo')} * 100", cents('valor_total'), 2, 'DECIMAL(10,4)')} AS margem_pct,
+  SELECT *, {exact(f"{cents('valor_total - custo')} * 100", cents('valor_total'), 2, 'DECIMAL(18,4)')} AS margem_pct,
          CAST(strftime(data_venda, '%Y%m%d') AS INTEGER) AS sk_tempo,
          CASE WHEN valor_total < 0 THEN 'DESCONHECIDO' WHEN valor_total < 100 THEN 'PEQUENA'
               WHEN valor_total < 500 THEN 'MEDIA' WHEN valor_total < 2000 THEN 'GRANDE' ELSE 'PREMIUM' END AS categoria_valor
@@ -130,7 +130,7 @@ MART_DAILY = f"""vendas_dia AS (
     CAST(COALESCE(SUM(valor_total) FILTER (canal_venda = 'LOJA_FISICA'), 0) AS DECIMAL(18,2)) AS receita_loja,
     {total_sql('COALESCE(desconto, 0)')} AS desconto_total,
     {total_sql('COALESCE(valor_total - custo, 0)')} AS margem_total,
-    {mean_sql('SUM(COALESCE(margem_pct, 0))', 'COUNT(*)', 4, 4, 'DECIMAL(10,4)')} AS margem_media_pct
+    {mean_sql('SUM(COALESCE(margem_pct, 0))', 'COUNT(*)', 4, 4, 'DECIMAL(18,4)')} AS margem_media_pct
   FROM sales s JOIN calendario t ON t.sk_tempo = s.sk_tempo
   WHERE status_venda <> 'CANCELADA' GROUP BY ALL)"""
 
@@ -139,7 +139,7 @@ MART_CHANNEL = f"""canal_base AS (
     COUNT(*) AS qtd_vendas, COUNT(DISTINCT cpf_cliente) AS qtd_clientes_unicos,
     {total_sql('valor_total')} AS receita_total, {mean_sql('SUM(valor_total)', 'COUNT(*)')} AS ticket_medio,
     {total_sql('desconto')} AS desconto_total,
-    {mean_sql('SUM(COALESCE(margem_pct, 0))', 'COUNT(*)', 4, 4, 'DECIMAL(10,4)')} AS margem_media_pct
+    {mean_sql('SUM(COALESCE(margem_pct, 0))', 'COUNT(*)', 4, 4, 'DECIMAL(18,4)')} AS margem_media_pct
   FROM sales WHERE status_venda <> 'CANCELADA' GROUP BY 1, 2, 3, 4),
 vendas_canal AS (
   SELECT *, {pct_sql('receita_total', 'SUM(receita_total) OVER (PARTITION BY ano, mes)')} AS share_receita_pct FROM canal_base)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quitanda.functions.dates import date_key
@@ -21,13 +23,19 @@ def coded(c: Column, values: dict[str, str], other: str) -> Column:
     return out.otherwise(other)
 
 
+def _money(cents: Column) -> Column:
+    return (cents.cast("decimal(15,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
+
+
 def sale_columns() -> dict[str, tuple[Column, tuple[str, ...]]]:
     """Column -> (expression, tables it needs besides lineitem)."""
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    off = F.col("l_discount").cast("decimal(4,2)")
-    value = (price * (1 - off)).cast(MONEY)
-    cost = (F.col("l_quantity").cast("decimal(10,0)") * F.col("p_retailprice").cast("decimal(12,2)")
-            * F.lit("0.55").cast("decimal(4,2)")).cast(MONEY)
+    # Whole cents and percents: amounts are two-decimal doubles in the files.
+    price = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    off = F.round(F.col("l_discount") * 100).cast("bigint")
+    retail = F.round(F.col("p_retailprice") * 100).cast("bigint")
+    value = _money(F.call_function("div", price * (100 - off) + 50, F.lit(100)))
+    discount = _money(F.call_function("div", price * off + 50, F.lit(100)))
+    cost = _money(F.call_function("div", F.col("l_quantity").cast("bigint") * retail * 55 + 50, F.lit(100)))
     order, part, customer = ("orders",), ("part",), ("orders", "customer")
     channel = {"1-URGENT": "ECOMMERCE", "2-HIGH": "APP_MOBILE", "3-MEDIUM": "TELEVENDAS"}
     return {
@@ -36,10 +44,9 @@ def sale_columns() -> dict[str, tuple[Column, tuple[str, ...]]]:
         "data_entrega": (F.col("l_shipdate"), ()),
         "quantidade": (F.col("l_quantity").cast("int"), ()),
         "valor_total": (value, ()),
-        "desconto": ((price * off).cast(MONEY), ()),
+        "desconto": (discount, ()),
         "forma_pagamento": (coded(F.col("l_linestatus"), {"O": "PIX"}, "BOLETO"), ()),
         "status_venda": (coded(F.col("l_returnflag"), {"R": "CANCELADA", "A": "DEVOLVIDA"}, "CONCLUIDA"), ()),
-        "categoria_valor": (value_band(value), ()),
         "cpf_cliente": (F.col("o_custkey").cast("string"), order),
         "sk_cliente": (F.col("o_custkey"), order),
         "data_venda": (F.col("o_orderdate"), order),
@@ -48,7 +55,6 @@ def sale_columns() -> dict[str, tuple[Column, tuple[str, ...]]]:
         "produto_nome": (F.col("p_name"), part),
         "categoria_produto": (F.col("p_type"), part),
         "custo": (cost, part),
-        "margem_pct": (margin_pct(value, cost), part),
         "segmento_cliente": (F.col("c_mktsegment"), customer),
         "nome": (F.col("c_name"), customer),
         "uf": (F.col("n_name"), (*customer, "nation")),
@@ -56,10 +62,15 @@ def sale_columns() -> dict[str, tuple[Column, tuple[str, ...]]]:
     }
 
 
+# Derived from other sale columns in a second step, so those are computed once.
+DERIVED = {"margem_pct": ("valor_total", "custo"), "categoria_valor": ("valor_total",)}
+
+
 def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """One row per order line with the wanted columns; only the tables they need are joined."""
     known = sale_columns()
-    need = {t for c in columns for t in known[c][1]}
+    base = list(dict.fromkeys(b for c in columns for b in DERIVED.get(c, (c,))))
+    need = {t for c in base for t in known[c][1]}
     df = table(spark, sf_dir, "lineitem")
     on = {
         "part": F.col("l_partkey") == F.col("p_partkey"),
@@ -71,7 +82,10 @@ def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     for name, condition in on.items():
         if name in need:
             df = df.join(table(spark, sf_dir, name), condition)
-    return df.select(*[known[c][0].alias(c) for c in columns])
+    df = df.select(*[known[c][0].alias(c) for c in base])
+    derived = {"margem_pct": margin_pct(F.col("valor_total"), F.col("custo")),
+               "categoria_valor": value_band(F.col("valor_total"))}
+    return df.select(*[derived[c].alias(c) if c in derived else c for c in columns])
 
 
 def order_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:

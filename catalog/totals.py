@@ -42,7 +42,7 @@ def mart_customers(spark, sf):
 @query("kpi_month", f"""WITH {SALES}, {CALENDAR}, {MART_DAILY} SELECT 1998 AS ano, 3 AS mes, {total_sql('receita_total')} AS receita_mes,
 CAST(SUM(qtd_vendas) AS BIGINT) AS pedidos_mes, {mean_sql('SUM(ticket_medio)', 'COUNT(*)')} AS ticket_medio_mes,
 {mean_sql('SUM(receita_total)', 'SUM(qtd_vendas)')} AS ticket_ponderado,
-{mean_sql('SUM(margem_media_pct)', 'COUNT(*)', 4, 4, 'DECIMAL(10,4)')} AS margem_media_mes,
+{mean_sql('SUM(margem_media_pct)', 'COUNT(*)', 4, 4, 'DECIMAL(18,4)')} AS margem_media_mes,
 COUNT(DISTINCT uf) AS estados_atendidos FROM vendas_dia WHERE ano = 1998 AND mes = 3""")
 def kpi_month(spark, sf):
     return marts.kpis_of_month(daily_mart(spark, sf), DAY)
@@ -50,7 +50,7 @@ def kpi_month(spark, sf):
 
 @query("channel_funnel", f"""WITH {SALES}, {MART_CHANNEL}, f AS (SELECT canal_venda, CAST(SUM(qtd_vendas) AS BIGINT) AS total_pedidos,
 {total_sql('receita_total')} AS receita_total, {mean_sql('SUM(ticket_medio)', 'COUNT(*)')} AS ticket_medio,
-{mean_sql('SUM(margem_media_pct)', 'COUNT(*)', 4, 4, 'DECIMAL(10,4)')} AS margem_media_pct FROM vendas_canal GROUP BY 1)
+{mean_sql('SUM(margem_media_pct)', 'COUNT(*)', 4, 4, 'DECIMAL(18,4)')} AS margem_media_pct FROM vendas_canal GROUP BY 1)
 SELECT *, {pct_sql('receita_total', 'SUM(receita_total) OVER ()')} AS share_receita_pct FROM f""")
 def channel_funnel(spark, sf):
     return marts.channel_funnel(marts.mart_channel(fact(spark, sf), star_customers(spark, sf)))

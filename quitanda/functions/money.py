@@ -6,7 +6,8 @@ from pyspark.sql import Column, functions as F
 
 MONEY = "decimal(15,2)"
 TOTAL = "decimal(18,2)"
-PERCENT = "decimal(10,4)"
+# Wide enough for a percentage of a one-cent base.
+PERCENT = "decimal(18,4)"
 
 # Lower bound (inclusive) of each value band.
 VALUE_BANDS = (("PEQUENA", 0), ("MEDIA", 100), ("GRANDE", 500), ("PREMIUM", 2000))
@@ -19,9 +20,8 @@ def parse_money(c: Column) -> Column:
     With both separators the dot groups thousands; a lone comma is the decimal mark; a
     lone dot is a decimal point (``1.250`` is 1.25).
     """
-    t = F.trim(F.regexp_replace(F.trim(c), r"R\$", ""))
-    without_dots = F.when(t.contains(",") & t.contains("."), F.replace(t, F.lit("."), F.lit(""))).otherwise(t)
-    plain = F.replace(without_dots, F.lit(","), F.lit("."))
+    t = F.trim(F.replace(c, F.lit("R$"), F.lit("")))
+    plain = F.when(t.contains(","), F.translate(t, ",.", ".")).otherwise(t)  # drops dots, comma to dot
     return F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain).try_cast(MONEY)
 
 
@@ -42,7 +42,7 @@ def round2(c: Column) -> Column:
 
 
 def margin_pct(value: Column, cost: Column) -> Column:
-    """(value - cost) / value in percent, two decimals; null without value or cost."""
+    """(value - cost) / value in percent, two decimals half up; null without value or cost."""
     return round2(ratio((value - cost) * 100, value)).cast(PERCENT)
 
 

@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quitanda.functions.money import parse_money
+from quitanda.functions.money import MONEY, parse_money
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -57,8 +58,8 @@ def row_errors(df: DataFrame, spec: Spec) -> Column:
     for c, low in spec.min_value:
         if c in df.columns:
             number = parse_money(F.col(c).cast("string"))
-            tests.append(F.when(F.col(c).isNotNull() & (number.isNull() | (number < F.lit(low).cast("decimal(15,2)"))),
-                                f"minimo:{c}"))
+            enough = F.coalesce(number >= F.lit(low).cast(MONEY), F.lit(False))
+            tests.append(F.when(F.col(c).isNotNull() & ~enough, f"minimo:{c}"))
     return F.filter(F.array(*tests), lambda e: e.isNotNull()) if tests else F.array().cast("array<string>")
 
 

@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quitanda import schemas
+from quitanda.operators.keyed import latest_per_key
+from quitanda.operators.rows import select_existing
 
 
 def with_source(df: DataFrame, ingested_at: Column) -> DataFrame:
@@ -50,13 +52,11 @@ def sales_csv(spark: SparkSession, path: str, ingested_at: Column,
     return with_source(raw, ingested_at)
 
 
-def processed_customers(spark: SparkSession, path: str) -> DataFrame:
-    """Join columns of the processed customers, one row per CPF."""
-    from quitanda.operators.keyed import latest_per_key
-    from quitanda.operators.rows import select_existing
-
+def processed_customers(spark: SparkSession, path: str, unique: bool = True) -> DataFrame:
+    """Join columns of the processed customers, one row per CPF unless the caller dedups itself."""
     cols = ("cpf", "nome", "uf", "cidade", "segmento_cliente")
-    return latest_per_key(select_existing(spark.read.parquet(path), cols), ["cpf"], [])
+    found = select_existing(spark.read.parquet(path), cols)
+    return latest_per_key(found, ["cpf"], []) if unique else found
 
 
 def processed_sales(spark: SparkSession, path: str, month_of: date | None = None,

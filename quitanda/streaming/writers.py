@@ -66,8 +66,9 @@ def validate_and_route(dataset: str, valid: str, quarantine: str, reports: str)
     spec = SPECS[dataset]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        verdicts = validate_files(batch, spec)
-        replace_batch(verdicts.write.format("parquet"), batch_id, reports)
+        replace_batch(validate_files(batch, spec).write.format("parquet"), batch_id, reports)
+        # Read back: a written table has a known size, so Spark can decide on a broadcast.
+        verdicts = batch.sparkSession.read.parquet(f"{reports}/lote={batch_id}")
         routed = with_findings(batch, spec).join(verdicts.select("_source_file", "valido"), "_source_file")
         good = routed.where("valido").drop("erros", "avisos", "valido")
         replace_batch(good.write.format("parquet"), batch_id, valid)

@@ -57,7 +57,7 @@ def test_scd2_same_day_change_replaces(loaded, rows):
 
 
 FACT = ("sk_cliente long, sk_tempo int, data_venda timestamp, valor_total decimal(15,2), desconto decimal(15,2), custo decimal(15,2), "
-        "margem_pct decimal(10,4), canal_venda string, status_venda string")
+        "margem_pct decimal(18,4), canal_venda string, status_venda string")
 
 
 def sale(sk, day, value, status="CONCLUIDA"):
