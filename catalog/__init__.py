@@ -6,7 +6,7 @@ independently of the Spark code.
 
 from catalog.registry import ORACLES, QUERIES
 from catalog import (  # noqa: F401  (importing registers)
-    files, joining, quality, rows, scalars, streams, totals, upkeep, warehouse, windowing,
+    chain, files, joining, quality, rows, scalars, streams, totals, upkeep, warehouse, windowing,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -80,8 +80,9 @@ def customer_partitions(spark, sf):
     return spark.read.parquet(out).groupBy("uf").agg(F.count("*").alias("clientes"))
 
 
-def raw_sales(spark, sf) -> str:
-    """Sales CSV with Brazilian money text, formatted CPFs and a few bad values."""
+def raw_sales(spark, sf, by_month: bool = False) -> str:
+    """Sales CSV with Brazilian money text, formatted CPFs and a few bad values; dated by the
+    first of the month on request."""
     path = scratch_path(spark, "raw-vendas")
     k = F.col("id_pedido")
     s = sales(spark, sf, "id_pedido", "sk_cliente", "produto_id", "produto_nome", "categoria_produto", "data_venda", "data_entrega",
@@ -95,6 +96,8 @@ def raw_sales(spark, sf) -> str:
         "desconto": local("desconto"), "custo": F.col("custo").cast("string"),
         "valor_total": F.when(k % 300 == 1, "abc").when(k % 300 == 2, "R$ -1,00").otherwise(local("valor_total")),
     }
+    if by_month:
+        s = s.withColumn("data_venda", F.date_trunc("month", "data_venda"))
     have = set(s.columns)
     cols = [(values.get(c) if c in values else (F.col(c) if c in have else F.lit(None).cast("string"))).alias(c) for c in SALE_COLUMNS]
     s.select(*cols).write.option("header", True).csv(path)

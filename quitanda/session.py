@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,26 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def conf(spark: SparkSession, **settings: str):
+    """Settings for one action; ``__`` in a name stands for a dot."""
+    names = {k.replace("__", "."): v for k, v in settings.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def many_files(spark: SparkSession):
+    """For writes into many folders: creating files, not bytes, takes the time, so small shuffles
+    keep their tasks."""
+    return conf(spark, spark__sql__adaptive__coalescePartitions__minPartitionSize="16KB")
+
+
 def build_session(app: str, master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quitanda import schemas
 from quitanda.operators.keyed import latest_per_key
-from quitanda.operators.rows import select_existing
+from quitanda.operators.rows import in_range, select_existing
 
 
 def with_source(df: DataFrame, ingested_at: Column) -> DataFrame:
@@ -73,6 +73,13 @@ def processed_sales(spark: SparkSession, path: str, month_of: date | None = None
     return sales
 
 
+def sales_between(spark: SparkSession, path: str, start: date, end: date) -> DataFrame:
+    """Processed sales of a closed date range: month partitions pruned, then the exact days."""
+    month = F.concat("ano", "mes")
+    return in_range(spark.read.parquet(path).where(month.between(f"{start:%Y%m}", f"{end:%Y%m}")),
+                    "data_venda", start, end)
+
+
 def events_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.struct(schemas.EVENT)).option("recursiveFileLookup", True).json(path)
 

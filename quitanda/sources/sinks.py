@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from datetime import date, timedelta
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from quitanda.functions.dates import two_digits
+from quitanda.session import many_files
 
 ROWS_PER_FILE = 100_000
 
@@ -16,9 +19,35 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], *,
     Rows are rebalanced on the partition columns, so small values share a task and AQE splits
     a value that holds much of the data.
     """
-    (df.hint("rebalance", *by)
-       .write.mode(mode).option("partitionOverwriteMode", "dynamic")
-       .option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path))
+    with many_files(df.sparkSession):
+        (df.hint("rebalance", *by)
+           .write.mode(mode).option("partitionOverwriteMode", "dynamic")
+           .option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path))
+
+
+def _remove_partitions(spark: SparkSession, path: str, names: set[str]) -> None:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.listStatus(root):
+        if found.getPath().getName() in names:
+            fs.delete(found.getPath(), True)
+
+
+def replace_days(df: DataFrame, path: str, day: str, start: date, end: date, partition: str = "dia") -> DataFrame:
+    """Replace the days ``start``..``end`` of a dataset partitioned by day; the rest is not touched.
+
+    Days with rows are overwritten, days of the range that got none are removed. Gives back the
+    dataset. Nothing outside the range is read or rewritten, whatever the size of the history.
+    """
+    written = Observation()
+    dated = df.withColumn(partition, F.to_date(day)).hint("rebalance", partition)
+    dated = dated.observe(written, F.collect_set(partition).alias("dias"))  # at most the days of the range
+    with many_files(df.sparkSession):
+        (dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(partition).parquet(path))
+    days = {start + timedelta(days=i) for i in range((end - start).days + 1)}
+    _remove_partitions(df.sparkSession, path, {f"{partition}={d}" for d in days - set(written.get["dias"])})
+    return df.sparkSession.read.schema(dated.schema).parquet(path)
 
 
 def write_customers(df: DataFrame, path: str) -> None:
