@@ -54,6 +54,13 @@ def read_customers_json(spark, sf):
     return rows.groupBy(again.alias("repetido")).agg(F.count("*").alias("linhas"))
 
 
+@query("first_list_documents", """SELECT c_mktsegment AS segmento_cliente, COUNT(*) AS clientes FROM customer WHERE c_custkey % 50 <> 7 GROUP BY 1""")
+def first_list_documents(spark, sf):
+    """The lists inside the documents, found without knowing their key."""
+    rows = files.first_list_json(spark, raw_customers(spark, sf), "cpf:string,segmento_cliente:string", multi_line=False)
+    return rows.groupBy("segmento_cliente").agg(F.count("*").alias("clientes"))
+
+
 _DAY = "CAST('2024-01-0' || (c_custkey % 9 + 1) AS TIMESTAMP)"
 _CLEAN = f"""SELECT c_custkey AS id, lpad(CAST(c_custkey AS VARCHAR), 11, '0') AS cpf, upper(c_name[1]) || lower(c_name[2:]) AS nome,
   'c' || c_custkey || '@exemplo.com' AS email,

@@ -39,6 +39,28 @@ def customers_json(spark: SparkSession, path: str, ingested_at: Column,
             .select("c.*", "_source_file", "_ingestion_timestamp"))
 
 
+def first_list_json(spark: SparkSession, path: str, ddl: str, multi_line: bool = True) -> DataFrame:
+    """Records of the first list found in each JSON document, whatever its key; a bare list too.
+
+    Documents without a list and malformed ones give no row.
+    """
+    doc = F.trim("value")
+    fields = F.map_values(F.from_json(doc, "map<string,string>"))
+    found = F.when(doc.startswith("["), doc).otherwise(F.get(F.filter(fields, lambda v: v.startswith("[")), 0))
+    lines = spark.read.text(path, wholetext=multi_line, recursiveFileLookup=True)
+    return lines.select(F.explode(F.from_json(found, f"array<struct<{ddl}>>")).alias("c")).select("c.*")
+
+
+def arrived_files(spark: SparkSession, path: str, fmt: str, columns, ingested_at: Column) -> DataFrame:
+    """All rows of arrived CSV or JSON files as text, tagged with their file, for validation."""
+    reader = spark.read.schema(schemas.all_strings(columns)).option("recursiveFileLookup", True)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    else:
+        reader = reader.option("multiLine", True)
+    return with_source(reader.format(fmt).load(path), ingested_at)
+
+
 def sales_csv(spark: SparkSession, path: str, ingested_at: Column,
               columns=schemas.SALE_COLUMNS) -> DataFrame:
     """Every column as text: inference would strip leading zeros off the CPF.

@@ -143,3 +143,26 @@ def test_snapshot_report_and_unload(spark, rows, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).count() == 4
     assert spark.read.json(str(tmp_path / "s")).count() == 2
     assert spark.read.parquet(str(tmp_path / "u")).count() == 2
+
+
+def test_first_list_of_a_document(spark, raw):
+    got = files.first_list_json(spark, raw, "cpf:string,nome:string").collect()
+    assert sorted(r.cpf[-1] for r in got) == ["1", "1", "1", "2", "3", "4", "7", "7"]
+
+
+def test_arrived_files_keep_their_path(spark, tmp_path):
+    from quitanda.operators import discovery, validation as val
+
+    folder = tmp_path / "raw" / "vendas"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text("id_venda,valor_total\n1,10.5\n2,\n")
+    (folder / "b.csv").write_text("id_venda,valor_total\n")
+    rows = files.arrived_files(spark, str(folder), "csv", ("id_venda", "valor_total"), F.lit(NOW).cast("timestamp"))
+    arrived = files.list_objects(spark, str(folder)).select(F.col("path").alias("_source_file"))
+    tail = F.element_at(F.split("_source_file", "/"), -1)
+    found = val.validate_files(rows.withColumn("_source_file", tail), val.SPECS["vendas"], files=arrived.withColumn("_source_file", tail))
+    got = {r._source_file: (r.total_registros, r.erros, r.valido, r.colunas_ausentes) for r in found.collect()}
+    assert got == {"a.csv": (2, 1, False, "cpf_cliente,data_venda"), "b.csv": (0, 0, False, "cpf_cliente,data_venda")}
+    assert dict(discovery.columns_of(spark, str(folder), "csv", header=True, inferSchema=True))["valor_total"] == "double"
+    (tmp_path / "j.json").write_text('[{"a": 1, "b": "x"}]')
+    assert discovery.columns_of(spark, str(tmp_path / "j.json"), "json", multiLine=True) == [("a", "bigint"), ("b", "string")]
