@@ -107,7 +107,8 @@ def raw_sales(spark, sf, by_month: bool = False) -> str:
         s = s.withColumn("data_venda", F.date_trunc("month", "data_venda"))
     have = set(s.columns)
     cols = [(values.get(c) if c in values else (F.col(c) if c in have else F.lit(None).cast("string"))).alias(c) for c in SALE_COLUMNS]
-    s.select(*cols).write.option("header", True).csv(path)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s.repartition(tasks).select(*cols).write.option("header", True).csv(path)
     return path
 
 

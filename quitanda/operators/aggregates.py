@@ -10,6 +10,7 @@ from quitanda.functions.dates import month_label
 from quitanda.functions.money import MONEY, TOTAL, mean_of, percent_of
 from quitanda.operators.ranking import running_sum
 from quitanda.operators.rows import union_all
+from quitanda.session import materialize
 
 VALUE = "valor_total"
 
@@ -23,9 +24,14 @@ def mean(col: str = VALUE, kind: str = MONEY) -> Column:
 
 
 def share_of_total(df: DataFrame, value: str, name: str, scale: int = 2) -> DataFrame:
-    """Percent of the column's sum, taken as a scalar subquery: no window over one partition."""
-    whole = df.agg(F.sum(value)).scalar()
-    return df.withColumn(name, percent_of(F.col(value), whole, scale))
+    """Percent of the column's sum.
+
+    The grouped rows are written once: the sum (a scalar subquery, not a window over one partition)
+    would otherwise scan and join the facts a second time.
+    """
+    kept = materialize(df, "grupos")
+    whole = kept.agg(F.sum(value)).scalar()
+    return kept.withColumn(name, percent_of(F.col(value), whole, scale))
 
 
 def daily_by_uf(sales: DataFrame) -> DataFrame:

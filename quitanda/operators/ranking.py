@@ -65,8 +65,9 @@ def with_ntile(df: DataFrame, order: list[Column], tiles: int, name: str) -> Dat
 
 
 def running_sum(df: DataFrame, order: list[Column], value: str, running: str, total: str,
-                position: str) -> DataFrame:
-    """Running and grand total of ``value`` in the given order, with the row position."""
+                position: str, rows: str | None = None) -> DataFrame:
+    """Running and grand total of ``value`` in the given order, the row position and, if named,
+    the number of rows."""
     kind = df.select(F.sum(value).alias("s")).schema["s"].dataType
     kept = _blocks(df, order, "running")
     inside = Window.partitionBy(_BLOCK).orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, 0)
@@ -77,4 +78,6 @@ def running_sum(df: DataFrame, order: list[Column], value: str, running: str, to
         total: F.col("_all_v").cast(kind),
         position: F.col("_before_n") + F.col(_SLOT) + 1,
     }
+    if rows:
+        cols[rows] = F.col("_all_n")
     return out.withColumns(cols).select(*df.columns, *cols)

@@ -15,6 +15,7 @@ from quitanda.operators.keyed import latest_per_key, minus_by_key
 from quitanda.operators.quality import assert_none
 from quitanda.operators.ranking import number_rows
 from quitanda.operators.rows import changed, current_rows, in_range, positive, with_defaults
+from quitanda.session import materialize
 
 TRACKED = ("nome", "email", "cidade", "uf", "segmento_cliente")
 SALE_DEFAULTS = {"quantidade": 1, "desconto": 0, "status_venda": "CONCLUIDA", "parcelas": 1}
@@ -66,7 +67,9 @@ def scd2_customers(dim: DataFrame, stg: DataFrame, as_of: date) -> DataFrame:
     columns never open a version. Loading the same staging twice changes nothing.
     """
     attrs = [c for c in _CUSTOMER if c in dim.columns]
-    newest = _customer_version(latest_per_key(stg, ["cpf"], ["data_cadastro"]), as_of).select(*attrs)
+    # Written once: it is joined twice, and a table of known size lets Spark broadcast a small load.
+    newest = materialize(
+        _customer_version(latest_per_key(stg, ["cpf"], ["data_cadastro"]), as_of).select(*attrs), "clientes-novos")
     current = current_rows(dim)
 
     pair = current.alias("d").join(newest.alias("s"), F.col("d.cpf") == F.col("s.cpf"), "left")
