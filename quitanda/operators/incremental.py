@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from quitanda.operators.rows import in_range
 
@@ -14,19 +14,17 @@ def newer_than(source: DataFrame, cursor: str, last) -> DataFrame:
     return source if last is None else source.where(F.col(cursor) > F.lit(last))
 
 
-def high_water(rows: DataFrame, cursor: str, previous=None):
-    """New cursor value: one aggregate row reaches the driver."""
-    top = rows.agg(F.max(cursor)).first()[0]
-    return previous if top is None else top
-
-
 def incremental_append(spark: SparkSession, source: DataFrame, target: str, cursor: str, last=None):
-    """Append rows past the cursor and give back the new cursor; nothing new writes nothing."""
+    """Append rows past the cursor and give back the new cursor; nothing new writes nothing.
+
+    The greatest cursor value is observed while the rows are written.
+    """
     rows = newer_than(source, cursor, last)
     if rows.isEmpty():
         return last
-    rows.write.mode("append").parquet(target)
-    return high_water(rows, cursor, last)
+    seen = Observation()
+    rows.observe(seen, F.max(cursor).alias("top")).write.mode("append").parquet(target)
+    return seen.get["top"]
 
 
 def full_refresh(source: DataFrame, target: str) -> None:

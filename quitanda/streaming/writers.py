@@ -31,12 +31,14 @@ def write_raw_events(events: DataFrame, path: str, checkpoint: str, rows_per_fil
             "tipo": F.coalesce("event_type", F.lit("DESCONHECIDO")),
             "hora": hour_label(F.col("timestamp").cast("timestamp")),
         })
-        cuts = batch.count() // rows_per_task + 1
+        parts.persist()
+        cuts = parts.count() // rows_per_task + 1
         # A numbered shuffle is not coalesced: creating files, not bytes, is what takes time.
         tasks = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         shuffled = parts.repartition(tasks, "tipo", "hora", F.pmod(F.xxhash64("_id"), F.lit(cuts)))
         replace_batch(shuffled.write.option("maxRecordsPerFile", rows_per_file).partitionBy("tipo", "hora").format("json"),
                       batch_id, path)
+        parts.unpersist()
 
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
     return writer.trigger(processingTime=every).start() if every else finish(writer)
@@ -66,6 +68,7 @@ def validate_and_route(dataset: str, valid: str, quarantine: str, reports: str)
     spec = SPECS[dataset]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         replace_batch(validate_files(batch, spec).write.format("parquet"), batch_id, reports)
         # Read back: a written table has a known size, so Spark can decide on a broadcast.
         verdicts = batch.sparkSession.read.parquet(f"{reports}/lote={batch_id}")
@@ -73,5 +76,6 @@ def validate_and_route(dataset: str, valid: str, quarantine: str, reports: str)
         good = routed.where("valido").drop("erros", "avisos", "valido")
         replace_batch(good.write.format("parquet"), batch_id, valid)
         replace_batch(routed.where("NOT valido").write.format("parquet"), batch_id, quarantine)
+        batch.unpersist()
 
     return handle
