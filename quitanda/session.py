@@ -83,6 +83,9 @@ class LakePaths:
         return f"{self.root}/{schema}/{table}"
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -91,7 +94,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/quitanda/{label}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/quitanda/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the scratch folders this process made; frames read from them are gone after that."""
+    for path in _scratch:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    dropped = len(_scratch)
+    _scratch.clear()
+    return dropped
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -72,3 +72,13 @@ def test_trailing_count_over_midnight(spark):
     df = spark.createDataFrame([("x", t) for t in at], "event_type string, s long").withColumn("timestamp", F.timestamp_seconds("s"))
     got = {r.segundo - base: r.ultimos_segundos for r in windows.trailing_count(df).collect()}
     assert got == {s - base: sum(s - 60 <= t <= s for t in at) for s in set(at)}
+
+
+def test_scratch_is_dropped(spark):
+    import os
+
+    from quitanda.session import drop_scratch, materialize
+
+    kept = materialize(spark.range(3), "teste")
+    folder = kept.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(folder) and drop_scratch(spark) > 0 and not os.path.exists(folder)
