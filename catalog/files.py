@@ -157,14 +157,15 @@ def daily_job(spark, sf):
     return spark.read.schema(ddl).json(f"{out}/vendas_por_dia_uf").where("data_ref = '1998-03-10'").drop("data_ref")
 
 
-@query("land_raw", """SELECT strftime(ts, '%Y') AS ano, strftime(ts, '%m') AS mes, strftime(ts, '%d') AS dia, COUNT(*) AS eventos FROM events GROUP BY 1, 2, 3""")
+@query("land_raw", """SELECT event_id, user_id, event_type, value, props, strftime(ts, '%Y') AS ano, strftime(ts, '%m') AS mes, strftime(ts, '%d') AS dia FROM events""")
 def land_raw(spark, sf):
     """Events as gzip JSON lines under their date, read back."""
     path = scratch_path(spark, "raw-eventos")
     e = table(spark, sf, "events").withColumn("data", F.to_date("ts")).hint("rebalance", "data")
-    sinks.land_raw(e, path, F.col("data"))
-    return spark.read.schema("event_id bigint, ano string, mes string, dia string").json(path).groupBy("ano", "mes", "dia").agg(
-        F.count("event_id").alias("eventos"))
+    for _ in range(2):  # a rerun replaces its batch
+        sinks.land_raw(e, path, F.col("data"), "B1")
+    kept = "event_id bigint, user_id bigint, event_type string, value double, props string, ano string, mes string, dia string"
+    return spark.read.schema(kept).json(path)
 
 
 @query("product_catalog", """SELECT CAST(p_partkey AS VARCHAR) AS produto_id, p_name AS produto_nome FROM part""")
@@ -205,6 +206,9 @@ def list_objects(spark, sf):
     return zone_stats(found.withColumn("path", F.concat(F.lit("raw/"), F.element_at(F.split("path", "/"), -1))))
 
 
-@query("keyed_messages", """SELECT CAST(user_id AS VARCHAR) AS key, '{"event_id":' || event_id || ',"user_id":' || user_id || '}' AS value FROM events""")
+@query("keyed_messages", """SELECT CAST(user_id AS VARCHAR) AS key, '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type
+|| '","cents":' || CAST(round(value * 100) AS BIGINT) || CASE WHEN props IS NULL THEN '' ELSE ',"props":' || CAST(to_json(props) AS VARCHAR) END || '}' AS value FROM events""")
 def keyed_messages_of_users(spark, sf):
-    return keyed_messages(table(spark, sf, "events").select("event_id", "user_id"), F.col("user_id"))
+    e = table(spark, sf, "events")
+    return keyed_messages(e.select("event_id", "user_id", "event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"), "props"),
+                          F.col("user_id"))

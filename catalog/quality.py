@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from catalog.registry import SALES, STATES_SQL, query
 from catalog.tables import coded, sales, star_customers, state_of, table
 from quitanda.operators import alerts, quality as dq, validation as val
+from quitanda.operators.rows import any_row
+from quitanda.functions.money import parse_money
+from quitanda.schemas import SALE_COLUMNS
 from quitanda.session import scratch_path
+from quitanda.sources.arrivals import csv_arrivals, read_sales, validate_arrivals
 from quitanda.sources.sinks import quarantine
 
 AS_OF = date(2001, 1, 1)
@@ -109,6 +113,19 @@ def dq_rules(spark, sf):
     return dq.run_suite(_sales(spark, sf), [*dq.documented_rules(), dq.expect_not_future("data_venda", AS_OF)])
 
 
+@query("dq_customer_rules", f"""WITH d AS (SELECT CASE WHEN c_custkey % 90 = 4 THEN NULL ELSE c_acctbal END AS limite,
+CASE WHEN c_custkey % 70 = 3 THEN ' ' WHEN c_custkey % 70 = 4 THEN NULL ELSE c_mktsegment END AS cidade FROM customer) """ + " UNION ALL ".join(
+    _row(i, *c) for i, c in enumerate([("limite de credito positivo", _share("limite > 0"), 1.0), ("cidade informada", _share("trim(cidade) <> ''"), 1.0)])))
+def dq_customer_rules(spark, sf):
+    """Both written customer rules, the limit as local money text."""
+    k = F.col("c_custkey")
+    money = F.concat(F.when(F.col("c_acctbal") < 0, "-").otherwise("R$ "), F.translate(F.format_number(F.abs("c_acctbal"), 2), ",.", ".,"))
+    c = table(spark, sf, "customer").select(
+        F.when(k % 90 != 4, money).alias("limite_credito"),
+        F.when(k % 70 == 3, " ").when(k % 70 != 4, F.col("c_mktsegment")).alias("cidade"))
+    return dq.run_suite(c, dq.documented_customer_rules())
+
+
 SUITE = """{"expectations": [
  {"expectation_type": "expect_column_to_exist", "kwargs": {"column": "id_pedido"}},
  {"expectation_type": "expect_column_to_exist", "kwargs": {"column": "id_venda"}},
@@ -146,9 +163,8 @@ def dq_key(spark, sf):
 @query("dq_assertions", """SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 1000) AS avisado, EXISTS (SELECT 1 FROM orders WHERE o_custkey IS NULL) AS erro""")
 def dq_assertions(spark, sf):
     o = table(spark, sf, "orders")
-    warned = dq.assert_none(o, F.col("o_totalprice") < 1000, "pedido pequeno", "warning")
-    broken = dq.assert_none(o, F.col("o_custkey").isNull(), "pedido sem cliente")
-    return spark.range(1).select(F.lit(warned).alias("avisado"), F.lit(broken).alias("erro"))
+    dq.assert_none(o, F.col("o_custkey").isNull(), "pedido sem cliente")
+    return o.agg(any_row(F.col("o_totalprice") < 1000).alias("avisado"), any_row(F.col("o_custkey").isNull()).alias("erro"))
 
 
 def _arrived(spark, sf):
@@ -174,6 +190,67 @@ def validate_files(spark, sf):
     return val.validate_files(_arrived(spark, sf), val.SPECS["vendas"])
 
 
+_LAYOUTS = {  # columns of each layout, in its order
+    "contrato": tuple(c for c in SALE_COLUMNS if c != "data_cancelamento"),
+    "sem_cpf": ("id_venda", "valor_total", "data_venda"),
+    "extra": (*SALE_COLUMNS, "cupom"),
+    "maiuscula": ("DATA_VENDA", "Valor_Total", "CPF_CLIENTE", "ID_VENDA", "quantidade", "Canal_Venda", "Produto_Nome"),
+}
+
+
+def arrived_folder(spark, sf) -> str:
+    """Sales CSV in four layouts, a folder each, with one broken and one empty file."""
+    path = scratch_path(spark, "chegados")
+    k = F.col("id_pedido")
+    s = sales(spark, sf, "id_pedido", "cpf_cliente", "valor_total", "data_venda", "quantidade", "canal_venda", "produto_nome")
+    local = F.concat(F.lit("R$ "), F.translate(F.format_number("valor_total", 2), ",.", ".,"))
+    values = {"id_venda": k.cast("string"), "id_pedido": k.cast("string"), "cpf_cliente": F.col("cpf_cliente"),
+              "valor_total": F.when(k % 997 < 3, "R$ 0,00").otherwise(local), "data_venda": F.date_format("data_venda", "yyyy-MM-dd"),
+              "quantidade": F.col("quantidade").cast("string"), "canal_venda": F.col("canal_venda"), "produto_nome": F.col("produto_nome"),
+              "cupom": F.lit("x")}
+    for i, (name, columns) in enumerate(_LAYOUTS.items()):
+        cols = [values.get(c.lower(), F.lit(None).cast("string")).alias(c) for c in columns]
+        s.where(k % 4 == i).select(*cols).write.option("header", True).csv(f"{path}/vendas/{name}")
+    s.where(k % 50 == 0).select(F.lit("lixo;lixo").alias("value")).coalesce(1).write.text(f"{path}/vendas/quebrado")
+    s.where(k < 0).select("cpf_cliente").coalesce(1).write.text(f"{path}/vendas/vazio")
+    return path
+
+
+def _layout(i: int, name: str, expected: str = "", extra: str = "", required: str = "") -> str:
+    bad = f"COUNT(*) FILTER (id_pedido % 997 < 3 OR valor_total < 0.01)"
+    valid = f"{bad} = 0" if not required else "FALSE"
+    return (f"SELECT '{name}' AS layout, COUNT(*) AS total_registros, {bad} AS registros_invalidos, '{required}' AS colunas_ausentes, "
+            f"'{expected}' AS esperadas_ausentes, '{extra}' AS colunas_extras, {valid} AS valido FROM sales WHERE id_pedido % 4 = {i}")
+
+
+_MORE = ",".join(sorted({*_LAYOUTS["contrato"]} - set(val.SPECS["vendas"].expected)))
+_NONE = "id_venda,cpf_cliente,valor_total,data_venda"
+
+
+@query("arrived_columns", f"""WITH {SALES}, lido AS ({" UNION ALL ".join([
+    _layout(0, "contrato", extra=_MORE), _layout(1, "sem_cpf", "cpf_cliente,produto_nome,quantidade,canal_venda", required="cpf_cliente"),
+    _layout(2, "extra", extra=",".join(sorted([*_MORE.split(","), "cupom", "data_cancelamento"]))), _layout(3, "maiuscula")])})
+SELECT * FROM lido UNION ALL SELECT 'quebrado', 0, 0, '{_NONE}', '{_NONE},produto_nome,quantidade,canal_venda', 'lixo;lixo', FALSE FROM (SELECT COUNT(*) FROM sales)
+UNION ALL SELECT 'vazio', 0, 0, '{_NONE}', '{_NONE},produto_nome,quantidade,canal_venda', '', FALSE FROM (SELECT COUNT(*) FROM sales)""")
+def arrived_columns(spark, sf):
+    """Verdicts of files that each have their own columns, put together by layout."""
+    found = validate_arrivals(csv_arrivals(spark, arrived_folder(spark, sf)), val.SPECS["vendas"])
+    # a task without rows of a layout writes a file with a header only
+    filled = found.where("total_registros > 0 OR _source_file RLIKE 'quebrado|vazio'")
+    return (filled.groupBy(F.element_at(F.split("_source_file", "/"), -2).alias("layout"), "colunas_ausentes", "esperadas_ausentes", "colunas_extras")
+            .agg(F.sum("total_registros").alias("total_registros"), F.sum("registros_invalidos").alias("registros_invalidos"),
+                 F.bool_and("valido").alias("valido")))
+
+
+@query("arrived_rows", f"""WITH {SALES} SELECT id_pedido::VARCHAR AS id_venda, cpf_cliente, CASE WHEN id_pedido % 997 < 3 THEN 0.00 ELSE valor_total END::DECIMAL(15,2) AS valor_total,
+CASE WHEN id_pedido % 4 <> 1 THEN produto_nome END AS produto_nome FROM sales WHERE id_pedido % 4 <> 1""")
+def arrived_rows(spark, sf):
+    """Rows of the layouts that have a customer, read by name; the others are set aside."""
+    columns = ("id_venda", "cpf_cliente", "valor_total", "produto_nome")
+    rows, _ = read_sales(spark, arrived_folder(spark, sf), columns, F.lit("2024-01-11").cast("timestamp"), ("valor_total", "cpf_cliente"))
+    return rows.select("id_venda", "cpf_cliente", parse_money(F.col("valor_total")).cast("decimal(15,2)").alias("valor_total"), "produto_nome")
+
+
 @query("validation_totals", f"""{_ARRIVED}, f AS (SELECT _source_file, COUNT(*) FILTER (ruim) = 0 AS valido FROM a GROUP BY 1)
 SELECT COUNT(*) AS total_arquivos, COUNT(*) FILTER (valido) AS validos, COUNT(*) FILTER (NOT valido) AS invalidos,
 CASE WHEN bool_and(valido) THEN 200 ELSE 400 END AS codigo FROM f""")
@@ -211,15 +288,17 @@ def dataset_of_path(spark, sf):
     return table(spark, sf, "orders").groupBy(val.dataset_of(path).alias("dataset")).agg(F.count("*").alias("arquivos"))
 
 
-@query("quarantine_sales", f"""{_ARRIVED} SELECT 'quarentena' AS destino, COUNT(*) AS linhas FROM a WHERE ruim
-UNION ALL SELECT 'valido', COUNT(*) FROM a WHERE NOT ruim""")
+@query("quarantine_sales", f"""{_ARRIVED} SELECT CASE WHEN ruim THEN 'quarentena' ELSE 'valido' END AS destino,
+id_venda, cpf_cliente, valor_total, data_venda FROM a""")
 def quarantine_sales(spark, sf):
     path = scratch_path(spark, "quarentena")
     found = val.with_findings(_arrived(spark, sf), val.SPECS["vendas"]).drop("avisos")
-    good = quarantine(found, path)
-    count = lambda df, to: df.agg(F.lit(to).alias("destino"), F.count("*").alias("linhas"))
-    bad = spark.read.schema("id_venda string, erros array<string>").json(path)
-    return count(bad, "quarentena").unionByName(count(good, "valido"))
+    for _ in range(2):  # a rerun replaces its batch
+        good = quarantine(found, path, "B1")
+    kept = ("id_venda", "cpf_cliente", "valor_total", "data_venda")
+    bad = spark.read.schema(", ".join(f"{c} string" for c in kept)).json(path)
+    to = lambda df, name: df.select(F.lit(name).alias("destino"), *kept)
+    return to(bad, "quarentena").unionByName(to(good, "valido"))
 
 
 @query("freshness_alert", """SELECT MAX(ts) AS ultima_atualizacao, round((epoch(TIMESTAMP '2024-02-01') - epoch(date_trunc('second', MAX(ts)))) / 3600.0, 4) AS horas,

@@ -13,6 +13,7 @@ from quitanda.operators import rows
 from quitanda.operators.aggregates import heavy_hitters
 from quitanda.operators.keyed import apply_changes, latest_per_key, minus_by_key
 from quitanda.operators.quality import STATUSES
+from quitanda.operators.ranking import number_rows
 
 
 def _holey(spark, sf):
@@ -143,11 +144,9 @@ SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 0) AS negativo,
   EXISTS (SELECT 1 FROM orders WHERE o_custkey IS NULL) AS sem_cliente,
   EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F') AS finalizado""")
 def any_bad_row(spark, sf):
-    o = table(spark, sf, "orders")
-    found = {"negativo": rows.has_any(o, F.col("o_totalprice") < 0),
-             "sem_cliente": rows.has_any(o, F.col("o_custkey").isNull()),
-             "finalizado": rows.has_any(o, F.col("o_orderstatus") == "F")}
-    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in found.items()])
+    return table(spark, sf, "orders").agg(
+        rows.any_row(F.col("o_totalprice") < 0).alias("negativo"), rows.any_row(F.col("o_custkey").isNull()).alias("sem_cliente"),
+        rows.any_row(F.col("o_orderstatus") == "F").alias("finalizado"))
 
 
 @query("known_status", f"""WITH {SALES} SELECT status_venda IN ('CONCLUIDA','CANCELADA','DEVOLVIDA','PENDENTE') AS conhecido,
@@ -222,13 +221,12 @@ def largest_orders(spark, sf):
 
 
 @query("latest_first", """
-SELECT o_orderkey, d AS data FROM (
-  SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS d FROM orders)
-ORDER BY d DESC NULLS LAST, o_orderkey LIMIT 50""")
+SELECT o_orderkey, d AS data, row_number() OVER (ORDER BY d DESC NULLS LAST, o_orderkey) AS posicao FROM (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS d FROM orders)""")
 def latest_first(spark, sf):
     o = table(spark, sf, "orders").select(
         "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")).alias("data"))
-    return rows.top_n(o, [rows.latest_first("data"), F.asc("o_orderkey")], 50)
+    return number_rows(o, [rows.latest_first("data"), F.asc("o_orderkey")], "posicao")
 
 
 @query("heavy_hitters", """

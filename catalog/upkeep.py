@@ -155,9 +155,21 @@ def merge_schemas(spark, sf):
     return discovery.merge_schemas(per_file)
 
 
-@query("file_schemas", """SELECT 'l_orderkey' AS coluna, 'bigint' AS tipo, COUNT(*) AS linhas FROM lineitem UNION ALL SELECT 'l_returnflag', 'string', COUNT(*) FROM lineitem""")
+def _described(name: str) -> str:
+    kind = ("CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' "
+            "WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END")
+    return (f"SELECT '{name}' AS tabela, column_name AS coluna, {kind} AS tipo, (SELECT COUNT(*) FROM {name}) AS linhas "
+            f"FROM (DESCRIBE SELECT * FROM {name})")
+
+
+@query("file_schemas", " UNION ALL ".join(map(_described, ("lineitem", "orders", "customer", "part", "events"))))
 def file_schemas(spark, sf):
-    cols = dict(discovery.columns_of(spark, f"{sf}/lineitem.parquet", "parquet"))
-    shown = F.array(*[F.struct(F.lit(c).alias("coluna"), F.lit(cols[c]).alias("tipo")) for c in ("l_orderkey", "l_returnflag")])
-    return (table(spark, sf, "lineitem").agg(F.count("*").alias("linhas"))
-            .select(F.explode(shown).alias("c"), "linhas").select("c.*", "linhas"))
+    """Columns and types of the files of five tables, from their own schemas, with their rows."""
+    out = None
+    for name in ("lineitem", "orders", "customer", "part", "events"):
+        cols = discovery.columns_of(spark, f"{sf}/{name}.parquet", "parquet")
+        shown = F.array(*[F.struct(F.lit(name).alias("tabela"), F.lit(c).alias("coluna"), F.lit(t).alias("tipo")) for c, t in cols])
+        one = (table(spark, sf, name).agg(F.count("*").alias("linhas"))
+               .select(F.explode(shown).alias("c"), "linhas").select("c.*", "linhas"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -52,7 +52,9 @@ def margin_value(value: Column, cost: Column) -> Column:
 
 def mean_of(total: Column, count: Column, out: str = MONEY, scale: int = 2) -> Column:
     """Exact decimal mean of an already summed amount, rounded half up."""
-    return F.round(ratio(total.cast("decimal(26,4)"), count.cast("decimal(12,0)")), scale).cast(out)
+    # 18 digits before the point and a count of 12 digits more keep four decimals of the quotient
+    whole, n = total.cast("decimal(26,4)"), count.cast("decimal(20,0)")
+    return F.round(ratio(whole, n), scale).cast(out)
 
 
 def percent_of(part: Column, whole: Column, scale: int = 2) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.utils import AnalysisException
 
 from quitanda.operators.rows import in_range
 
@@ -14,16 +15,29 @@ def newer_than(source: DataFrame, cursor: str, last) -> DataFrame:
     return source if last is None else source.where(F.col(cursor) > F.lit(last))
 
 
-def incremental_append(spark: SparkSession, source: DataFrame, target: str, cursor: str, last=None):
-    """Append rows past the cursor and give back the new cursor; nothing new writes nothing.
+def saved_cursor(spark: SparkSession, target: str, cursor: str, before: str | None = None):
+    """Greatest cursor value of the batches kept in ``target``, those before batch ``before`` if given."""
+    try:
+        kept = spark.read.parquet(target)
+    except AnalysisException:
+        return None  # nothing was loaded yet
+    return (kept if before is None else kept.where(F.col("lote") < before)).agg(F.max(cursor)).first()[0]
 
-    The greatest cursor value is observed while the rows are written.
+
+def incremental_append(spark: SparkSession, source: DataFrame, target: str, cursor: str, batch: str):
+    """Append rows past the saved cursor as batch ``batch`` and give back the new cursor.
+
+    The cursor is what the target itself holds from earlier batches, so it cannot disagree with the
+    data: a retry of the batch reads the same rows again and replaces its own folder. Batches sort
+    by name; nothing new writes nothing.
     """
+    last = saved_cursor(spark, target, cursor, batch)
     rows = newer_than(source, cursor, last)
     if rows.isEmpty():
         return last
     seen = Observation()
-    rows.observe(seen, F.max(cursor).alias("top")).write.mode("append").parquet(target)
+    rows.observe(seen, F.max(cursor).alias("top")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static").parquet(f"{target}/lote={batch}")
     return seen.get["top"]
 
 

@@ -99,6 +99,11 @@ def has_any(df: DataFrame, predicate: Column) -> bool:
     return not df.where(predicate).isEmpty()
 
 
+def any_row(predicate: Column) -> Column:
+    """The same probe as one aggregate of the plan: false for an empty table, nulls are no match."""
+    return F.coalesce(F.bool_or(predicate), F.lit(False))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Concatenate by column name; a column missing from a frame is null there."""
     out = frames[0]

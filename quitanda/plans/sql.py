@@ -49,7 +49,7 @@ def publish(spark: SparkSession, lake: LakePaths) -> None:
     for s, names in VERSIONED.items():
         for t in names:
             path = lake.warehouse(s, t)
-            places[s, t] = f"{path}/{Versions(spark, path).current()[0]}"
+            places[s, t] = f"{path}/{Versions(spark, path).current()}"
     for (schema, name), path in places.items():
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
         spark.sql(f"DROP TABLE IF EXISTS {schema}.{name}")

@@ -28,11 +28,11 @@ def stage(df: DataFrame, loaded_at: Column, batch_id: str) -> DataFrame:
 
 
 def stage_customers(df: DataFrame, loaded_at: Column, batch_id: str, path: str) -> DataFrame:
-    """Full refresh, then the post-load assertion: a null CPF is an error."""
-    stage(df, loaded_at, batch_id).write.mode("overwrite").parquet(path)
-    staged = df.sparkSession.read.parquet(path)
+    """Full refresh once the assertion holds: a null CPF is an error and leaves the old staging in place."""
+    staged = materialize(stage(df, loaded_at, batch_id), "stg-clientes")
     assert_none(staged, F.col("cpf").isNull(), "staged customers without CPF")
-    return staged
+    staged.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def stage_sales(table: DataFrame, new: DataFrame, start: date, end: date, loaded_at: Column,
@@ -101,10 +101,16 @@ def empty_customer_dim(stg: DataFrame, as_of: date) -> DataFrame:
 
 
 def load_products(dim: DataFrame, stg: DataFrame, as_of: date) -> DataFrame:
-    """Insert products that are not in the dimension, one row per distinct triple; no updates."""
-    triples = (stg.where(F.col("produto_id").isNotNull())
-               .select("produto_id", "produto_nome", F.col("categoria_produto").alias("categoria")).distinct())
-    fresh = minus_by_key(triples, current_rows(dim), ["produto_id"]).withColumns({
+    """Insert products that are not in the dimension; no updates.
+
+    One row per ``produto_id``: of several spellings the one of the latest sale is taken, for two
+    current rows of one product would double its sales in the fact.
+    """
+    when = ["data_venda"] if "data_venda" in stg.columns else []
+    sold = (stg.where(F.col("produto_id").isNotNull())
+            .select("produto_id", "produto_nome", F.col("categoria_produto").alias("categoria"), *when))
+    newest = latest_per_key(sold, ["produto_id"], when).drop(*when)
+    fresh = minus_by_key(newest, current_rows(dim), ["produto_id"]).withColumns({
         "data_inicio_vigencia": F.lit(as_of), "data_fim_vigencia": F.lit(None).cast("date"),
         "registro_atual": F.lit(True)})
     keyed = sequence_keys(fresh, dim, "sk_produto", ["produto_id", "produto_nome", "categoria"])
@@ -134,19 +140,3 @@ def fact_rows(stg: DataFrame, customers: DataFrame, products: DataFrame, calenda
 def orphan_count(stg: DataFrame, customers: DataFrame, start: date, end: date) -> DataFrame:
     return joins.orphan_sales(in_range(stg, "data_venda", start, end), customers).agg(
         F.count("*").alias("sem_cliente"))
-
-
-def save_fact_range(spark: SparkSession, table: str, rows: DataFrame, start: date, end: date) -> None:
-    """Replace a date range of a fact table partitioned by sale day.
-
-    Days of the range that got no rows are dropped; the others are overwritten one partition each.
-    """
-    dated = rows.withColumn("dia", F.to_date("data_venda"))
-    if not spark.catalog.tableExists(table):
-        dated.hint("rebalance", "dia").write.partitionBy("dia").format("parquet").saveAsTable(table)
-        return
-    days = [start + timedelta(days=i) for i in range((end - start).days + 1)]
-    specs = ", ".join(f"PARTITION (dia = DATE'{d}')" for d in days)
-    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
-    (dated.select(*spark.table(table).columns).hint("rebalance", "dia")
-     .write.mode("overwrite").insertInto(table))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -87,13 +86,8 @@ _scratch: list[str] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint directory."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+    """A fresh folder under ``spark.checkpoint.dir`` or, without one, the warehouse every executor shares."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{shared.rstrip('/')}/quitanda/{label}-{uuid.uuid4().hex}"
     _scratch.append(path)
     return path

@@ -51,32 +51,9 @@ def first_list_json(spark: SparkSession, path: str, ddl: str, multi_line: bool =
     return lines.select(F.explode(F.from_json(found, f"array<struct<{ddl}>>")).alias("c")).select("c.*")
 
 
-def arrived_files(spark: SparkSession, path: str, fmt: str, columns, ingested_at: Column) -> DataFrame:
-    """All rows of arrived CSV or JSON files as text, tagged with their file, for validation."""
-    reader = spark.read.schema(schemas.all_strings(columns)).option("recursiveFileLookup", True)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    else:
-        reader = reader.option("multiLine", True)
-    return with_source(reader.format(fmt).load(path), ingested_at)
-
-
-def sales_csv(spark: SparkSession, path: str, ingested_at: Column,
-              columns=schemas.SALE_COLUMNS) -> DataFrame:
-    """Every column as text: inference would strip leading zeros off the CPF.
-
-    Files are matched by position after the header check, so pass the file's own column order.
-    """
-    raw = (spark.read.schema(schemas.all_strings(columns))
-           .option("header", True).option("enforceSchema", False)
-           .option("recursiveFileLookup", True)
-           .csv(path))
-    return with_source(raw, ingested_at)
-
-
 def processed_customers(spark: SparkSession, path: str, unique: bool = True) -> DataFrame:
     """Join columns of the processed customers, one row per CPF unless the caller dedups itself."""
-    cols = ("cpf", "nome", "uf", "cidade", "segmento_cliente")
+    cols = ("cpf", "nome", "email", "uf", "cidade", "segmento_cliente")
     found = select_existing(spark.read.parquet(path), cols)
     return latest_per_key(found, ["cpf"], []) if unique else found
 

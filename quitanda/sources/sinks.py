@@ -9,19 +9,17 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from quitanda.functions.dates import two_digits
 from quitanda.session import many_files
 
-ROWS_PER_FILE = 100_000
-
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], *,
-                      rows_per_file: int = ROWS_PER_FILE, mode: str = "overwrite") -> None:
-    """Parquet by partition column; only the partitions present in ``df`` are replaced.
+                      rows_per_file: int = 0, mode: str = "overwrite", whole: bool = False) -> None:
+    """Parquet by partition column; only the partitions present in ``df`` are replaced, or all if ``whole``.
 
     Rows are rebalanced on the partition columns, so small values share a task and AQE splits
     a value that holds much of the data.
     """
     with many_files(df.sparkSession):
         (df.hint("rebalance", *by)
-           .write.mode(mode).option("partitionOverwriteMode", "dynamic")
+           .write.mode(mode).option("partitionOverwriteMode", "static" if whole else "dynamic")
            .option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path))
 
 
@@ -51,7 +49,8 @@ def replace_days(df: DataFrame, path: str, day: str, start: date, end: date, par
 
 
 def write_customers(df: DataFrame, path: str) -> None:
-    write_partitioned(df, path, ["uf"])
+    """The full set of customers: a customer who moved leaves no row in the old state."""
+    write_partitioned(df, path, ["uf"], whole=True)
 
 
 def with_year_month(df: DataFrame, day: str = "data_venda") -> DataFrame:
@@ -69,23 +68,28 @@ def write_aggregate(df: DataFrame, path: str, as_of: Column) -> None:
        .partitionBy("data_ref").json(path))
 
 
-def land_raw(df: DataFrame, path: str, day: Column, compression: str = "gzip") -> None:
-    """Append compressed JSON lines under ``ano=/mes=/dia=``."""
+def land_raw(df: DataFrame, path: str, day: Column, batch: str, compression: str = "gzip") -> None:
+    """Compressed JSON lines under ``ano=/mes=/dia=/lote=``; a rerun of the batch replaces its folders."""
     (df.withColumns({"ano": F.year(day).cast("string"), "mes": two_digits(F.month(day)),
-                     "dia": two_digits(F.dayofmonth(day))})
-       .write.mode("append").option("compression", compression)
-       .partitionBy("ano", "mes", "dia").json(path))
+                     "dia": two_digits(F.dayofmonth(day)), "lote": F.lit(batch)})
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression)
+       .partitionBy("ano", "mes", "dia", "lote").json(path))
+
+
+def write_batch(df: DataFrame, path: str, batch: str, fmt: str = "json") -> None:
+    """One batch of a growing dataset in its own ``lote=`` folder; a rerun replaces that folder."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt).save(f"{path}/lote={batch}")
 
 
-def quarantine(df: DataFrame, path: str, errors: str = "erros") -> DataFrame:
-    """Write rows with errors aside and give back the clean ones."""
+def quarantine(df: DataFrame, path: str, batch: str, errors: str = "erros") -> DataFrame:
+    """Write rows with errors aside, under their batch, and give back the clean ones."""
     bad = F.size(errors) > 0
-    df.where(bad).write.mode("append").json(path)
+    write_batch(df.where(bad), path, batch)
     return df.where(~bad).drop(errors)
 
 
-def append_report(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def append_report(df: DataFrame, path: str, batch: str) -> None:
+    write_batch(df, path, batch)
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:

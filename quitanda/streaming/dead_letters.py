@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quitanda.schemas import SALE_MESSAGE, SALE_MESSAGE_REQUIRED
-from quitanda.streaming.writers import replace_batch
+from quitanda.streaming.writers import batch_folder, replace_batch
 
 MAX_ATTEMPTS = 3
 
@@ -33,10 +33,11 @@ def route_dead_letters(ok: str, retry: str, dlq: str, **how) -> Callable[[DataFr
     """foreachBatch handler writing each route to its own folder."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         routed = route_messages(batch, **how).persist()
-        replace_batch(routed.where("rota = 'ok'").select("mensagem.*").write.format("parquet"), batch_id, ok)
+        folder = batch_folder(batch.sparkSession, batch_id)
+        replace_batch(routed.where("rota = 'ok'").select("mensagem.*").write.format("parquet"), folder, ok)
         left = routed.select(F.col(how.get("value", "value")), how.get("attempts", "tentativas"), "erros", "rota")
         for route, path in (("repetir", retry), ("dlq", dlq)):
-            replace_batch(left.where(F.col("rota") == route).drop("rota").write.format("parquet"), batch_id, path)
+            replace_batch(left.where(F.col("rota") == route).drop("rota").write.format("parquet"), folder, path)
         routed.unpersist()
 
     return handle

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, DataFrameWriter, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quitanda.functions.dates import hour_label
@@ -18,7 +18,7 @@ def finish(writer) -> StreamingQuery:
     return query
 
 
-def write_raw_events(events: DataFrame, path: str, checkpoint: str, rows_per_file: int = 1000,
+def write_raw_events(events: DataFrame, path: str, checkpoint: str, rows_per_file: int = 0,
                      rows_per_task: int = 1_000_000, every: str | None = None):
     """JSON lines by event type and hour of event time; give ``every`` for a timed trigger.
 
@@ -35,9 +35,11 @@ def write_raw_events(events: DataFrame, path: str, checkpoint: str, rows_per_fil
         cuts = parts.count() // rows_per_task + 1
         # A numbered shuffle is not coalesced: creating files, not bytes, is what takes time.
         tasks = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        shuffled = parts.repartition(tasks, "tipo", "hora", F.pmod(F.xxhash64("_id"), F.lit(cuts)))
+        # Events without an id are dealt by their whole content, not into one task.
+        content = F.xxhash64("_id", F.to_json(F.struct(*batch.columns)))
+        shuffled = parts.repartition(tasks, "tipo", "hora", F.pmod(content, F.lit(cuts)))
         replace_batch(shuffled.write.option("maxRecordsPerFile", rows_per_file).partitionBy("tipo", "hora").format("json"),
-                      batch_id, path)
+                      batch_folder(batch.sparkSession, batch_id), path)
         parts.unpersist()
 
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
@@ -58,9 +60,18 @@ def write_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
                   .option("checkpointLocation", checkpoint))
 
 
-def replace_batch(writer: DataFrameWriter, batch_id: int, path: str) -> None:
+def batch_folder(spark: SparkSession, batch_id: int) -> str:
+    """Folder of a micro-batch: the id of its query, which lives in the checkpoint, and its number.
+
+    A retry finds the same folder; a query with a new checkpoint starts folders of its own.
+    """
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "lote"
+    return f"lote={query}-{batch_id}"
+
+
+def replace_batch(writer: DataFrameWriter, folder: str, path: str) -> None:
     """Write into the micro-batch's own folder; a retry of the batch replaces just that folder."""
-    writer.mode("overwrite").option("partitionOverwriteMode", "static").save(f"{path}/lote={batch_id}")
+    writer.mode("overwrite").option("partitionOverwriteMode", "static").save(f"{path}/{folder}")
 
 
 def validate_and_route(dataset: str, valid: str, quarantine: str, reports: str) -> Callable[[DataFrame, int], None]:
@@ -69,13 +80,14 @@ def validate_and_route(dataset: str, valid: str, quarantine: str, reports: str)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        replace_batch(validate_files(batch, spec).write.format("parquet"), batch_id, reports)
+        folder = batch_folder(batch.sparkSession, batch_id)
+        replace_batch(validate_files(batch, spec).write.format("parquet"), folder, reports)
         # Read back: a written table has a known size, so Spark can decide on a broadcast.
-        verdicts = batch.sparkSession.read.parquet(f"{reports}/lote={batch_id}")
+        verdicts = batch.sparkSession.read.parquet(f"{reports}/{folder}")
         routed = with_findings(batch, spec).join(verdicts.select("_source_file", "valido"), "_source_file")
         good = routed.where("valido").drop("erros", "avisos", "valido")
-        replace_batch(good.write.format("parquet"), batch_id, valid)
-        replace_batch(routed.where("NOT valido").write.format("parquet"), batch_id, quarantine)
+        replace_batch(good.write.format("parquet"), folder, valid)
+        replace_batch(routed.where("NOT valido").write.format("parquet"), folder, quarantine)
         batch.unpersist()
 
     return handle

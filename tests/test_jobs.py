@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quitanda.plans import customers, daily, sales
 from quitanda.sources import files, sinks
+from quitanda.sources.arrivals import csv_arrivals, read_sales, validate_arrivals
 
 
 @pytest.fixture()
@@ -78,7 +79,8 @@ def lake(spark, raw, tmp_path):
 
 def _run(spark, lake):
     folder, people, out, cols = lake
-    source = files.sales_csv(spark, folder, F.lit(NOW).cast("timestamp"), cols)
+    source, aside = read_sales(spark, folder, cols, F.lit(NOW).cast("timestamp"))
+    assert aside.count() == 0
     result = sales.transform_sales(source, files.processed_customers(spark, people), F.lit(NOW).cast("timestamp"))
     sinks.write_sales(result, out)
     return spark.read.parquet(out)
@@ -137,10 +139,10 @@ def test_jdbc_and_kafka_options():
 def test_snapshot_report_and_unload(spark, rows, tmp_path):
     df = rows([(1, "a"), (2, "b")], "n int, s string")
     for _ in range(2):
-        sinks.append_report(df, str(tmp_path / "r"))
+        sinks.append_report(df, str(tmp_path / "r"), "B1")
         sinks.write_snapshot(df, str(tmp_path / "s"))
         sinks.unload(df, str(tmp_path / "u"))
-    assert spark.read.json(str(tmp_path / "r")).count() == 4
+    assert spark.read.json(str(tmp_path / "r")).count() == 2
     assert spark.read.json(str(tmp_path / "s")).count() == 2
     assert spark.read.parquet(str(tmp_path / "u")).count() == 2
 
@@ -157,11 +159,8 @@ def test_arrived_files_keep_their_path(spark, tmp_path):
     folder.mkdir(parents=True)
     (folder / "a.csv").write_text("id_venda,valor_total\n1,10.5\n2,\n")
     (folder / "b.csv").write_text("id_venda,valor_total\n")
-    rows = files.arrived_files(spark, str(folder), "csv", ("id_venda", "valor_total"), F.lit(NOW).cast("timestamp"))
-    arrived = files.list_objects(spark, str(folder)).select(F.col("path").alias("_source_file"))
-    tail = F.element_at(F.split("_source_file", "/"), -1)
-    found = val.validate_files(rows.withColumn("_source_file", tail), val.SPECS["vendas"], files=arrived.withColumn("_source_file", tail))
-    got = {r._source_file: (r.total_registros, r.erros, r.valido, r.colunas_ausentes) for r in found.collect()}
+    found = validate_arrivals(csv_arrivals(spark, str(folder)), val.SPECS["vendas"])
+    got = {r._source_file.rsplit("/", 1)[1]: (r.total_registros, r.erros, r.valido, r.colunas_ausentes) for r in found.collect()}
     assert got == {"a.csv": (2, 1, False, "cpf_cliente,data_venda"), "b.csv": (0, 0, False, "cpf_cliente,data_venda")}
     assert dict(discovery.columns_of(spark, str(folder), "csv", header=True, inferSchema=True))["valor_total"] == "double"
     (tmp_path / "j.json").write_text('[{"a": 1, "b": "x"}]')

@@ -72,11 +72,18 @@ def test_paged_api(spark, tmp_path):
 
     for page in range(5):
         put(tmp_path, f"p{page}.json", json.dumps({"vendas": [{"id": page * 2 + i, "valor": 1.5} for i in range(2)]}))
+    for page in (5, 6):
+        put(tmp_path, f"p{page}.json", json.dumps({"vendas": []}))
     api.register(spark)
     df = (spark.read.format("paged_json").schema("id long, valor double, canal string").option("records", "vendas")
           .option("partitions", "2").option("url", f"file://{tmp_path}/p{{page}}.json").load())
     assert sorted(r.id for r in df.collect()) == list(range(10))
     assert df.agg(F.sum("valor")).first()[0] == 15.0
+    url = f"file://{tmp_path}/p{{page}}.json"
+    reader = spark.read.format("paged_json").schema("id long").option("records", "vendas").option("url", url)
+    assert reader.option("partitions", "4").option("pages", "5").load().count() == 10
+    with pytest.raises(Exception, match="(?s)No such file|p7.json"):  # a page that is not there is an error, not the end
+        reader.option("partitions", "4").option("pages", "9").load().count()
 
 
 def test_hot_key_join_is_split(spark, rows):

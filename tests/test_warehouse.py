@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quitanda.operators import incremental, joins
 from quitanda.operators.rows import current_rows
 from quitanda.plans import marts, warehouse as dw
+from quitanda.plans.nightly import Versions
 from quitanda.plans.calendar import calendar, days_between, extend_calendar, stamp
 from quitanda.session import materialize
 
@@ -99,18 +100,6 @@ def test_fact_rows(spark, rows, loaded):
     assert joins.orphan_sales(stg, dim).count() == 1
 
 
-def test_fact_table_reload(spark, rows):
-    def load(days, start, end):
-        data = [(datetime(2024, 1, d, 8), n) for d, n in days]
-        dw.save_fact_range(spark, "fato_teste", rows(data, "data_venda timestamp, n int"), date(2024, 1, start), date(2024, 1, end))
-        return sorted((r.dia.day, r.n) for r in spark.table("fato_teste").collect())
-
-    assert load([(1, 1), (2, 1), (3, 1)], 1, 3) == [(1, 1), (2, 1), (3, 1)]
-    assert load([(2, 2)], 2, 3) == [(1, 1), (2, 2)]
-    assert load([(2, 2)], 2, 3) == [(1, 1), (2, 2)]
-    spark.sql("DROP TABLE fato_teste")
-
-
 def test_products_are_inserted_once(spark, rows):
     stg = rows([("P1", "a", "x"), ("P1", "a", "x"), ("P2", "b", "x"), (None, "c", "x")], "produto_id string, produto_nome string, categoria_produto string")
     first = materialize(dw.load_products(dw.empty_product_dim(stg, D1), stg, D1), "t")
@@ -119,6 +108,33 @@ def test_products_are_inserted_once(spark, rows):
     assert sorted((r.sk_produto, r.produto_id, r.produto_nome) for r in again.collect()) == [(1, "P1", "a"), (2, "P2", "b")]
 
 
+def test_two_spellings_are_one_product(spark, rows):
+    kind = "produto_id string, produto_nome string, categoria_produto string, data_venda timestamp"
+    stg = rows([("P1", "Mesa", "x", T0), ("P1", "MESA", "x", datetime(2024, 1, 5)), ("P2", "b", "x", None)], kind)
+    got = dw.load_products(dw.empty_product_dim(stg, D1), stg, D1).collect()
+    assert sorted((r.sk_produto, r.produto_id, r.produto_nome) for r in got) == [(1, "P1", "MESA"), (2, "P2", "b")]
+
+
+def test_refused_staging_leaves_the_old_one(spark, rows, tmp_path):
+    path = str(tmp_path / "stg")
+    dw.stage_customers(rows([("1",)], "cpf string"), F.lit(T0), "B1", path)
+    with pytest.raises(ValueError):
+        dw.stage_customers(rows([(None,)], "cpf string"), F.lit(T0), "B2", path)
+    assert [r.cpf for r in spark.read.parquet(path).collect()] == ["1"]
+
+
+def test_versions_survive_a_crash(spark, rows, tmp_path):
+    store = Versions(spark, str(tmp_path / "dim"), keep=2)
+    assert store.read() is None
+    store.write(rows([(1,)], "n int"), "B1")
+    store.write(rows([(2,)], "n int"), "B2")
+    again = store.write(rows([(3,)], "n int"), "B2")  # a rerun: another folder, from the version before the batch
+    assert again.first().n == 3 and store.read("B2").first().n == 1 and store.read().first().n == 3
+    (tmp_path / "dim" / "v=00000009-B3").mkdir()  # a load that died
+    assert store.read().first().n == 3
+    assert store.write(rows([(4,)], "n int"), "B3").first().n == 4 and store.read("B3").first().n == 3
+
+
 def test_staging(spark, rows, tmp_path):
     with pytest.raises(ValueError):
         dw.stage_customers(rows([(None,)], "cpf string"), F.lit(T0), "B1", str(tmp_path / "stg"))
@@ -135,9 +151,12 @@ def test_calendar_extends_once(spark):
 def test_incremental_append_without_news(spark, rows, tmp_path):
     target = str(tmp_path / "t")
     src = rows([(1,), (2,)], "n int")
-    mark = incremental.incremental_append(spark, src, target, "n")
-    assert mark == 2 and incremental.incremental_append(spark, src, target, "n", mark) == 2
+    assert incremental.incremental_append(spark, src, target, "n", "B1") == 2
+    assert incremental.incremental_append(spark, src, target, "n", "B1") == 2
+    assert incremental.incremental_append(spark, src, target, "n", "B2") == 2
     assert spark.read.parquet(target).count() == 2
+    assert incremental.incremental_append(spark, rows([(2,), (3,)], "n int"), target, "n", "B2") == 3
+    assert sorted(r.n for r in spark.read.parquet(target).collect()) == [1, 2, 3]
 
 
 def test_customer_as_of(spark, rows):
