@@ -165,7 +165,7 @@ def land_raw(spark, sf):
     for _ in range(2):  # a rerun replaces its batch
         sinks.land_raw(e, path, F.col("data"), "B1")
     kept = "event_id bigint, user_id bigint, event_type string, value double, props string, ano string, mes string, dia string"
-    return spark.read.schema(kept).json(path)
+    return spark.read.schema(kept).json(path).drop("lote")
 
 
 @query("product_catalog", """SELECT CAST(p_partkey AS VARCHAR) AS produto_id, p_name AS produto_nome FROM part""")
@@ -199,11 +199,19 @@ def unload_query(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("list_objects")
+@query("list_objects", """SELECT CASE o_orderkey % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'processed' ELSE 'archived' END AS zona,
+CAST(SUM(octet_length(encode(o_orderkey || ';' || o_orderpriority)) + 1) AS BIGINT) AS bytes FROM orders GROUP BY 1""")
 def list_objects(spark, sf):
-    """Objects and bytes of the given folder, from the file listing."""
-    found = files.list_objects(spark, sf, "*.parquet")
-    return zone_stats(found.withColumn("path", F.concat(F.lit("raw/"), F.element_at(F.split("path", "/"), -1))))
+    """Bytes per zone from the file listing, of orders written as text lines into three zones."""
+    root = scratch_path(spark, "zonas")
+    k = F.col("o_orderkey")
+    lines = table(spark, sf, "orders").select(
+        F.concat_ws(";", k.cast("string"), "o_orderpriority").alias("value"),
+        F.when(k % 3 == 0, "raw").when(k % 3 == 1, "processed").otherwise("archived").alias("zona"))
+    lines.write.partitionBy("zona").text(root)
+    found = files.list_objects(spark, root, "*.txt")
+    zone = F.regexp_extract("path", "/zona=([^/]+)/", 1)
+    return zone_stats(found.withColumn("path", F.concat(zone, F.lit("/"), F.element_at(F.split("path", "/"), -1)))).drop("objetos")
 
 
 @query("keyed_messages", """SELECT CAST(user_id AS VARCHAR) AS key, '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type

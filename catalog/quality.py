@@ -181,7 +181,9 @@ def _arrived(spark, sf):
 
 
 _ARRIVED = f"""WITH {SALES}, a AS (SELECT id_pedido, 'raw/vendas/ano=' || strftime(data_venda, '%Y/mes=%m') || '/vendas.csv' AS _source_file,
-id_pedido % 997 IN (1, 2, 3) OR valor_total < 0.01 AS ruim FROM sales)"""
+id_pedido % 997 IN (1, 2, 3) OR valor_total < 0.01 AS ruim, CAST(id_pedido AS VARCHAR) AS id_venda, cpf_cliente,
+CASE id_pedido % 997 WHEN 1 THEN NULL WHEN 2 THEN 'R$ 0,00' WHEN 3 THEN 'grátis' ELSE CAST(valor_total AS VARCHAR) END AS valor_total,
+strftime(data_venda, '%Y-%m-%d') AS data_venda FROM sales)"""
 
 
 @query("validate_files", f"""{_ARRIVED} SELECT _source_file, COUNT(*) AS total_registros, COUNT(*) FILTER (ruim) AS registros_invalidos,

@@ -10,6 +10,7 @@ from catalog.registry import query
 from catalog.tables import cpf_text, table
 from quitanda.functions import privacy
 from quitanda.operators import discovery, retention
+from quitanda.session import scratch_path
 
 AS_OF = "2001-08-02"
 
@@ -173,3 +174,25 @@ def file_schemas(spark, sf):
                .select(F.explode(shown).alias("c"), "linhas").select("c.*", "linhas"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_CRAWLED = (
+    ("raw_pedidos_novos", "csv", "o_orderkey:bigint o_totalprice:double o_orderdate:timestamp o_orderpriority:string ano:bigint", "orders"),
+    ("raw_eventos", "json", "event_id:bigint event_type:string user_id:bigint", "events"),
+    ("processed_clientes", "parquet", "c_custkey:bigint c_name:string c_mktsegment:string", "customer"),
+)
+
+
+@query("crawl_columns", " UNION ALL ".join(
+    f"SELECT '{t}' AS tabela, '{f}' AS formato, '{c.split(':')[0]}' AS coluna, '{c.split(':')[1]}' AS tipo FROM (SELECT COUNT(*) FROM {source})"
+    for t, f, cols, source in _CRAWLED for c in cols.split()))
+def crawl_columns(spark, sf):
+    """Tables of three formats written under one root, found again with their columns and types."""
+    root = scratch_path(spark, "lago-varrido")
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", "o_totalprice", F.col("o_orderdate").cast("string").alias("o_orderdate"), "o_orderpriority",
+        F.year("o_orderdate").cast("string").alias("ano"))
+    o.hint("rebalance", "ano").write.partitionBy("ano").option("header", True).csv(f"{root}/raw/pedidos-novos")
+    table(spark, sf, "events").select("event_id", "event_type", "user_id").write.json(f"{root}/raw/eventos")
+    table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment").write.parquet(f"{root}/processed/clientes")
+    return discovery.crawl_columns(spark, root)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quitanda.functions.money import parse_money
+from quitanda.sources.files import list_objects
 
 _TESTS = {
     "bigint": lambda c: c.rlike(r"^\s*[+-]?\d+\s*$") & c.try_cast("bigint").isNotNull(),
@@ -72,3 +75,30 @@ def crawl(objects: DataFrame, key: str = "key") -> DataFrame:
         F.max(parts).alias("particoes"),
         F.count("*").alias("arquivos"), F.sum("bytes").cast("bigint").alias("bytes"))
 
+
+def crawl_columns(spark: SparkSession, root: str) -> DataFrame:
+    """Columns and types of every table found under ``root``: (tabela, formato, coluna, tipo).
+
+    Parquet answers from its footers; text formats get the narrowest type that all of their values
+    fit, partition keys included. What reaches the driver is one row per table.
+    """
+    base = root.rstrip("/") + "/"
+    local = re.sub("^[a-z0-9]+:/*", "/", base)  # listings spell the scheme in their own way
+    listed = list_objects(spark, root).where(~F.col("path").rlike(r"/[._][^/]*$"))
+    short = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
+    key = F.replace(short, F.lit(local), F.lit(""))
+    found = crawl(listed.select(key.alias("key"), "bytes")).select("tabela", "localizacao", "formato").collect()
+    out = None
+    for t in found:
+        place = f"{base}{t.localizacao}"
+        if t.formato == "parquet":
+            cols = spark.createDataFrame(columns_of(spark, place, "parquet"), "coluna string, tipo string")
+        elif t.formato == "csv":
+            cols = infer_types(spark.read.option("header", True).csv(place))
+        elif t.formato == "json":
+            cols = infer_types(spark.read.option("primitivesAsString", True).json(place))
+        else:
+            continue
+        one = cols.select(F.lit(t.tabela).alias("tabela"), F.lit(t.formato).alias("formato"), "coluna", "tipo")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], "tabela string, formato string, coluna string, tipo string")
