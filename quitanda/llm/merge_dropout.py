@@ -28,9 +28,18 @@ from quitanda.llm.common import arrow_bytes
 BLANK = "▁"
 VARIANTS = 2
 RATE = 0.1
-CACHE_UNITS = 200_000
+CACHE_UNITS = 300_000
+LONGEST = 64  # characters of a unit that is segmented together with others
 _UNIT = re.compile(r" *[^ \n]+|\n| +")
 _MASK = (1 << 64) - 1
+_PLACE, _SIZE, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
+
+
+def _skipped(key, place, size, limit: int):
+    """Whether the candidate at ``place`` of ``size`` characters is skipped; numbers or arrays, 64 bits wide."""
+    h = key ^ (place * _PLACE + size * _SIZE & _MASK)
+    h = (h ^ h >> 29) * _MIX & _MASK
+    return (h ^ h >> 32) & 0xFFFFFFFF < limit
 
 
 class Pieces:
@@ -40,11 +49,12 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        size = model.get_piece_size()
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
         self.bytes = [0] * 256
         self.out: list[bytes] = []
-        for i in range(model.get_piece_size()):
+        for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 value = int(piece[3:5], 16)
@@ -58,9 +68,47 @@ class Pieces:
                 self.ids[piece] = i
                 self.score[piece] = model.get_score(i)
                 self.out.append(piece.replace(BLANK, " ").encode())
+        self.char = np.full(0x110000, -1, np.int64)
+        for piece, i in self.ids.items():
+            if len(piece) == 1 and piece != BLANK:
+                self.char[ord(piece)] = i
+        self.char[32] = self.ids.get(BLANK, -1)
+        # rank of pieces as merges, best score first
+        order = sorted(self.ids.items(), key=lambda x: (-self.score[x[0]], x[1]))
+        self.rank = np.zeros(size, np.int64)
+        for n, (_, i) in enumerate(order):
+            self.rank[i] = n
+        # every way to put a piece together from two, in an open-addressed table
+        pairs = {(self.ids[p[:c]], self.ids[p[c:]]): i for p, i in self.ids.items() for c in range(1, len(p))
+                 if p[:c] in self.ids and p[c:] in self.ids}
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys, self.union = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        key = np.array([a << 32 | b for a, b in pairs], np.int64)
+        value = np.array(list(pairs.values()), np.int64)
+        slot, self.probes = self._slot(key), 0
+        while len(key):
+            self.probes += 1
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = key[free]  # of several in one slot the last stays
+            placed = self.keys[slot] == key
+            self.union[slot[placed]] = value[placed]
+            key, value, slot = key[~placed], value[~placed], slot[~placed] + 1 & (1 << self.bits) - 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(_PLACE) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece each pair of pieces makes, or -1."""
+        key = left << 32 | right
+        slot, out = self._slot(key), np.full(len(key), -1, np.int64)
+        for _ in range(self.probes):
+            found = self.keys[slot] == key
+            out[found] = self.union[slot[found]]
+            slot = slot + 1 & (1 << self.bits) - 1
+        return out
 
     def segment(self, unit: str, key: int, limit: int) -> list[str]:
-        """Pieces of a unit (blanks already BLANK); a candidate with hash below ``limit`` is skipped."""
+        """Pieces of one unit of any length by an agenda on a heap."""
         score = self.score
         n = len(unit)
         piece = list(unit)
@@ -74,13 +122,8 @@ class Pieces:
         while agenda:
             _, i, j, size = heappop(agenda)
             a, b = piece[i], piece[j] if j < n else ""
-            if not a or not b or right[i] != j or len(a) + len(b) != size:
+            if not a or not b or right[i] != j or len(a) + len(b) != size or (limit and _skipped(key, i, size, limit)):
                 continue
-            if limit:
-                h = (key ^ (i * 0x9E3779B97F4A7C15 + size * 0xC2B2AE3D27D4EB4F)) & _MASK
-                h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & _MASK
-                if (h ^ h >> 32) & 0xFFFFFFFF < limit:
-                    continue
             piece[i], piece[j] = a + b, ""
             k = right[j]
             right[i] = k
@@ -96,61 +139,152 @@ class Pieces:
                     heappush(agenda, (-s, h, i, size + len(piece[h])))
         return [p for p in piece if p]
 
-    def unit_ids(self, unit: str, seed: int, variant: int, limit: int) -> bytes:
-        """Ids of a unit as little-endian 16-bit or, for larger vocabularies, 32-bit numbers."""
-        parts = unit.split(BLANK)  # a literal blank mark is text, not a blank
-        key = xxhash.xxh3_64_intdigest(unit.encode(), seed=(seed * 0x9E3779B1 + variant) & _MASK)
+    def unit_ids(self, unit: str, key: int, limit: int) -> list[int]:
+        """Ids of one unit; characters without a piece, and a literal blank mark, as bytes."""
         ids: list[int] = []
-        for n, part in enumerate(parts):
+        for n, part in enumerate(unit.split(BLANK)):
             if n:
                 ids += [self.bytes[b] for b in BLANK.encode()]
-            for p in self.segment(part.replace(" ", BLANK), key + n, limit):
+            for p in self.segment(part.replace(" ", BLANK), key + n & _MASK, limit):
                 got = self.ids.get(p)
                 ids += [got] if got is not None else [self.bytes[b] for b in p.replace(BLANK, " ").encode()]
-        return np.array(ids, self.kind).tobytes()
+        return ids
+
+    def many_ids(self, units: list[str], keys: np.ndarray, limit: int) -> list[list[int]]:
+        """Ids of many units: the agendas of all short units are worked off in step.
+
+        In each round every unit takes the best candidate of its agenda that is not skipped, the
+        leftmost of equals; only the candidates beside a merge are made anew.
+        """
+        out: list = [None] * len(units)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        owner = np.repeat(np.arange(len(units)), sizes)
+        symbol = self.char[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
+        plain = np.ones(len(units), bool)
+        plain[owner[symbol < 0]] = False
+        plain &= sizes <= LONGEST
+        for n in np.flatnonzero(~plain):
+            out[n] = self.unit_ids(units[n], int(keys[n]), limit)
+        kept = plain[owner]
+        owner, symbol = owner[kept], symbol[kept]
+        size = np.ones(len(symbol), np.int64)
+        place = np.arange(len(symbol)) - np.searchsorted(owner, owner)
+        none = np.int64(1) << 62
+
+        def worth(at: np.ndarray) -> np.ndarray:
+            """Rank and place of the candidate that starts at each symbol ``at``; ``none`` without one."""
+            value = np.full(len(at), none)
+            at_end = at + 1 >= len(owner)
+            inside = np.flatnonzero(~at_end & (owner[at] == owner[np.where(at_end, at, at + 1)]))
+            left = at[inside]
+            union = self.joined(symbol[left], symbol[left + 1])
+            ok = union >= 0
+            if limit:
+                span = (size[left] + size[left + 1]).astype(np.uint64)
+                ok &= ~_skipped(keys[owner[left]], place[left].astype(np.uint64), span, limit)
+            inside, left, union = inside[ok], left[ok], union[ok]
+            value[inside] = self.rank[union] << 20 | place[left]
+            return value
+
+        value = worth(np.arange(len(owner)))
+        while len(owner):
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            best = np.minimum.reduceat(value, first)
+            count = np.diff(np.r_[first, len(owner)])
+            over = best == none
+            if over.any():
+                for n, a, c in zip(owner[first[over]].tolist(), first[over].tolist(), count[over].tolist()):
+                    out[n] = symbol[a:a + c].tolist()
+                on = np.repeat(~over, count)
+                owner, symbol, size, place, value = owner[on], symbol[on], size[on], place[on], value[on]
+                best, count = best[~over], count[~over]
+                continue_at = np.r_[0, np.cumsum(count)[:-1]] if len(count) else count
+            else:
+                continue_at = first
+            if not len(owner):
+                break
+            hit = np.flatnonzero(value == np.repeat(best, count))
+            symbol[hit] = self.joined(symbol[hit], symbol[hit + 1])
+            size[hit] += size[hit + 1]
+            left = np.ones(len(owner), bool)
+            left[hit + 1] = False
+            moved = np.cumsum(left) - 1
+            starts = moved[continue_at]
+            hit = moved[hit]
+            owner, symbol, size, place, value = owner[left], symbol[left], size[left], place[left], value[left]
+            value[hit] = worth(hit)
+            before = hit[hit > starts] - 1
+            value[before] = worth(before)
+        return out
 
     @property
     def kind(self) -> str:
         return "<u2" if len(self.out) <= 1 << 16 else "<u4"
 
 
-class _Units(dict):
-    def __init__(self, pieces: Pieces, seed: int, variant: int, limit: int):
+class _Index(dict):
+    """Unit -> number, numbered as they come; ``fresh`` has those not segmented yet."""
+
+    def __init__(self):
         super().__init__()
-        self.how = pieces, seed, variant, limit
-
-    def __missing__(self, unit: str) -> bytes:
-        pieces, seed, variant, limit = self.how
-        ids = pieces.unit_ids(unit, seed, variant, limit)
-        if len(unit) <= 24:
-            if len(self) >= CACHE_UNITS:
-                self.clear()
-            self[unit] = ids
-        return ids
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        self.fresh.append(unit)
+        return n
 
 
 class Segmenter:
-    """Text to ids and back, with a bounded cache of units per variant."""
+    """Texts to ids and back; each distinct unit is segmented once per variant while it is remembered."""
 
     def __init__(self, path: str, seed: int = 0, rate: float = RATE, variants: int = VARIANTS):
         self.pieces = Pieces(path)
-        self.units = [_Units(self.pieces, seed, v, int(rate * (1 << 32))) for v in range(variants if rate else 1)]
-        self.seed = seed
+        self.seed, self.limit = seed & _MASK, int(rate * (1 << 32))
+        self.variants = variants if rate else 1
+        self._forget()
+
+    def _forget(self):
+        self.index = _Index()
+        self.flat = np.zeros(0, self.pieces.kind)
+        self.start = np.zeros(1, np.int64)
+
+    def _learn(self):
+        fresh, self.index.fresh = self.index.fresh, []
+        made = []
+        for v in range(self.variants):
+            salt = self.seed * 0x9E3779B1 + v & _MASK
+            keys = np.fromiter((xxhash.xxh3_64_intdigest(u.encode(), seed=salt) for u in fresh), np.uint64, len(fresh))
+            made.append(self.pieces.many_ids(fresh, keys, self.limit))
+        each = [ids for group in zip(*made) for ids in group]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in each for i in ids), self.pieces.kind)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per text, all ids). The units of a text take turns among the variants, from a place that
+        the seed and the text decide."""
+        units, upto, turn = [], [0], []
+        for t in texts:
+            if t:
+                units += _UNIT.findall(" " + t)  # the blank every text starts with
+            turn.append(xxhash.xxh3_64_intdigest(t[:64].encode(), seed=self.seed) % self.variants)
+            upto.append(len(units))
+        if len(self.index) > CACHE_UNITS:
+            self._forget()
+        at = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        if self.index.fresh:
+            self._learn()
+        if self.variants > 1:
+            place = np.arange(len(units)) + np.repeat(np.array(turn, np.int64) - upto[:-1], np.diff(upto))
+            at = at * self.variants + place % self.variants
+        first = self.start[at]
+        size = self.start[at + 1] - first
+        end = np.r_[0, np.cumsum(size)]
+        return np.diff(end[upto]), self.flat[np.repeat(first - end[:-1], size) + np.arange(end[-1])]
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text; units take turns among the variants, from a place the seed and text decide."""
-        if not text:
-            return np.zeros(0, self.pieces.kind)
-        units = _UNIT.findall(" " + text)  # the blank every text starts with
-        many = len(self.units)
-        if many == 1:
-            return np.frombuffer(b"".join(map(self.units[0].__getitem__, units)), self.pieces.kind)
-        shift = xxhash.xxh3_64_intdigest(text[:64].encode(), seed=self.seed & _MASK) + len(text)
-        out: list[bytes] = [b""] * len(units)
-        for v in range(many):
-            mine = self.units[(v + shift) % many]
-            out[v::many] = map(mine.__getitem__, units[v::many])
-        return np.frombuffer(b"".join(out), self.pieces.kind)
+        return self.encode_many([text])[1]
 
     def decode(self, ids) -> str:
         out = b"".join(map(self.pieces.out.__getitem__, ids))
@@ -180,9 +314,18 @@ def encode(docs: DataFrame, model: str, seed: int = 0, rate: float = RATE, id_co
     def run(batches):
         tool = segmenter(model, seed, rate)
         for batch in batches:
-            ids = [tool.encode(t or "") for t in batch.column(1).to_pylist()]
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
+            texts, counts, ids, lo = [t or "" for t in batch.column(1).to_pylist()], [], [], 0
+            while lo < len(texts):  # about a million characters at a time
+                hi, chars = lo, 0
+                while hi < len(texts) and chars < 1_000_000:
+                    chars += len(texts[hi])
+                    hi += 1
+                size, got = tool.encode_many(texts[lo:hi])
+                counts.append(size)
+                ids.append(got)
+                lo = hi
+            offsets = np.zeros(len(texts) + 1, np.int32)
+            np.cumsum(np.concatenate(counts) if counts else [], out=offsets[1:])
             flat = np.concatenate(ids) if ids else np.zeros(0)
             cols = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays(cols + [batch.column(1)] * keep_text, ["doc_id", "ids"] + ["text"] * keep_text)
