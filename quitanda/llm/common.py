@@ -7,7 +7,6 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +30,70 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+# Words are hashed all at once: with a number T[b] per byte and powers of an odd base, the sum of
+# T[b] * base ** place over a stretch of text is a difference of two running sums, whatever the stretch.
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MUL)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWERED = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)])
+_CHUNK = 1 << 20
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, _CHUNK), base, np.uint64)
+        known[0] = 1
+        known = _powers[base] = np.multiply.accumulate(known)
+    return known[:n]
+
+
+def _hash_chunk(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
+    n = len(data)
+    if not n:
+        return [np.zeros(0, np.uint64)] * (len(bounds) - 1)
+    word = ~_SPACE[data]
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], after[:-1] = word[:-1], word[1:]
+    inner = bounds[(bounds > 0) & (bounds < n)]
+    before[inner], after[inner - 1] = False, False
+    first, last = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after)
+    upto = np.cumsum(table[data] * _power(_BASE, n))
+    under = np.where(first > 0, upto[first - 1], np.uint64(0))
+    hashes = mix((upto[last] - under) * _power(_INVERSE, n)[first] + (last - first).astype(np.uint64) * _MUL)
+    cut = np.searchsorted(first, bounds)
+    return [hashes[a:b] for a, b in zip(cut, cut[1:])]
+
+
+def word_hashes(column: pa.Array, lower: bool) -> list[np.ndarray]:
+    """Per text the 64-bit hashes of its words, maximal runs without ASCII white space; null has none.
+
+    With ``lower``, A-Z count as a-z. Texts are taken together up to a chunk size; a longer text is a
+    chunk of its own.
+    """
+    column = column.cast(pa.large_string()).cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else [0]
+    raw = column.buffers()[2] if len(column) else None
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    table = _BYTE[_LOWERED] if lower else _BYTE
+    out: list[np.ndarray] = []
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _CHUNK, "right")) - 1)
+        out += _hash_chunk(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], table)
+        lo = hi
+        if len(_powers.get(_BASE, ())) > 16 * _CHUNK:
+            _powers.clear()  # after an uncommonly long text
+    return out
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    hashes = np.sort(hashes)
+    return hashes[np.r_[True, hashes[1:] != hashes[:-1]]] if len(hashes) else hashes
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -30,11 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quitanda.llm.common import arrow_bytes, broadcast_if_small, list_column, window_hashes, word_hashes
+from quitanda.llm.common import broadcast_if_small, distinct, list_column, window_hashes, word_hashes
 from quitanda.llm.components import components
 from quitanda.session import materialize
 
 BROADCAST_ROWS = 2_000_000
+EXTRA = 10
 
 
 def _needed(n: np.ndarray | int, percent: int):
@@ -43,12 +44,13 @@ def _needed(n: np.ndarray | int, percent: int):
 
 
 def _extra(n: int, percent: int) -> int:
-    """Extra prefix n-grams ``j`` of the first pass: a twentieth of the set, at least one."""
-    return max(1, n // 20)
+    """Extra prefix n-grams ``j`` of the first pass: a tenth of the set, at least one."""
+    return max(1, n // EXTRA)
 
 
-def _sets(text: bytes | None, k: int) -> np.ndarray:
-    return np.unique(window_hashes(word_hashes((text or b"").lower().split()), k))
+def _sets(column: pa.Array, k: int):
+    """The n-gram set of each text, as sorted hashes."""
+    return (distinct(window_hashes(words, k)) for words in word_hashes(column, lower=True))
 
 
 def _node(grams: np.ndarray) -> int:
@@ -60,8 +62,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     def run(batches):
         for batch in batches:
             n, nodes, prefixes = [], [], []
-            for text in arrow_bytes(batch.column(1)):
-                grams = _sets(text, k)
+            for grams in _sets(batch.column(1), k):
                 size = len(grams)
                 n.append(size)
                 nodes.append(_node(grams))
@@ -140,8 +141,7 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, k:
     def run(batches):
         for batch in batches:
             node, n, sets = [], [], []
-            for text in arrow_bytes(batch.column(0)):
-                grams = _sets(text, k)
+            for grams in _sets(batch.column(0), k):
                 node.append(_node(grams))
                 n.append(len(grams))
                 sets.append(grams.view(np.int64))
@@ -196,7 +196,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.min("doc_id").alias("rep"), F.first("n").alias("n")), "ngram-classes").filter("rep is not null")
     grams = seen.agg(F.sum(F.size("prefix"))).first()[0] or 0
     buckets = 1 << max(6, int(grams // 250_000).bit_length())
-    extra = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 20))
+    extra = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / EXTRA))
     nodes = materialize(shared_counts(seen, buckets).join(classes, "node").filter(F.col("hits") >= extra)
                         .select("node", "rep", "n"), "ngram-nodes")
 
@@ -211,16 +211,15 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
               .groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams"))
               .withColumn("usable", F.size("grams").cast("long"))
               .filter(100 * F.col("usable") >= percent * F.col("n")))
-    active = materialize(active, "ngram-active")
-
     lead = F.col("n") - F.col("usable")
+    mass = F.aggregate("grams", F.lit(0).cast("long"), lambda s, g: s + g["df"])
+    # Written with the value: on top of an explode it would be computed once per n-gram.
+    active = materialize(active.withColumn("central", (mass + lead) / F.col("n")), "ngram-active")
+
     keep = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - lead).cast("int")
     prefix = materialize(
-        active.select("node", "n", "usable", lead.alias("lead"),
-                      F.aggregate("grams", F.lit(0.0), lambda s, g: s + g["df"]).alias("mass"),
-                      F.posexplode(F.slice("grams", 1, keep)).alias("i", "g"))
-        .select("node", "n", "usable", (F.col("lead") + F.col("i")).alias("pos"),
-                ((F.col("mass") + F.col("lead")) / F.col("n")).alias("central"), F.col("g.gram").alias("gram")),
+        active.select("node", "n", "usable", "central", F.posexplode(F.slice("grams", 1, keep)).alias("i", "g"))
+        .select("node", "n", "usable", (lead + F.col("i")).alias("pos"), "central", F.col("g.gram").alias("gram")),
         "ngram-prefix")
 
     share = [i / fragments for i in range(1, fragments)]

@@ -24,16 +24,15 @@ _HAS_WORD = re.compile(rb"[^\x20\x09-\x0D]")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_stops")
 
 
-def measure(text: bytes | None) -> tuple[int, ...]:
-    """The COUNTS of a text."""
+def measure(text: bytes | None, words: np.ndarray) -> tuple[int, ...]:
+    """The COUNTS of a text, given the hashes of its words."""
     text = text or b""
-    words = text.split()
     byte = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     chars = len(text) - int(byte[0x80:0xC0].sum()) - sum(int(byte[c]) for c in _SPACE)
     lines = [x for x in text.split(b"\n") if _HAS_WORD.search(x)]
     repeated = 0
     if len(words) >= 4:
-        grams = window_hashes(word_hashes(words), 3)
+        grams = window_hashes(words, 3)
         order = np.argsort(grams, kind="stable")
         same = grams[order][1:] == grams[order][:-1]
         twice = np.zeros(len(grams), bool)
@@ -51,7 +50,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, COUNTS) for every row; null texts count as empty."""
     def run(batches):
         for batch in batches:
-            rows = np.array([measure(t) for t in arrow_bytes(batch.column(1))], np.int64).reshape(-1, len(COUNTS))
+            texts = batch.column(1)
+            rows = np.array([measure(t, w) for t, w in zip(arrow_bytes(texts), word_hashes(texts, lower=False))],
+                            np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))],
                                              ["doc_id", *COUNTS])
 
