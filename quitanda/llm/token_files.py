@@ -12,6 +12,7 @@ and a null flag u8 each; ids per document u32; control bytes; data bytes.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -27,7 +28,7 @@ from quitanda.session import materialize
 
 MAGIC = b"FRQ1"
 FILE_TOKENS = 4_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 END_ID = 2
 
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
@@ -94,6 +95,21 @@ def decode_file(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 # --- encoding text --------------------------------------------------------------------------------
 
+_CLOSING = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
+
+
+def split_words(text: str) -> list[str]:
+    """A text in parts that are tokenised each on its own.
+
+    Besides blanks and line ends, a single stop or comma after a letter and before a gap is a part: it
+    is a run of its own for the tokenizer. A-Z are lower-cased as the tokenizer does. A text with the
+    start of a special token is only split at gaps.
+    """
+    if "<|" not in text:
+        text = _CLOSING.sub(r" \1", text.encode().lower().decode())
+    return text.replace("\n", " ").split(" ")
+
+
 class _Index(dict):
     """Word -> number, numbered as they come; ``fresh`` has those not encoded yet."""
 
@@ -137,7 +153,7 @@ class WordEncoder:
         """(ids per text, all ids)."""
         words, upto = [], [0]
         for t in texts:
-            words += t.replace("\n", " ").split(" ")
+            words += split_words(t)
             upto.append(len(words))
         if len(self.index) > CACHE_WORDS:
             self.reset()
@@ -151,11 +167,17 @@ class WordEncoder:
         return np.diff(end[upto]), ids
 
 
-def _encoder(path: str) -> WordEncoder:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+_loaded: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of this Python worker; what it has learnt outlives one task."""
+    if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    return WordEncoder(Tokenizer.from_file(path))
+        _loaded[path] = WordEncoder(Tokenizer.from_file(path))
+    return _loaded[path]
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -171,7 +193,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
     def run(batches):
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        encoder = _encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         part, seq, out = TaskContext.get().partitionId(), 0, []
         names, counts, ids, held = [], [], [], 0
 
