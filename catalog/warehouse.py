@@ -10,7 +10,7 @@ from catalog.registry import CALENDAR, SALES, STATES_SQL, query, region_sql
 from catalog.tables import (
     order_calendar, restaged_customers, sales, staged_customers, star_customers, table,
 )
-from quitanda.operators import incremental
+from quitanda.operators import incremental, joins
 from quitanda.operators.ranking import number_rows
 from quitanda.plans import warehouse as dw
 from quitanda.plans.calendar import calendar, days_between, extend_calendar
@@ -101,6 +101,26 @@ def product_dim(spark, sf):
     return dw.load_products(dim, stg, DAY2).drop("data_fim_vigencia", "registro_atual")
 
 
+_SPELT = "CASE WHEN id_pedido % 3 = 0 THEN upper(produto_nome) ELSE produto_nome END"
+
+
+def _spelt_sales(spark, sf):
+    s = sales(spark, sf, "id_pedido", "produto_id", "produto_nome", "categoria_produto", "data_venda")
+    return s.withColumn("produto_nome", F.when(F.col("id_pedido") % 3 == 0, F.upper("produto_nome")).otherwise(F.col("produto_nome")))
+
+
+@query("product_spellings", f"""WITH {SALES}, v AS (SELECT id_pedido, produto_id, {_SPELT} AS nome, categoria_produto AS categoria, data_venda FROM sales),
+ultimo AS (SELECT *, row_number() OVER (PARTITION BY produto_id ORDER BY data_venda DESC, nome DESC) AS n FROM v)
+SELECT produto_id, nome AS produto_nome, categoria, (SELECT COUNT(*) FROM v WHERE v.produto_id = ultimo.produto_id) AS vendas FROM ultimo WHERE n = 1""")
+def product_spellings(spark, sf):
+    """Products spelt in two ways are one row each, and a sale finds it once."""
+    stg = _spelt_sales(spark, sf)
+    dim = materialize(dw.load_products(dw.empty_product_dim(stg, DAY1), stg, DAY1), "produtos")
+    found = joins.lookup_product(stg.select("id_pedido", "produto_id"), dim)
+    sold = found.groupBy("sk_produto").agg(F.count("*").alias("vendas"))
+    return dim.join(sold, "sk_produto").select("produto_id", "produto_nome", "categoria", "vendas")
+
+
 _KNOWN = "sk_cliente % 25 <> 3"
 
 
