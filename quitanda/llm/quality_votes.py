@@ -1,8 +1,8 @@
 """Quality by weak supervision: rules vote, expectation-maximisation weighs them.
 
-Each rule votes good, bad or abstains on a text. How often a rule votes which way on good and on bad
-texts is not known; expectation-maximisation finds it from how the rules agree over all texts. A text
-is kept by its posterior probability of being good, not because it passes every rule. The votes of
+Each rule votes good or bad on a text, or abstains. How often a rule is right is not known;
+expectation-maximisation estimates it from how the rules agree over all texts. A text is kept by its
+posterior probability of being good, not because it passes every rule. The votes of
 all texts are counted by pattern in Spark; the model is fitted on those counts, at most 3 ^ rules.
 """
 
@@ -60,48 +60,56 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def vote(bad: Column, good: Column) -> Column:
+def vote(bad: Column | None, good: Column | None = None) -> Column:
     """-1 bad, 1 good, 0 abstain."""
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+    out = F.when(bad, -1) if bad is not None else None
+    if good is not None:
+        out = F.when(good, 1) if out is None else out.when(good, 1)
+    return out.otherwise(0)
 
 
 def rules() -> dict[str, Column]:
-    """The voting rules over the COUNTS."""
+    """The voting rules over the COUNTS.
+
+    A rule about one defect says "bad" where it finds it and has no opinion elsewhere: the lack of one
+    defect says little. Only a text without any of them is called good.
+    """
     n = F.col("n_words")
     letters = F.col("n_upper") + F.col("n_lower")
+    tidy = ((n > 0) & (F.col("n_symbols") * 100 <= n) & (F.col("n_dup_lines") * 10 <= F.col("n_lines"))
+            & (F.col("n_repeat_words") * 10 <= n) & (F.col("n_upper") * 10 <= letters))
     return {
-        "length": vote(n < 20, n >= 80),
-        "word_length": vote((F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n), F.col("word_chars").between(3 * n, 10 * n)),
-        "symbols": vote(F.col("n_symbols") * 10 > n, F.col("n_symbols") * 100 <= n),
-        "lines": vote(F.col("n_dup_lines") * 10 > 3 * F.col("n_lines"), F.col("n_dup_lines") * 10 <= F.col("n_lines")),
-        "repeats": vote(F.col("n_repeat_words") * 10 > 3 * n, F.col("n_repeat_words") * 10 <= n),
-        "capitals": vote(F.col("n_upper") * 10 > 4 * letters, F.col("n_upper") * 10 <= letters),
-        "sentences": vote((n >= 30) & (F.col("n_stops") == 0), F.col("n_stops").between(F.ceil(n / 60), F.floor(n / 3))),
+        "tidy": vote(None, tidy),
+        "sentences": vote((n >= 30) & (F.col("n_stops") * 100 < n), tidy & F.col("n_stops").between(F.ceil(n / 60), F.floor(n / 3))),
+        "short": vote(n < 20),
+        "word_length": vote((F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
+        "symbols": vote(F.col("n_symbols") * 10 > n),
+        "lines": vote(F.col("n_dup_lines") * 10 > 3 * F.col("n_lines")),
+        "repeats": vote(F.col("n_repeat_words") * 10 > 3 * n),
+        "capitals": vote(F.col("n_upper") * 10 > 4 * letters),
     }
 
 
-def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, good: float = 0.8) -> np.ndarray:
-    """Posterior probability of "good" for each vote pattern, by expectation-maximisation.
+def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, accuracy: float = 0.9,
+              weight: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior of "good" per vote pattern, accuracy per rule), by expectation-maximisation.
 
-    ``votes`` is patterns x rules of -1, 0, 1; each pattern occurred ``counts`` times. It starts from
-    rules that are mostly right, and pseudo-votes keep every rule's shares inside (0, 1).
+    ``votes`` is patterns x rules of -1, 0, 1; each pattern occurred ``counts`` times. A vote of a rule
+    that is right with probability a moves the log odds by log(a / (1 - a)); abstaining moves nothing.
+    Neither class is favoured beforehand, and no rule is taken to be worse than chance. Accuracies start
+    at ``accuracy``, held by ``weight`` pseudo-votes.
     """
-    onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
-    start = np.array([[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]])  # of bad and of good texts: votes bad, none, good
-    share = np.repeat(start[:, None, :], votes.shape[1], 1)
-    posterior = np.full(len(votes), good)
+    held = np.full(votes.shape[1], accuracy)
+    cast = np.abs(votes).T @ counts
     for _ in range(rounds):
-        log = np.einsum("prv,crv->pc", onehot, np.log(share)) + np.log([1 - good, good])
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -700, 700)))
-        done = np.abs(new - posterior).max() < 1e-9
-        posterior = new
-        for c, p in enumerate((1 - posterior, posterior)):
-            mass = np.einsum("p,prv->rv", p * counts, onehot) + 10 * start[c]
-            share[c] = mass / mass.sum(1, keepdims=True)
-        good = float(np.clip((posterior @ counts + 1) / (counts.sum() + 2), 0.05, 0.95))
+        posterior = 1 / (1 + np.exp(-(votes @ np.log(held / (1 - held)))))
+        agree = np.where(votes > 0, posterior[:, None], np.where(votes < 0, 1 - posterior[:, None], 0.0))
+        new = np.clip((agree.T @ counts + weight * accuracy) / (cast + weight), 0.5, 0.999)
+        done = np.abs(new - held).max() < 1e-9
+        held = new
         if done:
             break
-    return posterior
+    return posterior, held
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -115,12 +123,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     counted = measured(docs, id_col, text_col)
     names = list(rules())
     counted = materialize(counted.withColumns({f"v_{k}": v.cast("int") for k, v in rules().items()}), "quality-votes")
-    patterns = counted.groupBy(*(f"v_{k}" for k in names)).count().collect()  # at most 3 ^ rules rows
+    patterns = counted.groupBy(*(f"v_{k}" for k in names)).count().collect()  # one row per pattern seen, at most 3 ^ rules
     spark = docs.sparkSession
     kind = ", ".join(f"v_{k} int" for k in names) + ", posterior double"
     if patterns:
         votes = np.array([r[:-1] for r in patterns], int)
-        found = fit_votes(votes, np.array([r[-1] for r in patterns], float))
+        found, _ = fit_votes(votes, np.array([r[-1] for r in patterns], float))
         rows = [(*map(int, v), float(p)) for v, p in zip(votes, found)]
     else:
         rows = []
