@@ -135,19 +135,18 @@ hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS dom
     count(*)::DOUBLE AS n, sum(bad) AS bad FROM seen GROUP BY 1),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1),
-overall AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS r FROM suffixes),
-s1 AS (SELECT s.*, r FROM suffixes s, overall),
-sm AS (SELECT CASE WHEN coalesce(sum(pow(bad - n * r, 2) - n * r * (1 - r)), 0) <= 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0,
-  sum(n * (n - 1) * r * (1 - r)) / sum(pow(bad - n * r, 2) - n * r * (1 - r)) - 1)) END AS m FROM s1 WHERE n > 1),
-s2 AS (SELECT suffix, (bad + r * m) / (n + m) AS r FROM s1, sm),
-d1 AS (SELECT d.*, r FROM domains d JOIN s2 USING (suffix)),
-dm AS (SELECT CASE WHEN coalesce(sum(pow(bad - n * r, 2) - n * r * (1 - r)), 0) <= 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0,
-  sum(n * (n - 1) * r * (1 - r)) / sum(pow(bad - n * r, 2) - n * r * (1 - r)) - 1)) END AS m FROM d1 WHERE n > 1),
-d2 AS (SELECT domain, (bad + r * m) / (n + m) AS r FROM d1, dm),
-h1 AS (SELECT h.*, r FROM hosts h JOIN d2 USING (domain)),
-hm AS (SELECT CASE WHEN coalesce(sum(pow(bad - n * r, 2) - n * r * (1 - r)), 0) <= 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0,
-  sum(n * (n - 1) * r * (1 - r)) / sum(pow(bad - n * r, 2) - n * r * (1 - r)) - 1)) END AS m FROM h1 WHERE n > 1),
-h2 AS (SELECT host, bad + r * m AS a, n + m AS t FROM h1, hm),
+alles AS (SELECT coalesce(sum(n), 0) AS tn, coalesce(sum(bad), 0) AS tb FROM suffixes),
+s1 AS (SELECT suffix, n, bad, (tb - bad + 1) / (tn - n + 2) AS r, tn - n + 2 AS w FROM suffixes, alles),
+s2 AS (SELECT s1.*, least(m, w) AS held FROM s1, (SELECT CASE WHEN coalesce(sum(pow(bad - n * r, 2) - n * r * (1 - r)), 0) <= 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0,
+  sum(n * (n - 1) * r * (1 - r)) / sum(pow(bad - n * r, 2) - n * r * (1 - r)) - 1)) END AS m FROM s1 WHERE n > 1)),
+d1 AS (SELECT d.domain, d.n, d.bad, (s2.bad - d.bad + s2.r * s2.held) / (s2.n - d.n + s2.held) AS r, s2.n - d.n + s2.held AS w
+  FROM domains d JOIN s2 USING (suffix)),
+d2 AS (SELECT d1.*, least(m, w) AS held FROM d1, (SELECT CASE WHEN coalesce(sum(pow(bad - n * r, 2) - n * r * (1 - r)), 0) <= 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0,
+  sum(n * (n - 1) * r * (1 - r)) / sum(pow(bad - n * r, 2) - n * r * (1 - r)) - 1)) END AS m FROM d1 WHERE n > 1)),
+h1 AS (SELECT h.host, h.n, h.bad, (d2.bad - h.bad + d2.r * d2.held) / (d2.n - h.n + d2.held) AS r, d2.n - h.n + d2.held AS w
+  FROM hosts h JOIN d2 USING (domain)),
+h2 AS (SELECT host, bad + r * least(m, w) AS a, n + least(m, w) AS t FROM h1, (SELECT CASE WHEN coalesce(sum(pow(bad - n * r, 2) - n * r * (1 - r)), 0) <= 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0,
+  sum(n * (n - 1) * r * (1 - r)) / sum(pow(bad - n * r, 2) - n * r * (1 - r)) - 1)) END AS m FROM h1 WHERE n > 1)),
 h3 AS (SELECT host, a / t - 2 * sqrt(a * (t - a) / (t * t * (t + 1))) AS lower FROM h2)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'

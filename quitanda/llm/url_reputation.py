@@ -72,47 +72,50 @@ def match_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<verdict string, rule string>")
 
 
-def _strength(groups: DataFrame, rate: str, floor: float = 2.0, ceiling: float = 1000.0) -> DataFrame:
-    """One row with ``m``, the prior strength: the moment estimate from the groups' spread.
+def _strength(groups: DataFrame, rate: str, floor: float = 2.0, ceiling: float = 1000.0) -> float:
+    """Prior strength ``m``: the moment estimate from the groups' spread around the rate expected of each.
 
-    With ``r`` the rate expected of a group of ``n`` pages, the squared gap of its bad pages from
-    ``n r`` is ``n r (1 - r) (1 + (n - 1) / (m + 1))`` on average.
+    With ``r`` that rate, the squared gap of a group's bad pages from ``n r`` is
+    ``n r (1 - r) (1 + (n - 1) / (m + 1))`` on average.
     """
     r, n = F.col(rate), F.col("n")
     base = r * (1 - r)
-    return groups.filter("n > 1").agg(
-        F.sum((F.col("bad") - n * r) * (F.col("bad") - n * r) - n * base).alias("over"),
-        F.sum(n * (n - 1) * base).alias("scale")).select(
-        F.when(F.coalesce(F.col("over"), F.lit(0.0)) <= 0, F.lit(ceiling))
-        .otherwise(F.least(F.lit(ceiling), F.greatest(F.lit(floor), F.col("scale") / F.col("over") - 1))).alias("m"))
-
-
-def _one(df: DataFrame) -> float:
-    return float(df.first()[0])
+    over, scale = groups.filter("n > 1").agg(
+        F.sum((F.col("bad") - n * r) * (F.col("bad") - n * r) - n * base), F.sum(n * (n - 1) * base)).first()
+    return ceiling if (over or 0.0) <= 0 else min(ceiling, max(floor, scale / over - 1))
 
 
 def reputation(outcomes: DataFrame, z: float = 2.0) -> DataFrame:
     """(host, n, bad, mean, lower) from ``outcomes(host, bad)``: posterior mean and lower bound.
 
-    The three prior strengths and the overall rate are single numbers; no outcomes give no rows.
+    The prior of a host is the posterior of its domain without that host's own pages, and so upwards:
+    no outcome counts twice. A prior is never stronger than the outcomes and the prior behind it. The
+    three strengths and the overall counts are single numbers; no outcomes give no rows.
     """
     hosts = (outcomes.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
              .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    n, bad = suffixes.agg(F.sum("n"), F.sum("bad")).first()
-    overall = ((bad or 0.0) + 1.0) / ((n or 0.0) + 2.0)
-
-    def shrink(groups: DataFrame, prior: str, out: str) -> DataFrame:
-        m = _one(_strength(groups, prior))
-        a = F.col("bad") + F.col(prior) * m
-        total = F.col("n") + m
-        return groups.withColumns({out: a / total, f"{out}_var": a * (total - a) / (total * total * (total + 1))})
-
-    s = shrink(suffixes.withColumn("all_rate", F.lit(overall)), "all_rate", "suffix_rate").select("suffix", "suffix_rate")
-    d = shrink(domains.join(s, "suffix"), "suffix_rate", "domain_rate").select("domain", "domain_rate")
-    h = shrink(hosts.join(d, "domain"), "domain_rate", "mean")
-    return h.select("host", "n", "bad", "mean", (F.col("mean") - z * F.sqrt("mean_var")).alias("lower"))
+    n, bad = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
+
+    def below(groups: DataFrame, above: DataFrame, key: str) -> DataFrame:
+        """The groups with the prior that the rest of their parent gives: ``rate`` and its ``weight``."""
+        parent = above.select(key, F.col("n").alias("pn"), F.col("bad").alias("pb"), F.col("rate").alias("pr"), F.col("held").alias("pm"))
+        total = F.col("pn") - F.col("n") + F.col("pm")
+        return groups.join(parent, key).withColumns({
+            "rate": (F.col("pb") - F.col("bad") + F.col("pr") * F.col("pm")) / total, "weight": total}).drop("pn", "pb", "pr", "pm")
+
+    def with_prior(groups: DataFrame) -> DataFrame:
+        """``held``: the prior's strength, from the spread of the groups and what stands behind it."""
+        return groups.withColumn("held", F.least(F.lit(_strength(groups, "rate")), F.col("weight")))
+
+    s = with_prior(suffixes.withColumns({
+        "rate": (F.lit(bad) - F.col("bad") + 1) / (F.lit(n) - F.col("n") + 2), "weight": F.lit(n) - F.col("n") + 2}))
+    d = with_prior(below(domains, s, "suffix"))
+    h = with_prior(below(hosts, d, "domain"))
+    a, total = F.col("bad") + F.col("rate") * F.col("held"), F.col("n") + F.col("held")
+    return h.select("host", "n", "bad", (a / total).alias("mean"),
+                    (a / total - z * F.sqrt(a * (total - a) / (total * total * (total + 1)))).alias("lower"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES,
