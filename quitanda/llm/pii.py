@@ -416,7 +416,7 @@ def listed(spans):
 
 def redact(text, spans):
     """The text with each span replaced by its kind in brackets; overlapping spans are one."""
-    start = F.array_sort(spans, lambda a, b: a["start"] - b["start"])
+    start = F.array_sort(spans, lambda a, b: (a["start"] - b["start"]).cast("int"))
     merged = F.aggregate(
         start, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(

@@ -132,7 +132,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     first = (rows.filter(F.length("payload") >= min_bytes).groupBy("sum")
              .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sum", "first"))
     return rows.join(first, "sum", "left").select(
-        "page_id", "url", "payload", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+        "page_id", "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
 def write_archives(records: DataFrame, folder: str, when: str = "2024-01-01T00:00:00Z", prefix: str = "pages") -> DataFrame:

@@ -133,10 +133,11 @@ def test_query_hash_equals_plain_spans(spark):
 def test_toxic_texts_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    train = labels.filter("doc_id % 3 <> 0")
-    scored = toxicity.score(docs, toxicity.fit(docs, train)).join(labels.filter("doc_id % 3 = 0"), "doc_id").collect()
-    right = sum(r["rejected"] == bool(r["toxic"]) for r in scored)
-    clean = [r for r in scored if not r["toxic"]]
+    chain = toxicity.fit(docs, labels.filter("doc_id % 3 <> 0"))
+    held = labels.filter("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score(docs, chain).join(held, "doc_id").collect()
+    right = sum(r["rejected"] == bool(r["label"]) for r in scored)
+    clean = [r for r in scored if not r["label"]]
     assert right >= 0.93 * len(scored) and sum(r["rejected"] for r in clean) <= 0.02 * len(clean)
 
 
@@ -321,14 +322,16 @@ def test_words_hash_alike_wherever_they_stand():
 
 def test_em_finds_who_is_right():
     rng = np.random.default_rng(3)
-    truth = rng.random(4000) < 0.7
+    truth = rng.random(4000) < 0.5
     votes = np.zeros((4000, 5), int)
     for r, accuracy in enumerate((0.95, 0.9, 0.85, 0.6, 0.55)):
         right = rng.random(4000) < accuracy
         votes[:, r] = np.where(rng.random(4000) < 0.2, 0, np.where(right == truth, 1, -1))
     patterns, index, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    p = quality_votes.fit_votes(patterns, counts.astype(float))[index.reshape(-1)]
-    assert ((p > 0.5) == truth).mean() > 0.95 > ((votes.sum(1) > 0) == truth).mean()
+    posterior, held = quality_votes.fit_votes(patterns, counts.astype(float))
+    p = posterior[index.reshape(-1)]
+    assert ((p > 0.5) == truth).mean() > ((votes.sum(1) > 0) == truth).mean() + 0.01
+    assert list(held) == sorted(held, reverse=True) and held[0] > 0.9 > 0.65 > held[3]
 
 
 def test_quality_keeps_most_good_texts(spark):
@@ -337,7 +340,7 @@ def test_quality_keeps_most_good_texts(spark):
     long = [r for r in got if not r["base_failed"]]
     good, bad = [r for r in long if r["quality"]], [r for r in got if not r["quality"]]
     assert sum(r["kept"] for r in good) >= 0.97 * len(good)
-    assert sum(not r["kept"] for r in bad) >= 0.7 * len(bad)
+    assert sum(not r["kept"] for r in bad) >= 0.9 * len(bad)
 
 
 def test_quality_edges(spark, rows):
