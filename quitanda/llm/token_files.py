@@ -16,6 +16,7 @@ import re
 import struct
 import uuid
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -142,12 +143,26 @@ class WordEncoder:
     def _learn(self):
         fresh, self.index.fresh = self.index.fresh, []
         flats, sizes = [self.flat], []
-        for at in range(0, len(fresh), 2000):
-            got = [e.ids for e in self.tokenizer.encode_batch(fresh[at:at + 2000], add_special_tokens=False)]
-            sizes += map(len, got)
-            flats.append(np.fromiter((i for g in got for i in g), np.uint32))
+        for at in range(0, len(fresh), 100):
+            ids, counts = self._ids_of(fresh[at:at + 100])
+            flats.append(ids)
+            sizes.append(counts)
         self.flat = np.concatenate(flats)
-        self.start = np.r_[self.start, self.start[-1] + np.cumsum(sizes, dtype=np.int64)]
+        self.start = np.r_[self.start, self.start[-1] + np.cumsum(np.concatenate(sizes), dtype=np.int64)]
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per word) of words encoded in one call, told apart by where each id begins.
+
+        Words that could hold a special token, or that the tokenizer would compose, are encoded alone.
+        """
+        text = " ".join(words)
+        if "<|" in text or not is_normalized("NFC", text):
+            got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+            return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got])
+        whole = self.tokenizer.encode(text, add_special_tokens=False)
+        begins = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+        word = np.searchsorted(begins, [a for a, _ in whole.offsets], "right") - 1
+        return np.array(whole.ids, np.uint32), np.bincount(word, minlength=len(words))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids per text, all ids)."""
