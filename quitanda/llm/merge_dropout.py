@@ -28,7 +28,8 @@ from quitanda.llm.common import arrow_bytes
 BLANK = "▁"
 VARIANTS = 2
 RATE = 0.1
-CACHE_UNITS = 300_000
+CACHE_UNITS = 200_000
+ROWS = 250  # of a batch, segmented and handed on together
 LONGEST = 64  # characters of a unit that is segmented together with others
 _UNIT = re.compile(r" *[^ \n]+|\n| +")
 _MASK = (1 << 64) - 1
@@ -314,21 +315,13 @@ def encode(docs: DataFrame, model: str, seed: int = 0, rate: float = RATE, id_co
     def run(batches):
         tool = segmenter(model, seed, rate)
         for batch in batches:
-            texts, counts, ids, lo = [t or "" for t in batch.column(1).to_pylist()], [], [], 0
-            while lo < len(texts):  # about a million characters at a time
-                hi, chars = lo, 0
-                while hi < len(texts) and chars < 1_000_000:
-                    chars += len(texts[hi])
-                    hi += 1
-                size, got = tool.encode_many(texts[lo:hi])
-                counts.append(size)
-                ids.append(got)
-                lo = hi
-            offsets = np.zeros(len(texts) + 1, np.int32)
-            np.cumsum(np.concatenate(counts) if counts else [], out=offsets[1:])
-            flat = np.concatenate(ids) if ids else np.zeros(0)
-            cols = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(cols + [batch.column(1)] * keep_text, ["doc_id", "ids"] + ["text"] * keep_text)
+            for lo in range(0, batch.num_rows, ROWS):  # handed on in small parts: ids take more room than text
+                part = batch.slice(lo, ROWS)
+                counts, ids = tool.encode_many([t or "" for t in part.column(1).to_pylist()])
+                offsets = np.zeros(part.num_rows + 1, np.int32)
+                np.cumsum(counts, out=offsets[1:])
+                cols = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(cols + [part.column(1)] * keep_text, ["doc_id", "ids"] + ["text"] * keep_text)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>" + ", text string" * keep_text)
