@@ -28,8 +28,8 @@ from quitanda.llm.common import arrow_bytes
 BLANK = "▁"
 VARIANTS = 2
 RATE = 0.1
-CACHE_UNITS = 200_000
-ROWS = 250  # of a batch, segmented and handed on together
+CACHE_UNITS = 400_000
+ROWS = 1000  # of a batch, segmented and handed on together
 LONGEST = 64  # characters of a unit that is segmented together with others
 _UNIT = re.compile(r" *[^ \n]+|\n| +")
 _MASK = (1 << 64) - 1
