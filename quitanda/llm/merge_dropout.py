@@ -2,13 +2,13 @@
 
 Text becomes symbols, one per character; an agenda holds every adjacent pair whose union is a piece,
 best score first, leftmost first among equals. Each candidate taken from the agenda is skipped if a
-keyed hash of the seed, the unit of text, its variant and the candidate's place falls under the
-dropout rate. The same seed gives the same segmentation on any machine and any retry; other seeds,
-and other places of the same word, give others. Without dropout it is the vocabulary's own
-segmentation. Pieces unknown to the vocabulary are written as bytes, so decoding loses nothing.
+keyed hash of the seed, the text, the unit's place in it and the candidate's place falls under the
+dropout rate, so every occurrence of a word draws its own. The same seed gives the same segmentation
+on any machine and any retry. Without dropout it is the vocabulary's own segmentation. Pieces unknown to the vocabulary are written as bytes, so decoding loses nothing.
 
 No piece joins a blank to what stands before it or crosses a line end, so a text is segmented unit by
-unit (blanks and the word after them) and equal units share their work.
+unit (blanks and the word after them). Occurrences of a unit share their work only where the same of
+its candidates are skipped.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from quitanda.llm.common import arrow_bytes
+from quitanda.llm.common import mix
 
 BLANK = "▁"
-VARIANTS = 2
 RATE = 0.1
 CACHE_UNITS = 400_000
+CACHE_PATTERNS = 800_000
+CANDIDATES = 40  # of a unit whose skip patterns are remembered
+BLOCK = 1 << 16  # units whose candidates are drawn at once
 ROWS = 1000  # of a batch, segmented and handed on together
 LONGEST = 64  # characters of a unit that is segmented together with others
 _UNIT = re.compile(r" *[^ \n]+|\n| +")
@@ -224,61 +226,107 @@ class Pieces:
 
 
 class _Index(dict):
-    """Unit -> number, numbered as they come; ``fresh`` has those not segmented yet."""
+    """Key -> number, numbered as they come; ``fresh`` has those not worked on yet."""
 
     def __init__(self):
         super().__init__()
-        self.fresh: list[str] = []
+        self.fresh: list = []
 
-    def __missing__(self, unit: str) -> int:
-        self[unit] = n = len(self)
-        self.fresh.append(unit)
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
         return n
 
 
 class Segmenter:
-    """Texts to ids and back; each distinct unit is segmented once per variant while it is remembered."""
+    """Texts to ids and back; a unit is segmented once per pattern of skipped candidates while it is remembered."""
 
-    def __init__(self, path: str, seed: int = 0, rate: float = RATE, variants: int = VARIANTS):
+    def __init__(self, path: str, seed: int = 0, rate: float = RATE):
         self.pieces = Pieces(path)
+        self.longest = max(map(len, self.pieces.ids), default=1)
         self.seed, self.limit = seed & _MASK, int(rate * (1 << 32))
-        self.variants = variants if rate else 1
         self._forget()
 
     def _forget(self):
-        self.index = _Index()
+        self.index, self.made = _Index(), _Index()
+        self.place, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.count, self.begin = np.zeros(0, np.int64), np.zeros(1, np.int64)  # -1: more than are remembered
+        self.lone = 0
         self.flat = np.zeros(0, self.pieces.kind)
         self.start = np.zeros(1, np.int64)
 
-    def _learn(self):
+    def _candidates(self, unit: str) -> list[tuple[int, int]] | None:
+        """(place, size) of all that may come on the unit's agenda; None if too many."""
+        if not self.limit:
+            return []
+        if len(unit) > LONGEST or BLANK in unit:
+            return None
+        text, score = unit.replace(" ", BLANK), self.pieces.score
+        n = len(text)
+        found = [(i, j - i) for i in range(n - 1) for j in range(i + 2, min(n, i + self.longest) + 1) if text[i:j] in score]
+        return found if len(found) <= CANDIDATES else None
+
+    def _know(self):
+        """Candidates of the units seen for the first time."""
         fresh, self.index.fresh = self.index.fresh, []
-        made = []
-        for v in range(self.variants):
-            salt = self.seed * 0x9E3779B1 + v & _MASK
-            keys = np.fromiter((xxhash.xxh3_64_intdigest(u.encode(), seed=salt) for u in fresh), np.uint64, len(fresh))
-            made.append(self.pieces.many_ids(fresh, keys, self.limit))
-        each = [ids for group in zip(*made) for ids in group]
+        each = [self._candidates(u) for u in fresh]
+        flat = np.array([c for cs in each for c in cs or ()], np.uint64).reshape(-1, 2)
+        self.place, self.size = np.concatenate([self.place, flat[:, 0]]), np.concatenate([self.size, flat[:, 1]])
+        self.count = np.concatenate([self.count, np.array([-1 if cs is None else len(cs) for cs in each], np.int64)])
+        self.begin = np.r_[0, np.cumsum(np.maximum(self.count, 0))]
+
+    def _patterns(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Per occurrence of a unit, its number and a bit for each skipped candidate; a negative one of its own if not remembered."""
+        out = at << CANDIDATES
+        if not self.limit:
+            return out
+        count = self.count[at]
+        for lo in range(0, len(at), BLOCK):
+            n = np.maximum(count[lo:lo + BLOCK], 0)
+            end = np.cumsum(n)
+            if not len(end) or not end[-1]:
+                continue
+            bit = np.arange(end[-1]) - np.repeat(end - n, n)
+            which = np.repeat(self.begin[at[lo:lo + BLOCK]], n) + bit
+            hit = np.flatnonzero(_skipped(np.repeat(keys[lo:lo + BLOCK], n), self.place[which], self.size[which], self.limit))
+            np.add.at(out, lo + np.searchsorted(end, hit, "right"), np.int64(1) << bit[hit])
+        alone = np.flatnonzero(count < 0)
+        out[alone] = -1 - self.lone - np.arange(len(alone))
+        self.lone += len(alone)
+        return out
+
+    def _learn(self, fresh: list[str], keys: np.ndarray):
+        self.made.fresh = []
+        each = self.pieces.many_ids(fresh, keys, self.limit)
         sizes = np.fromiter(map(len, each), np.int64, len(each))
         self.flat = np.concatenate([self.flat, np.fromiter((i for ids in each for i in ids), self.pieces.kind)])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
 
+    def keys(self, texts: list[str], counts: np.ndarray) -> np.ndarray:
+        """The key of each unit of the texts: of the seed, the whole text and the unit's place in it."""
+        own = np.fromiter((xxhash.xxh3_64_intdigest(t.encode(), seed=self.seed) for t in texts), np.uint64, len(texts))
+        place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return mix(np.repeat(own, counts) + place.astype(np.uint64) * np.uint64(_PLACE))
+
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids per text, all ids). The units of a text take turns among the variants, from a place that
-        the seed and the text decide."""
-        units, upto, turn = [], [0], []
+        """(ids per text, all ids)."""
+        units, upto = [], [0]
         for t in texts:
             if t:
                 units += _UNIT.findall(" " + t)  # the blank every text starts with
-            turn.append(xxhash.xxh3_64_intdigest(t[:64].encode(), seed=self.seed) % self.variants)
             upto.append(len(units))
-        if len(self.index) > CACHE_UNITS:
+        if len(self.index) > CACHE_UNITS or len(self.made) > CACHE_PATTERNS:
             self._forget()
         at = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
         if self.index.fresh:
-            self._learn()
-        if self.variants > 1:
-            place = np.arange(len(units)) + np.repeat(np.array(turn, np.int64) - upto[:-1], np.diff(upto))
-            at = at * self.variants + place % self.variants
+            self._know()
+        keys = self.keys(texts, np.diff(upto))
+        known = len(self.made)
+        at = np.fromiter(map(self.made.__getitem__, self._patterns(at, keys).tolist()), np.int64, len(units))
+        if self.made.fresh:
+            new = np.flatnonzero(at >= known)
+            new = new[np.unique(at[new], return_index=True)[1]]
+            self._learn([units[i] for i in new.tolist()], keys[new])
         first = self.start[at]
         size = self.start[at + 1] - first
         end = np.r_[0, np.cumsum(size)]
@@ -295,12 +343,12 @@ class Segmenter:
 _loaded: dict[tuple, Segmenter] = {}
 
 
-def segmenter(path: str, seed: int = 0, rate: float = RATE, variants: int = VARIANTS) -> Segmenter:
+def segmenter(path: str, seed: int = 0, rate: float = RATE) -> Segmenter:
     """The segmenter of this Python worker for these settings; its cache outlives one task."""
-    key = (path, seed, rate, variants)
+    key = (path, seed, rate)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Segmenter(path, seed, rate, variants)
+        _loaded[key] = Segmenter(path, seed, rate)
     return _loaded[key]
 
 

@@ -384,6 +384,19 @@ def test_dropout_varies_and_loses_nothing(model):
     assert len(tools[0].encode(text)) > len(merge_dropout.Segmenter(model, 1, 0.0).encode(text))
 
 
+def test_every_occurrence_draws_its_own_dropout(model):
+    tool = merge_dropout.Segmenter(model, 3, 0.1)
+    texts = [f"{i}\nunder the international thundering ▁ 日本語 {'word' * 30}" for i in range(150)] + PIECES + [" again" * 900]
+    counts, ids = tool.encode_many(texts)
+    units = [merge_dropout._UNIT.findall(" " + t) if t else [] for t in texts]
+    flat = [u for us in units for u in us]
+    each = [tool.pieces.unit_ids(u, int(k), tool.limit) for u, k in zip(flat, tool.keys(texts, np.array(list(map(len, units)))))]
+    assert ids.tolist() == [i for e in each for i in e] and counts.sum() == len(ids)
+    assert tool.encode_many(texts)[1].tolist() == ids.tolist()  # from what is remembered
+    for word, least in ((" international", 10), (" thundering", 10), (" again", 4)):
+        assert len({tuple(e) for u, e in zip(flat, each) if u == word}) >= least, word
+
+
 def test_segmentation_rows(spark, rows, model):
     data = [(i, t) for i, t in enumerate(PIECES)] + [(None, "x"), (50, None), (1, PIECES[1]), (60, "many words " * 20_000)]
     got = merge_dropout.checked(rows([(*d, [1]) for d in data], "doc_id long, text string, ids array<int>"), model).collect()
