@@ -70,22 +70,29 @@ def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
 
 
-def clean_text(text: Column, lines: Column, max_share: float = MAX_SHARE) -> Column:
-    """The text without the given lines, or as it was if they are more than ``max_share`` of it."""
+def clean_text(text: Column, lines: Column, max_share: float | None = MAX_SHARE) -> Column:
+    """The text without the given lines, or as it was if they are more than ``max_share`` of it.
+
+    Without ``max_share`` it stays as it was only if nothing but blank lines would be left.
+    """
     def kept(x):
         return F.when(normal_line(x) == "", True).otherwise(~F.array_contains(lines, F.xxhash64(normal_line(x))))
 
     left = F.array_join(F.filter(F.split(text, "\n", -1), kept), "\n")
-    return F.when(lines.isNull() | (F.length(left) < (1 - max_share) * F.length(text)), text).otherwise(left)
+    if max_share is None:
+        whole = F.translate(left, " \t\r\x0b\f\n", "") == ""
+    else:
+        whole = F.length(left) < (1 - max_share) * F.length(text)
+    return F.when(lines.isNull() | whole, text).otherwise(left)
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                     min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+                     min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE) -> DataFrame:
     """``docs`` with the lines that occur on ``min_sites`` or more sites taken out of the texts.
 
     Lines are compared without white space at their ends; blank lines stay. A text of which more than
-    ``max_share`` would go is a copy rather than a page with boilerplate and stays as it is. All rows
-    and columns are kept. Null texts stay null. Null ids lose no line; repeated ids share their
+    ``max_share`` would go stays as it is; with None only a text of which nothing of its own would be
+    left does. All rows and columns are kept. Null texts stay null. Null ids lose no line; repeated ids share their
     lines' marks, which changes nothing, for a spread line is spread wherever it stands. Ties cannot
     occur: the threshold itself counts as spread. An empty table gives an empty result.
     """

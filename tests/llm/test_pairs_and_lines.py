@@ -137,6 +137,15 @@ def test_lines_go_from_the_threshold_on(spark, rows, sites):
     assert tidy((r["doc_id"], r["text"]) for r in got.collect()) == tidy(lines_brute(data, 10, 0.5))
 
 
+def test_lines_go_even_where_they_are_most_of_the_text(spark, rows):
+    shared = "a long line that stands on every one of the sites"
+    data = [(i, f"{shared}\nown {i}", f"s{i}") for i in range(12)]
+    data += [(100, shared, "s1"), (101, f"{shared}\n \n{shared}", "s2"), (102, f"{shared}\n\n.", "s3"), (103, "", "s4"), (104, None, "s5")]
+    got = line_spread.drop_boilerplate(rows(data, "doc_id long, text string, source string"), max_share=None)
+    want = [(i, f"own {i}") for i in range(12)] + [*((i, t) for i, t, _ in data[12:14]), (102, "\n."), (103, ""), (104, None)]
+    assert tidy((r["doc_id"], r["text"]) for r in got.collect()) == tidy(want)
+
+
 def test_line_edges(spark, rows):
     shared = "shared line"
     data = [(i, f"{shared}\nown {i} and much more text here", f"s{i}") for i in range(20)]
