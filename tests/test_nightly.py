@@ -109,3 +109,14 @@ def test_hot_key_join_is_split(spark, rows):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_whole_range_is_that_of_the_orders(spark, tmp_path):
+    from catalog import ORACLES, chain
+
+    days = [datetime(1995, 3, 4), datetime(1998, 5, 6), datetime(2001, 12, 31)]
+    orders = spark.createDataFrame([(d,) for d in days], "o_orderdate timestamp")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    run = chain.whole_range(spark, str(tmp_path))
+    assert (run.start, run.end, run.now) == (date(1995, 3, 4), date(2001, 12, 31), datetime(2002, 1, 1, 3))
+    assert not any("1998" in ORACLES[f"nightly_{x}_all"] for x in ("marts", "report"))
