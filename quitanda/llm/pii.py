@@ -12,12 +12,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quitanda.session import materialize
+
 KINDS = ("email", "ip", "card", "phone")
 
 # --- patterns -------------------------------------------------------------------------------------
@@ -346,33 +350,67 @@ def training_windows(samples: list[tuple[str, list[tuple[int, int, int]]]], wind
     return np.array(codes).reshape(-1, window), np.array(tags).reshape(-1, window)
 
 
-def fit(docs: DataFrame, text_col: str = "text", rows: int = 240, window: int = 64, steps: int = 250) -> Tagger | None:
-    """A model from at most ``rows`` texts that have a span (those with the smallest hashes); None without any.
+def _pieces(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """At most 40 pieces of a text around triggers, and one around the first span of each kind they lack."""
+    def piece(lo, hi):
+        return text[lo:hi], [(k, a - lo, b - lo) for k, a, b in spans if lo <= a and b <= hi]
+
+    out = []
+    for lo, hi in stretches(text, 4 * window)[:40]:
+        hi = min(hi, lo + 16 * window)
+        if not any(a < lo < b or a < hi < b for _, a, b in spans):
+            out.append(piece(lo, hi))
+    for kind in sorted({k for k, _, _ in spans} - {k for _, own in out for k, _, _ in own}):
+        _, first, last = next(s for s in spans if s[0] == kind)
+        lo, hi = max(0, first - 2 * window), min(len(text), last + 2 * window)
+        lo = max([lo, *(b for _, a, b in spans if a < lo < b <= first)])
+        hi = min([hi, *(a for _, a, b in spans if last <= a < hi < b)])
+        out.append(piece(lo, hi))
+    return out
 
-    Each of them sends the driver its pieces around triggers only, 40 at most.
-    """
-    text = F.col(text_col).cast("string")
 
+def training_sample(docs: DataFrame, text_col: str = "text", rows: int = 240, window: int = 64):
+    """Pieces, with their spans, of at most ``rows`` distinct texts that have a base span.
+
+    Each kind in turn gives the text with its smallest hash until all are taken, so no kind and no
+    group of copies crowds out the others. A task hands on ``rows`` texts a kind at most; the driver
+    gets their hashes and the pieces of the chosen.
+    """
     def cut(batches):
+        best: list[dict] = [{} for _ in KINDS]
         for batch in batches:
-            pieces = []
             for x in batch.column(0).to_pylist():
                 spans = base_spans(x)
-                here = []
-                for lo, hi in stretches(x, 4 * window)[:40]:
-                    hi = min(hi, lo + 16 * window)
-                    if any(a < lo < b or a < hi < b for _, a, b in spans):
-                        continue
-                    here.append((x[lo:hi], [(k, a - lo, b - lo) for k, a, b in spans if lo <= a and b <= hi]))
-                pieces.append([{"text": p, "spans": [list(s) for s in own]} for p, own in here])
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.list_(pa.struct(
-                [("text", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])))], ["pieces"])
-
-    marked = docs.select(text.alias("text")).filter(text.contains("@") | text.contains("+"))
-    sample = marked.orderBy(F.xxhash64("text"), "text").limit(rows)
-    got = sample.mapInArrow(cut, "pieces array<struct<text string, spans array<array<bigint>>>>").collect()
-    samples = [(p["text"], [tuple(s) for s in p["spans"]]) for row in got for p in row["pieces"]]
-    codes, tags = training_windows(samples, window)
+                if not spans:
+                    continue
+                key = xxhash.xxh3_64_intdigest(x.encode()) - (1 << 63)
+                kinds = [k for k in {k for k, _, _ in spans} if key not in best[k]]
+                if not kinds:
+                    continue
+                pieces = [{"text": p, "spans": [list(s) for s in own]} for p, own in _pieces(x, spans, window)]
+                for k in kinds:
+                    best[k][key] = pieces
+                    if len(best[k]) > 2 * rows:
+                        best[k] = {h: best[k][h] for h in sorted(best[k])[:rows]}
+        for k, found in enumerate(best):
+            keys = sorted(found)[:rows]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array([found[h] for h in keys], pa.list_(pa.struct(
+                    [("text", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])))], ["kind", "hash", "pieces"])
+
+    text = F.col(text_col).cast("string")
+    found = materialize(docs.select(text.alias("text")).filter(text.isNotNull()).mapInArrow(
+        cut, "kind int, hash long, pieces array<struct<text string, spans array<array<bigint>>>>"), "pii-sample")
+    first = [[r["hash"] for r in found.filter(F.col("kind") == k).select("hash").distinct().orderBy("hash").limit(rows).collect()]
+             for k in range(len(KINDS))]
+    chosen = list(dict.fromkeys(h for turn in zip_longest(*first) for h in turn if h is not None))[:rows]
+    got = found.filter(F.col("hash").isin(chosen)).dropDuplicates(["hash"]).orderBy("hash").collect()
+    return [(p["text"], [tuple(s) for s in p["spans"]]) for row in got for p in row["pieces"]]
+
+
+def fit(docs: DataFrame, text_col: str = "text", rows: int = 240, window: int = 64, steps: int = 250) -> Tagger | None:
+    """A model from at most ``rows`` distinct texts that have a span, see ``training_sample``; None without any."""
+    codes, tags = training_windows(training_sample(docs, text_col, rows, window), window)
     if not (tags > 0).any():
         return None
     return Tagger().train(codes, tags, steps)

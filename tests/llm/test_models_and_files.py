@@ -91,6 +91,20 @@ def test_held_out_spans_are_found(spark, tagger):
     assert hit >= 0.85 * total and wrong <= 0.25 * total, (hit, wrong, total)
 
 
+def test_sample_has_every_kind_and_each_text_once(spark, rows):
+    copies = ["one of many: me.42@mail3.example.com"] * 1000
+    cards = [f"{i} card 4111 1111 1111 1111 here" for i in range(6)]
+    ips = [f"{i} from 12.34.56.78" for i in range(6)] + ["7 " + "x" * 600 + (" 1" + "y" * 600) * 50 + " at 12.34.56.79"]
+    df = rows([(t,) for t in copies + cards + ips + ["no span 12", "", None]], "text string")
+    got = pii.training_sample(df)
+    assert sum("one of many" in p for p, _ in got) == 1
+    assert [sum(k == kind for _, own in got for k, _, _ in own) for kind in range(4)] == [1, 7, 6, 0]
+    few = pii.training_sample(df, rows=5)
+    assert {k for _, own in few for k, _, _ in own} == {0, 1, 2}
+    assert pii.fit(df.filter("not contains(text, '@')"), steps=1) is not None
+    assert pii.fit(df.filter("text like 'no span%'"), steps=1) is None
+
+
 def test_added_spans_leave_the_base_alone(tagger):
     text = "call 00" + "1 (988) 555-2485 or me.42@mail3.example.com and 12.34.56.78"
     base = pii.base_spans(text)
