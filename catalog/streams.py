@@ -145,8 +145,8 @@ def stream_dead_letters(spark, sf):
     stream = message_stream(spark, sf)
     writers.finish(stream.writeStream.option("checkpointLocation", scratch_path(spark, "mensagens-ckpt"))
                    .foreachBatch(dead_letters.route_dead_letters(*paths)))
-    left = "value string, tentativas int, erros array<string>, lote int"
-    schemas = [f"{SALE_MESSAGE}, lote int", left, left]
+    left = "value string, tentativas int, erros array<string>, lote string"
+    schemas = [f"{SALE_MESSAGE}, lote string", left, left]
     read = dict(zip(("ok", "repetir", "dlq"), (spark.read.schema(s).parquet(p) for s, p in zip(schemas, paths))))
     read["reenviadas"] = dead_letters.redrive(read["dlq"])
     counts = [df.agg(F.lit(r).alias("rota"), F.count("*").alias("mensagens")) for r, df in read.items()]
@@ -164,6 +164,6 @@ def stream_validation(spark, sf):
     valid, bad, reports = (scratch_path(spark, f"validacao-{x}") for x in ("ok", "quarentena", "relatorio"))
     writers.finish(arrived.writeStream.option("checkpointLocation", scratch_path(spark, "validacao-ckpt"))
                    .foreachBatch(writers.validate_and_route("vendas", valid, bad, reports)))
-    kept = spark.read.schema("id_venda bigint, lote int").parquet(bad).agg(F.count("*").alias("em_quarentena"))
+    kept = spark.read.schema("id_venda bigint, lote string").parquet(bad).agg(F.count("*").alias("em_quarentena"))
     report = spark.read.parquet(reports).select("valido", "total_registros", "registros_invalidos")
     return report.withColumn("em_quarentena", kept.scalar())
