@@ -16,7 +16,6 @@ from quitanda.session import materialize
 MIN_SITES = 10
 SKETCH_BITS = 6  # 64 registers: about 13 % standard error
 BAND = 0.5  # estimates within this share of the threshold are counted exactly
-MAX_SHARE = 0.5
 
 
 def normal_line(line: Column) -> Column:
@@ -30,26 +29,30 @@ def line_hashes(text: Column) -> Column:
                        lambda x: F.when(normal_line(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(normal_line(x))))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(doc_id, site, lines): distinct line hashes of each document; a null site stays null."""
+def _key(id_col: str, text_col: str) -> Column:
+    """What a row's marks are found by: its id, or its text where it has none. Equal keys do no harm,
+    for a spread line is spread wherever it stands."""
+    return F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col).cast("string")))
+
+
+def _lines(docs: DataFrame, key: Column, text_col: str, site_col: str) -> DataFrame:
+    """(key, site, lines): distinct line hashes of each document; a null site stays null."""
     site = F.col(site_col).cast("string")
     lines = F.array_distinct(line_hashes(F.col(text_col).cast("string")))
-    return docs.select(F.col(id_col).alias("doc_id"), F.when(site.isNotNull(), F.xxhash64(site)).alias("site"),
+    return docs.select(key.alias("key"), F.when(site.isNotNull(), F.xxhash64(site)).alias("site"),
                        F.filter(lines, lambda x: x != 0).alias("lines"))
 
 
 def _spread(hashed: DataFrame, min_sites: int) -> DataFrame:
     lines = hashed.filter("site is not null").select("site", F.explode("lines").alias("line"))
-    # Counting is cheap, and a line that occurs less often than min_sites needs no sketch.
-    often = lines.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("line")
-    kept = materialize(lines.join(often, "line", "left_semi"), "spread-lines")
-    counted = materialize(kept.groupBy("line").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_BITS))).alias("sites")), "spread-sites")
     low, high = min_sites * (1 - BAND), min_sites * (1 + BAND)
-    near = counted.filter(F.col("sites").between(low, high)).select("line")
-    exact = (kept.join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("x"))
-             .groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
-             .select("line", "sites", F.lit(True).alias("exact")))
+    # A task hands on one sketch per line, however often it met the line.
+    counted = materialize(lines.groupBy("line").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_BITS))).alias("sites")).filter(F.col("sites") >= low), "spread-sites")
+    near = counted.filter(F.col("sites") <= high).select("line")
+    # Distinct pairs first: in the join a line then weighs its sites, not its occurrences.
+    exact = (lines.distinct().join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites"))
+             .filter(F.col("sites") >= min_sites).select("line", "sites", F.lit(True).alias("exact")))
     return counted.filter(F.col("sites") > high).select("line", "sites", F.lit(False).alias("exact")).union(exact)
 
 
@@ -58,45 +61,39 @@ def spread_lines(docs: DataFrame, text_col: str = "text", site_col: str = "sourc
 
     ``sites`` is the exact count where ``exact``, else the estimate. Null sites are no site.
     """
-    return _spread(_lines(docs, site_col, text_col, site_col), min_sites)
+    return _spread(_lines(docs, F.lit(0), text_col, site_col), min_sites)
 
 
 def mark_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
                min_sites: int = MIN_SITES) -> DataFrame:
-    """(doc_id, lines): per document that has any, the hashes of its widely spread lines."""
-    hashed = materialize(_lines(docs, id_col, text_col, site_col), "spread-hashes")
+    """(key, lines): per document that has any, the hashes of its widely spread lines."""
+    hashed = materialize(_lines(docs, _key(id_col, text_col), text_col, site_col), "spread-hashes")
     spread = materialize(_spread(hashed, min_sites), "spread-found")
-    return (hashed.select("doc_id", F.explode("lines").alias("line")).join(spread.select("line"), "line")
-            .groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
+    return (hashed.select("key", F.explode("lines").alias("line")).join(spread.select("line"), "line")
+            .groupBy("key").agg(F.collect_set("line").alias("lines")))
 
 
-def clean_text(text: Column, lines: Column, max_share: float | None = MAX_SHARE) -> Column:
-    """The text without the given lines, or as it was if they are more than ``max_share`` of it.
-
-    Without ``max_share`` it stays as it was only if nothing but blank lines would be left.
-    """
+def clean_text(text: Column, lines: Column) -> Column:
+    """The text without the given lines, or as it was if nothing but blank lines would be left."""
     def kept(x):
         return F.when(normal_line(x) == "", True).otherwise(~F.array_contains(lines, F.xxhash64(normal_line(x))))
 
     left = F.array_join(F.filter(F.split(text, "\n", -1), kept), "\n")
-    if max_share is None:
-        whole = F.translate(left, " \t\r\x0b\f\n", "") == ""
-    else:
-        whole = F.length(left) < (1 - max_share) * F.length(text)
+    whole = F.translate(left, " \t\r\x0b\f\n", "") == ""
     return F.when(lines.isNull() | whole, text).otherwise(left)
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                     min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE) -> DataFrame:
+                     min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with the lines that occur on ``min_sites`` or more sites taken out of the texts.
 
-    Lines are compared without white space at their ends; blank lines stay. A text of which more than
-    ``max_share`` would go stays as it is; with None only a text of which nothing of its own would be
-    left does. All rows and columns are kept. Null texts stay null. Null ids lose no line; repeated ids share their
-    lines' marks, which changes nothing, for a spread line is spread wherever it stands. Ties cannot
-    occur: the threshold itself counts as spread. An empty table gives an empty result.
+    Lines are compared without white space at their ends; blank lines stay. A text of which nothing of
+    its own would be left stays as it is. All rows and columns are kept. Null texts stay null. Rows with
+    a null id lose their lines like all others; repeated ids share their lines' marks, which changes
+    nothing, for a spread line is spread wherever it stands. Ties cannot occur: the threshold itself
+    counts as spread. An empty table gives an empty result.
     """
     marked = mark_lines(docs, id_col, text_col, site_col, min_sites).select(
-        F.col("doc_id").alias("_marked"), F.col("lines").alias("_lines"))
-    joined = docs.join(marked, F.col(id_col) == F.col("_marked"), "left")
-    return joined.withColumn(text_col, clean_text(F.col(text_col), F.col("_lines"), max_share)).drop("_marked", "_lines")
+        F.col("key").alias("_marked"), F.col("lines").alias("_lines"))
+    joined = docs.join(marked, _key(id_col, text_col) == F.col("_marked"), "left")
+    return joined.withColumn(text_col, clean_text(F.col(text_col), F.col("_lines"))).drop("_marked", "_lines")

@@ -58,7 +58,7 @@ def _node(grams: np.ndarray) -> int:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, prefix): set size, class and the smallest n-gram hashes of each text."""
+    """(doc_id, sum, n, node, prefix): text hash, set size, class and the smallest n-gram hashes of each text."""
     def run(batches):
         for batch in batches:
             n, nodes, prefixes = [], [], []
@@ -69,11 +69,12 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
                 keep = min(size, size - _needed(size, percent) + _extra(size, percent)) if size else 0
                 prefixes.append(grams[:keep].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()),
-                 list_column(prefixes, pa.int64())], ["doc_id", "n", "node", "prefix"])
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()),
+                 list_column(prefixes, pa.int64())], ["doc_id", "sum", "n", "node", "prefix"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n long, node long, prefix array<long>")
+    text = F.col(text_col).cast("string")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("sum"))
+    return picked.mapInArrow(run, "doc_id long, sum long, n long, node long, prefix array<long>")
 
 
 def shared_counts(described: DataFrame, buckets: int) -> DataFrame:
@@ -137,7 +138,7 @@ def shared_counts(described: DataFrame, buckets: int) -> DataFrame:
 
 
 def _exploded(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, n, gram) for the texts whose class is in ``nodes(node, rep)``."""
+    """(node, n, grams) for the texts ``nodes(node, rep, rep_sum)`` names by id and text hash."""
     def run(batches):
         for batch in batches:
             node, n, sets = [], [], []
@@ -149,9 +150,10 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, k:
                 [pa.array(node, pa.int64()), pa.array(n, pa.int64()), list_column(sets, pa.int64())],
                 ["node", "n", "grams"])
 
-    reps = broadcast_if_small(nodes.select(F.col("rep").alias("_rep")).distinct(), BROADCAST_ROWS)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(
-        reps, F.col("_id") == F.col("_rep"), "left_semi")
+    reps = broadcast_if_small(nodes.select("rep", "rep_sum"), BROADCAST_ROWS)
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("text"), F.xxhash64(text).alias("_sum")).join(
+        reps, F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_sum") == F.col("rep_sum")), "left_semi")
     return texts.select("text").mapInArrow(run, "node long, n long, grams array<long>")
 
 
@@ -190,21 +192,30 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fall into one component; two texts under one id are two rows. Other columns are ignored, an
     empty table gives an empty result. Very long texts are one set like any other.
     """
-    spark = docs.sparkSession
+    seen, placed = _linked(docs, id_col, text_col, k, percent, fragments)
+    smallest = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    of_node = placed.join(smallest, "comp").select("node", "component_id")
+    return (seen.select("doc_id", "n", "node").join(of_node, "node", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"),
+                    F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
+                    .alias("component_id")))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, fragments: int) -> tuple[DataFrame, DataFrame]:
+    """``describe``'s rows, and (node, rep, comp) with the smallest id and the component of every class."""
     seen = materialize(describe(docs, id_col, text_col, k, percent), "ngram-sets")
     classes = materialize(seen.filter("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n")), "ngram-classes").filter("rep is not null")
+        F.min("doc_id").alias("rep"), F.coalesce(F.min_by("sum", "doc_id"), F.min("sum")).alias("rep_sum"),
+        F.first("n").alias("n")), "ngram-classes")
     grams = seen.agg(F.sum(F.size("prefix"))).first()[0] or 0
     buckets = 1 << max(6, int(grams // 250_000).bit_length())
     extra = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / EXTRA))
     nodes = materialize(shared_counts(seen, buckets).join(classes, "node").filter(F.col("hits") >= extra)
-                        .select("node", "rep", "n"), "ngram-nodes")
+                        .select("node", "rep", "rep_sum", "n"), "ngram-nodes")
 
     sets = _exploded(docs, id_col, text_col, nodes, k)
-    repeated = seen.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if repeated:  # a text may come twice under its id; it counts once
+    if not seen.groupBy("doc_id", "sum").count().filter("count > 1").isEmpty():  # a repeated row counts once
         sets = sets.dropDuplicates(["node"])
-    sets = sets.join(broadcast_if_small(nodes.select("node"), BROADCAST_ROWS), "node", "left_semi") if repeated else sets
     rows = sets.select("node", "n", F.explode("grams").alias("gram"))
     freq = rows.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     active = (rows.join(freq, "gram")
@@ -268,13 +279,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = materialize(_overlap(rest, segments, percent), "ngram-links")
     labels = components(links.union(more)) if not more.isEmpty() else labels
 
-    placed = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    smallest = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_node = placed.join(smallest, "comp").select("node", "component_id")
-    return (seen.select("doc_id", "n", "node").join(of_node, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-                    .alias("component_id")))
+    return seen, classes.join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
 
 
 def _pivots(df_cuts: list[int], fragments: int) -> list[tuple[int, int]]:
@@ -287,8 +292,28 @@ def _pivots(df_cuts: list[int], fragments: int) -> list[tuple[int, int]]:
     return cuts
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id."""
-    found = ngram_jaccard(docs, id_col, text_col, k, percent)
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
+             fragments: int = 8) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, null ids last, ties by the hash of the text.
+
+    Decided per row by id and text, so of two texts under one id only the one that is a copy goes, and of
+    repeated rows one stays, whether they have an id or not. Texts without words are in no component: all
+    of them stay. Columns are kept; very long texts are one set like any other; an empty table stays empty.
+    """
+    seen, placed = _linked(docs, id_col, text_col, k, percent, fragments)
+    worded = seen.filter("n > 0").select("doc_id", "sum", "node")
+    rows = materialize(worded.join(placed.select("node", "comp"), "node").select("doc_id", "sum", "comp"), "ngram-rows")
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "sum")).alias("f"))
+    stays = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("sum") == F.col("f.sum"))
+    gone = (rows.join(first, "comp").filter(~stays)
+            .select(F.col("doc_id").alias("_gone_id"), F.col("sum").alias("_gone_sum")).distinct())
+
+    same = (F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id"))
+            & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_gone_sum")))
+    out = docs.join(gone, same, "left_anti")
+    twice = rows.groupBy(F.col("doc_id").alias("_gone_id"), F.col("sum").alias("_gone_sum")).count().filter("count > 1").drop("count")
+    if twice.isEmpty():
+        return out
+    again = (out.join(twice, same, "left_semi").withColumn("_gone_sum", F.xxhash64(F.col(text_col).cast("string")))
+             .dropDuplicates([id_col, "_gone_sum"]).drop("_gone_sum"))
+    return out.join(twice, same, "left_anti").unionByName(again)

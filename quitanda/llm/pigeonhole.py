@@ -4,7 +4,8 @@ A test item of ``m`` characters may occur in a document with up to ``k`` edits.
 pieces: at least one of them is then unharmed. All pieces of all items are searched in one pass over
 the text (Aho-Corasick); around every exact piece hit the whole item is matched with Myers'
 bit-parallel edit distance. Items are compared in normal form: lower case, letters and digits, single
-spaces.
+spaces. Short items, which would match inside words by chance, must stand between word bounds and allow
+no edits.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ class Matcher:
         self.items = [(i, t, budget(len(t), errors), masks(t)) for i, t in items]
         where = defaultdict(list)
         for n, (_, t, k, _) in enumerate(self.items):
-            for at, piece in pieces(t, k):
+            for at, piece in pieces(t, k) if len(t) >= MIN_CHARS else [(None, t)]:
                 where[piece].append((n, at))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
@@ -91,11 +92,15 @@ class Matcher:
         if self.empty or not text:
             return []
         spots = defaultdict(set)  # item -> starts it could have, on a grid of its error budget
+        found: dict[int, int] = {}
         for end, (size, places) in self.automaton.iter(text):
             for n, at in places:
+                if at is None:  # a short item
+                    if text[end - size:end - size + 1] in ("", " ") and text[end + 1:end + 2] in ("", " "):
+                        found[self.items[n][0]] = 0
+                    continue
                 k = self.items[n][2]
                 spots[n].add((end + 1 - size - at) // (k + 1))
-        found: dict[int, int] = {}
         for n, cells in spots.items():
             item_id, item, k, peq = self.items[n]
             m, step = len(item), k + 1
@@ -113,17 +118,13 @@ class Matcher:
         return sorted(found.items())
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", min_chars: int = MIN_CHARS,
-                block_chars: int = BLOCK_CHARS):
-    """Blocks of (item id, normal text), each of bounded size, read one after the other.
-
-    Items shorter than ``min_chars`` in normal form would match by chance and are left out.
-    """
+def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS):
+    """Blocks of (item id, normal text), each of bounded size, read one after the other."""
     block, size = [], 0
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).dropna().distinct()
     for r in rows.orderBy("id", "t").toLocalIterator():
         text = normal(r["t"])
-        if len(text) < min_chars:
+        if not text:
             continue
         block.append((r["id"], text))
         size += len(text)
@@ -140,9 +141,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     ``items`` has the ids of the test items that occur in the text with at most ``errors`` edits per
     character, sorted, and ``edits`` the edits of each. Whole texts are searched, however long. Null
-    and empty texts hold none. Items with a null id or text, or under MIN_CHARS characters in normal
-    form, are not searched; items with equal texts are all reported; of repeated item ids the best
-    match counts. Repeated documents and null ids each give a row; other columns are ignored; without
+    and empty texts hold none. Items under MIN_CHARS characters in normal form are found as whole words
+    without edits; those with a null id or text, or without a letter or digit, are not searched. Items
+    with equal texts are all reported; of repeated item ids the best match counts. Repeated documents and null ids each give a row; other columns are ignored; without
     items, or without documents, nothing is contaminated.
     """
     parts = [_search(docs, block, id_col, text_col, errors) for block in item_blocks(items, item_id, item_text)]

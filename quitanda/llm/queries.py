@@ -45,20 +45,15 @@ def host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
-def site_spread(spark: SparkSession, sf_dir: str, max_share: float | None = line_spread.MAX_SHARE) -> DataFrame:
+def site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = lambda c: F.size(F.split(F.coalesce(c, F.lit("")), "\n", -1)).cast("long")
-    return (line_spread.drop_boilerplate(docs.select("doc_id", "text", "source", size(F.col("text")).alias("before")), max_share=max_share)
+    return (line_spread.drop_boilerplate(docs.select("doc_id", "text", "source", size(F.col("text")).alias("before")))
             .select("doc_id", (F.col("before") - F.when(F.col("text") == "", F.when(F.col("before") > 1, 0).otherwise(1))
                                .otherwise(size(F.col("text")))).alias("removed_lines"),
                     F.md5("text").alias("text_md5")))
 
 
-def site_spread_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spread lines go from every text that has something of its own, however much of it they are."""
-    return site_spread(spark, sf_dir, None)
-
-
 def warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc_zst.archive(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -94,7 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxic_chain": toxic_chain,
     "op4_host_reputation": host_reputation,
     "op5_site_spread": site_spread,
-    "op5_site_spread_all": site_spread_all,
     "op6_warc_dictionary": warc_dictionary,
     "op7_pigeonhole_edit": pigeonhole_edit,
     "op8_ranked_ids": ranked_ids,
@@ -169,9 +163,10 @@ cut AS (
     list_filter(raw, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) = '' OR bad IS NULL
       OR NOT list_contains(bad, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)))) AS kept
   FROM split s LEFT JOIN marked m USING (doc_id)),
-done AS (SELECT doc_id, text, before, kept, array_to_string(kept, chr(10)) AS left_text FROM cut)
-SELECT doc_id, CASE WHEN length(left_text) < 0.5 * length(text) THEN 0 ELSE before - len(kept) END::BIGINT AS removed_lines,
-  md5(CASE WHEN length(left_text) < 0.5 * length(text) THEN text ELSE left_text END) AS text_md5
+done AS (SELECT doc_id, text, before, kept, array_to_string(kept, chr(10)) AS left_text,
+    translate(array_to_string(kept, chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') = '' AS nothing FROM cut)
+SELECT doc_id, CASE WHEN nothing THEN 0 ELSE before - len(kept) END::BIGINT AS removed_lines,
+  md5(CASE WHEN nothing THEN text ELSE left_text END) AS text_md5
 FROM done
 """,
     "op6_warc_dictionary": """
@@ -185,7 +180,3 @@ SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
 FROM p JOIN f USING (h)
 """,
 }
-
-# Whole if nothing but blank lines would be left.
-ORACLES["op5_site_spread_all"] = ORACLES["op5_site_spread"].replace(
-    "length(left_text) < 0.5 * length(text)", "translate(left_text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') = ''")

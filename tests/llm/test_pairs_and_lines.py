@@ -106,13 +106,33 @@ def test_keep_one_keeps_the_smallest_and_all_columns(spark, rows):
     assert got.columns == ["doc_id", "text", "source"]
 
 
+def test_keep_one_decides_by_row(spark, rows):
+    copy, clean, other = "a b c d e f g", "q r s t u v w", "one two three four five six"
+    data = [(3, copy), (7, copy), (7, clean), (9, other), (9, other), (9, other), (None, other), (5, ""), (5, ""), (None, "solo text")]
+    data += [(None, "no id but twice or more")] * 3 + [(None, "no ID but twice or more"), (None, None)]
+    got = ngram_join.keep_one(rows([(*d, 1, 2) for d in data], "doc_id long, text string, comp long, sum int"))
+    want = [(3, copy), (7, clean), (9, other), (5, ""), (5, ""), (None, "solo text"), (None, None)]
+    found = tidy((r["doc_id"], r["text"]) for r in got.collect())
+    lone = [r for r in found if r[1] and r[1].lower() == "no id but twice or more"]
+    assert len(lone) == 1 and tidy(r for r in found if r not in lone) == tidy(want)
+    assert got.columns == ["doc_id", "text", "comp", "sum"]
+    assert ngram_join.keep_one(rows([], "doc_id long, text string")).collect() == []
+
+
+def test_rows_without_ids_link_documents(spark, rows):
+    words = [f"w{i}" for i in range(40)]
+    data = [(4, " ".join(words)), (None, " ".join(words[2:])), (9, " ".join(words[4:])), (12, " ".join(words[6:]))]
+    got = ngram_join.ngram_jaccard(rows(data, "doc_id long, text string"))
+    assert tidy(map(tuple, got.collect())) == tidy(brute_components(data))
+
+
 def test_components_of_a_chain(spark, rows):
     got = components(rows([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long"))
     want = {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert {r["node"]: r["comp"] for r in got.collect()} == want
 
 
-def lines_brute(data, min_sites, max_share):
+def lines_brute(data, min_sites):
     sites = defaultdict(set)
     for _, text, source in data:
         for line in (text or "").split("\n"):
@@ -125,7 +145,7 @@ def lines_brute(data, min_sites, max_share):
             out.append((doc, None))
             continue
         kept = "\n".join(x for x in text.split("\n") if len(sites[x.strip(" \t\r\x0b\f")]) < min_sites)
-        out.append((doc, text if doc is None or len(kept) < (1 - max_share) * len(text) else kept))
+        out.append((doc, kept if kept.strip(" \t\r\x0b\f\n") else text))
     return out
 
 
@@ -134,14 +154,14 @@ def test_lines_go_from_the_threshold_on(spark, rows, sites):
     body = "\n".join(f"own line number {{0}} {i}" for i in range(5))
     data = [(i, " Shared line \n" + body.format(i), f"s{i % sites}") for i in range(sites * 2)]
     got = line_spread.drop_boilerplate(rows(data, "doc_id long, text string, source string"))
-    assert tidy((r["doc_id"], r["text"]) for r in got.collect()) == tidy(lines_brute(data, 10, 0.5))
+    assert tidy((r["doc_id"], r["text"]) for r in got.collect()) == tidy(lines_brute(data, 10))
 
 
 def test_lines_go_even_where_they_are_most_of_the_text(spark, rows):
     shared = "a long line that stands on every one of the sites"
     data = [(i, f"{shared}\nown {i}", f"s{i}") for i in range(12)]
     data += [(100, shared, "s1"), (101, f"{shared}\n \n{shared}", "s2"), (102, f"{shared}\n\n.", "s3"), (103, "", "s4"), (104, None, "s5")]
-    got = line_spread.drop_boilerplate(rows(data, "doc_id long, text string, source string"), max_share=None)
+    got = line_spread.drop_boilerplate(rows(data, "doc_id long, text string, source string"))
     want = [(i, f"own {i}") for i in range(12)] + [*((i, t) for i, t, _ in data[12:14]), (102, "\n."), (103, ""), (104, None)]
     assert tidy((r["doc_id"], r["text"]) for r in got.collect()) == tidy(want)
 
@@ -150,12 +170,12 @@ def test_line_edges(spark, rows):
     shared = "shared line"
     data = [(i, f"{shared}\nown {i} and much more text here", f"s{i}") for i in range(20)]
     data += [(100, shared, "s1"), (101, None, "s1"), (102, "", "s1"), (103, f"{shared}\n\n\nkeeps its blank lines here", None),
-             (None, f"{shared}\nno id, so nothing is marked", "s2"), (5, f"{shared}\nsecond row of id five stays", "s5"),
+             (None, f"{shared}\nno id, but it goes here too", "s2"), (5, f"{shared}\nsecond row of id five stays", "s5"),
              (104, "\n".join(f"long line {i}" for i in range(20_000)) + "\n" + shared, "s3")]
     df = rows([(*d, "x", [1]) for d in data], "doc_id long, text string, source string, line string, lines array<int>")
     got = line_spread.drop_boilerplate(df)
     assert got.columns == df.columns
-    assert tidy((r["doc_id"], r["text"]) for r in got.collect()) == tidy(lines_brute(data, 10, 0.5))
+    assert tidy((r["doc_id"], r["text"]) for r in got.collect()) == tidy(lines_brute(data, 10))
     assert line_spread.drop_boilerplate(df.limit(0)).collect() == []
 
 
@@ -198,16 +218,21 @@ def test_decontamination_equals_brute_force(spark, rows):
             text = f"{text}. {''.join(item).upper()}! {make(50)}"
         docs.append((i, text))
     docs += [(90, None), (91, ""), (None, items[0][1]), (7, items[1][1]), (92, "x" * 200_000 + " " + items[2][1])]
-    got = pigeonhole.contaminated(rows(docs, "doc_id long, text string"), rows(items, "item_id long, text string"))
+    items += [(60, "What is 2 + 2?"), (61, "--"), (62, "is 2")]
+    docs += [(93, "so, what is 2+2 then"), (94, "what is 2 + 22"), (95, "this 2"), (96, "what is 2 2"), (97, "short. what is")]
+    framed = rows([(*d, 0, "x") for d in docs], "doc_id long, text string, items int, hits string")
+    got = pigeonhole.contaminated(framed, rows([(*i, 1) for i in items], "item_id long, text string, id int"))
     want = []
     for doc, text in docs:
         text = pigeonhole.normal(text)
         best = {}
         for item_id, item in items:
             item = pigeonhole.normal(item)
-            if item_id is None or len(item) < pigeonhole.MIN_CHARS:
+            if item_id is None or not item:
                 continue
-            if len(text) > 10_000:
+            if len(item) < pigeonhole.MIN_CHARS:
+                edits = 0 if f" {item} " in f" {text} " else len(item)
+            elif len(text) > 10_000:
                 edits = 0 if item in text else len(item)
             else:
                 edits = distance_inside(item, text)
