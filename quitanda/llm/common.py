@@ -51,7 +51,17 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def _hash_chunk(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
+def span_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the stretches ``data[first:end]``, none of them empty; with ``lower``, A-Z count as a-z."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    upto = np.cumsum((_BYTE[_LOWERED] if lower else _BYTE)[data] * _power(_BASE, len(data)))
+    last = end - 1
+    under = np.where(first > 0, upto[first - 1], np.uint64(0))
+    return mix((upto[last] - under) * _power(_INVERSE, len(data))[first] + (last - first).astype(np.uint64) * _MUL)
+
+
+def _hash_chunk(data: np.ndarray, bounds: np.ndarray, lower: bool) -> list[np.ndarray]:
     n = len(data)
     if not n:
         return [np.zeros(0, np.uint64)] * (len(bounds) - 1)
@@ -61,9 +71,7 @@ def _hash_chunk(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> list
     inner = bounds[(bounds > 0) & (bounds < n)]
     before[inner], after[inner - 1] = False, False
     first, last = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after)
-    upto = np.cumsum(table[data] * _power(_BASE, n))
-    under = np.where(first > 0, upto[first - 1], np.uint64(0))
-    hashes = mix((upto[last] - under) * _power(_INVERSE, n)[first] + (last - first).astype(np.uint64) * _MUL)
+    hashes = span_hashes(data, first, last + 1, lower)
     cut = np.searchsorted(first, bounds)
     return [hashes[a:b] for a, b in zip(cut, cut[1:])]
 
@@ -78,12 +86,11 @@ def word_hashes(column: pa.Array, lower: bool) -> list[np.ndarray]:
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else [0]
     raw = column.buffers()[2] if len(column) else None
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-    table = _BYTE[_LOWERED] if lower else _BYTE
     out: list[np.ndarray] = []
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _CHUNK, "right")) - 1)
-        out += _hash_chunk(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], table)
+        out += _hash_chunk(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], lower)
         lo = hi
         if len(_powers.get(_BASE, ())) > 16 * _CHUNK:
             _powers.clear()  # after an uncommonly long text

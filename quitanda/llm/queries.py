@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quitanda.llm import (
-    line_spread, merge_dropout, ngram_join, pigeonhole, pii, quality_votes, token_files, toxicity, url_reputation, warc_zst,
+    line_spread, merge_dropout, ngram_join, packing, pigeonhole, pii, quality_votes, token_files, toxicity, url_reputation, warc_zst,
 )
 from quitanda.llm.common import table
 from quitanda.session import scratch_path
 
-TOKENIZERS = "/opt/tokenizers"
-
-
-def _tokenizer(name: str) -> str:
-    return os.path.join(os.path.realpath(TOKENIZERS), name)
-
 
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard(table(spark, sf_dir, "documents"))
@@ -65,7 +59,7 @@ def pigeonhole_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.token_files(
-        table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), _tokenizer("word_bpe_49k.json")))
+        table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), str(public_tokenizers.path("word_bpe_49k.json"))))
 
 
 def weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +69,7 @@ def weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dropout_model() -> str:
-    return _tokenizer("piece_bpe_32k.model")
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def dropout_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +77,11 @@ def dropout_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "lossless")
 
 
+def packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_jaccard,
     "op2_personal_data": personal_data,
@@ -94,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ranked_ids": ranked_ids,
     "op9_weak_supervision": weak_supervision,
     "op10_dropout_pieces": dropout_pieces,
+    "op12_packed_windows": packed_windows,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -21,15 +21,17 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quitanda.llm.common import filesystem
+from quitanda.llm.common import arrow_bytes, broadcast_if_small, filesystem
+from quitanda.llm.units import UNITS, Store, UnitEncoder
+from quitanda.operators.ranking import running_sum
 from quitanda.session import materialize
 
 MAGIC = b"FRQ1"
 FILE_TOKENS = 4_000_000
-CACHE_WORDS = 400_000
+FILES = 1_000_000  # whose running totals are broadcast
 END_ID = 2
 
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
@@ -96,67 +98,57 @@ def decode_file(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 # --- encoding text --------------------------------------------------------------------------------
 
-_CLOSING = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
+_SPECIAL = re.compile(rb"<\|")
+_GAP = re.compile(rb"[ \n]")
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
-def split_words(text: str) -> list[str]:
-    """A text in parts that are tokenised each on its own.
+def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end) of the parts of texts that are tokenised each on its own.
 
-    Besides blanks and line ends, a single stop or comma after a letter and before a gap is a part: it
-    is a run of its own for the tokenizer. A-Z are lower-cased as the tokenizer does. A text with the
-    start of a special token is only split at gaps.
+    They lie between blanks and line ends; a single stop or comma after a letter and before a gap is a
+    part too, for it is a run of its own for the tokenizer.
     """
-    if "<|" not in text:
-        text = _CLOSING.sub(r" \1", text.encode().lower().decode())
-    return text.replace("\n", " ").split(" ")
-
-
-class _Index(dict):
-    """Word -> number, numbered as they come; ``fresh`` has those not encoded yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
-
-
-class WordEncoder:
+    n = len(data)
+    gap = (data == 32) | (data == 10)
+    opens, closes = np.zeros(n + 1, bool), np.zeros(n + 1, bool)  # a text begins, or ends before, here
+    opens[bounds], closes[bounds] = True, True
+    opens[1:] |= np.r_[gap]
+    closes[:-1] |= gap
+    stop = ((data == 46) | (data == 44)) & closes[1:] & ~opens[:-1]
+    stop[1:] &= _LETTER[data[:-1]]
+    if n:
+        stop[0] = False
+    first = ~gap & (opens[:-1] | stop)
+    last = ~gap & (closes[1:] | np.r_[stop[1:], False])
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+class WordEncoder(UnitEncoder):
     """Encodes texts word by word, each distinct word once.
 
     The tokenizer drops white space and none of its pieces crosses it, so the ids of a text are those
-    of its words between blanks and line ends, in order.
+    of its words between blanks and line ends, in order. A-Z are lower-cased as the tokenizer does. A
+    text with the start of a special token is encoded whole.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, limit: int = UNITS):
         self.tokenizer = tokenizer
-        self.reset()
-
-    def reset(self):
-        self.index = _Index()
-        self.flat = np.zeros(0, np.uint32)
-        self.start = np.zeros(1, np.int64)
-
-    def _learn(self):
-        fresh, self.index.fresh = self.index.fresh, []
-        flats, sizes = [self.flat], []
-        for at in range(0, len(fresh), 100):
-            ids, counts = self._ids_of(fresh[at:at + 100])
-            flats.append(ids)
-            sizes.append(counts)
-        self.flat = np.concatenate(flats)
-        self.start = np.r_[self.start, self.start[-1] + np.cumsum(np.concatenate(sizes), dtype=np.int64)]
+        super().__init__(Store(self._learn, limit), word_spans, lambda t: tokenizer.encode(t, add_special_tokens=False).ids,
+                         _SPECIAL, _GAP, lower=True)
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        done = [self._ids_of([w.decode() for w in words[at:at + 100]]) for at in range(0, len(words), 100)]
+        return np.concatenate([ids for ids, _ in done]), np.concatenate([counts for _, counts in done])
 
     def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per word) of words encoded in one call, told apart by where each id begins.
 
-        Words that could hold a special token, or that the tokenizer would compose, are encoded alone.
+        Words that the tokenizer would compose are encoded alone.
         """
         text = " ".join(words)
-        if "<|" in text or not is_normalized("NFC", text):
+        if not is_normalized("NFC", text):
             got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
             return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got])
         whole = self.tokenizer.encode(text, add_special_tokens=False)
@@ -164,23 +156,6 @@ class WordEncoder:
         word = np.searchsorted(begins, [a for a, _ in whole.offsets], "right") - 1
         return np.array(whole.ids, np.uint32), np.bincount(word, minlength=len(words))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids per text, all ids)."""
-        words, upto = [], [0]
-        for t in texts:
-            words += split_words(t)
-            upto.append(len(words))
-        if len(self.index) > CACHE_WORDS:
-            self.reset()
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if self.index.fresh:
-            self._learn()
-        first = self.start[at]
-        size = self.start[at + 1] - first
-        end = np.r_[0, np.cumsum(size)]
-        ids = self.flat[np.repeat(first - end[:-1], size) + np.arange(end[-1])]
-        return np.diff(end[upto]), ids
-
 
 _loaded: dict[str, WordEncoder] = {}
 
@@ -239,11 +214,11 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
 
         for batch in batches:
             keys, texts, chars = [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in zip(batch.column(0).to_pylist(), arrow_bytes(batch.column(1))):
                 keys.append(key)
                 texts.append(text)
                 chars += len(text)
-                if chars > 1_000_000:
+                if chars > 4_000_000:
                     put(keys, texts)
                     keys, texts, chars = [], [], 0
             if keys:
@@ -260,10 +235,10 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
 def read_files(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
     """(doc_id, start, ids) per document, from the files and the list of what was written.
 
-    ``start`` counts the ids before the document. The running total is over one row per file.
+    ``start`` counts the ids before the document, by a running total over one row per file.
     """
-    before = F.sum("tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    bases = written.select("file", F.coalesce(before, F.lit(0)).alias("base"))
+    totals = running_sum(written.select("file", "part", "seq", "tokens"), [F.col("part"), F.col("seq")], "tokens", "upto", "total", "position")
+    bases = broadcast_if_small(totals.select("file", (F.col("upto") - F.col("tokens")).alias("base")), FILES)
     blobs = (spark.read.format("binaryFile").load(f"{folder}/*.frq")
              .select(F.substring_index("path", "/", -1).alias("file"), "content"))
 
@@ -281,7 +256,7 @@ def read_files(spark: SparkSession, folder: str, written: DataFrame) -> DataFram
                          pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[first:ends[hi - 1]], pa.int64()).cast(pa.int32()))],
                         ["doc_id", "start", "ids"])
 
-    return blobs.join(F.broadcast(bases), "file").select("base", "content").mapInArrow(
+    return blobs.join(bases, "file").select("base", "content").mapInArrow(
         run, "doc_id long, start long, ids array<int>")
 
 

@@ -7,16 +7,18 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from quitanda.llm import merge_dropout, pii, quality_votes, queries, token_files, toxicity, url_reputation, warc_zst
+from quitanda.llm import merge_dropout, pii, quality_votes, queries, token_files, toxicity, units, url_reputation, warc_zst
 from quitanda.llm.common import arrow_bytes, word_hashes
 from quitanda.session import scratch_path
 
 SF = "/root/testdata/sf0.01"
+WORDS_FILE = str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 # --- personal data --------------------------------------------------------------------------------
@@ -258,7 +260,7 @@ def test_numbers_round_trip():
 def reference_ids(texts):
     from tokenizers import Tokenizer
 
-    tool = Tokenizer.from_file(queries._tokenizer("word_bpe_49k.json"))
+    tool = Tokenizer.from_file(WORDS_FILE)
     return [e.ids for e in tool.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -269,11 +271,21 @@ ODD = ["", " ", "A  b\n\nC", "don't I'LL we've", "é e\u0301 \u0301x \u0344", "a
 def test_words_encode_like_whole_texts():
     rng = random.Random(2)
     texts = ODD + ["".join(rng.choices("aBS'té\u0301 \n\t.,.,1!Ω\u0345\u00a0-", k=rng.randint(0, 60))) for _ in range(400)]
-    encoder = token_files.encoder_of(queries._tokenizer("word_bpe_49k.json"))
-    sizes, flat = encoder.encode(texts)
+    encoder = token_files.encoder_of(WORDS_FILE)
     want = reference_ids(texts)
+    for tool in (encoder, token_files.WordEncoder(encoder.tokenizer, limit=40)):  # the second forgets on the way
+        for lo in (0, 200):
+            sizes, flat = tool.encode([t.encode() for t in texts[lo:]])
+            ends = np.cumsum(sizes)
+            assert [flat[e - s:e].tolist() for s, e in zip(sizes, ends)] == want[lo:]
+
+
+def test_long_texts_are_cut_where_words_end(monkeypatch):
+    monkeypatch.setattr(units, "STRETCH", 50)
+    texts = ["word another. " * 40, "x" * 200, "short", "<|endoftext|> " * 30, "a, b.\n" * 30 + "y" * 90 + " end."]
+    sizes, flat = token_files.encoder_of(WORDS_FILE).encode([t.encode() for t in texts])
     ends = np.cumsum(sizes)
-    assert [flat[e - s:e].tolist() for s, e in zip(sizes, ends)] == want
+    assert [flat[e - s:e].tolist() for s, e in zip(sizes, ends)] == reference_ids(texts)
 
 
 def test_token_file_query(spark):
@@ -290,13 +302,13 @@ def test_token_file_edges(spark, rows, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_TOKENS", 50)
     data = [(5, "five words stand in here"), (5, "another row"), (1, None), (2, ""), (None, "no id"), (9, "long " * 30_000)]
     df = rows([(*d, 1) for d in data], "doc_id long, text string, ids int")
-    got = token_files.token_files(df, scratch_path(spark, "tokens"), queries._tokenizer("word_bpe_49k.json")).collect()
+    got = token_files.token_files(df, scratch_path(spark, "tokens"), WORDS_FILE).collect()
     want = Counter((i, tuple([*ids, 2])) for (i, _), ids in zip(data, reference_ids([t for _, t in data])))
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
     placed = sorted(got, key=lambda r: r["start"])
     assert [r["doc_id"] for r in placed] == [1, 2, 5, 5, 9, None]
     assert all(a["start"] + len(a["ids"]) == b["start"] for a, b in zip(placed, placed[1:]))
-    assert token_files.token_files(df.limit(0), scratch_path(spark, "tokens"), queries._tokenizer("word_bpe_49k.json")).collect() == []
+    assert token_files.token_files(df.limit(0), scratch_path(spark, "tokens"), WORDS_FILE).collect() == []
 
 
 # --- quality --------------------------------------------------------------------------------------
