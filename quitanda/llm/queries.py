@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quitanda.llm import (
-    filter_audit, line_spread, merge_dropout, ngram_join, packing, pigeonhole, pii, quality_votes, token_files, toxicity, url_reputation, warc_zst,
+    filter_audit, line_spread, merge_dropout, ngram_join, packing, pigeonhole, pii, prefix_trie, quality_votes, token_files, toxicity, url_reputation, warc_zst,
 )
 from quitanda.llm.common import table
 from quitanda.session import scratch_path
@@ -86,6 +86,10 @@ def packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": ngram_jaccard,
     "op2_personal_data": personal_data,
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_dropout_pieces": dropout_pieces,
     "op11_filter_interaction": filter_interaction,
     "op12_packed_windows": packed_windows,
+    "op13_conversation_trie": conversation_trie,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -211,5 +216,31 @@ counted AS (SELECT part, o AS filter_order, k AS step, letter,
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
   (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
 FROM counted
+""",
+    # crc32 bit by bit; a node is the list of hashes of its turns
+    "op13_conversation_trie": """
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i,
+    md5(coalesce(role, '')) || md5(coalesce(text, '')) AS h, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, c::VARCHAR AS s FROM t),
+sums AS (SELECT c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, range(8 * length(s))),
+    lambda r, k: xor(CASE WHEN k % 8 = 0 THEN xor(r, ascii(substr(s, (k // 8 + 1)::INT, 1))) ELSE r END >> 1,
+      3988292384 * ((CASE WHEN k % 8 = 0 THEN xor(r, ascii(substr(s, (k // 8 + 1)::INT, 1))) ELSE r END) & 1)))) % 4 AS n FROM ids),
+taken AS (SELECT sums.c, t.i, t.h, t.words FROM sums JOIN t ON t.c = sums.c - sums.c % 20 AND t.i <= n
+  UNION ALL SELECT t.c, t.i + 1000000, t.h, t.words FROM t JOIN sums USING (c) WHERE t.i > n),
+turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, h, words FROM taken),
+whole AS (SELECT c, count(h) AS n, coalesce(list(h ORDER BY d) FILTER (h IS NOT NULL), []) AS hs, coalesce(list(words ORDER BY d) FILTER (h IS NOT NULL), []) AS ws
+  FROM (SELECT DISTINCT c FROM t) LEFT JOIN turns USING (c) GROUP BY 1),
+places AS (SELECT c, n, d, sha256(array_to_string(hs[1:d], ',')) AS k, CASE WHEN d > 0 THEN sha256(array_to_string(hs[1:d - 1], ',')) END AS up,
+    coalesce(ws[d], 0) AS w FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM whole)),
+nodes AS (SELECT k, d, any_value(up) AS up, any_value(w) AS w, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM places GROUP BY 1, 2),
+kids AS (SELECT up AS k, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY 1),
+marked AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (k)),
+above AS (SELECT DISTINCT low.k, high.k AS a FROM places low JOIN places high ON low.c = high.c AND high.d <= low.d),
+sub AS (SELECT a AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * w) AS saved FROM above JOIN marked USING (k) GROUP BY 1)
+SELECT m.conv_id, m.d::BIGINT AS depth, p.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, m.ends AS ends_sha256
+FROM marked m JOIN sub USING (k) LEFT JOIN nodes p ON p.k = m.up
 """,
 }
