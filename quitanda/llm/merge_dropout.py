@@ -7,8 +7,9 @@ dropout rate, so every occurrence of a word draws its own. The same seed gives t
 on any machine and any retry. Without dropout it is the vocabulary's own segmentation. Pieces unknown to the vocabulary are written as bytes, so decoding loses nothing.
 
 No piece joins a blank to what stands before it or crosses a line end, so a text is segmented unit by
-unit (blanks and the word after them). Occurrences of a unit share their work only where the same of
-its candidates are skipped.
+unit (blanks and the word after them). Of a unit met more than once the form without dropout is kept,
+with the candidates that it merges; an occurrence of which none is skipped has that form. All other
+occurrences are segmented each on its own, many at a time.
 """
 
 from __future__ import annotations
@@ -23,17 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from quitanda.llm.common import mix
+from quitanda.llm.common import arrow_bytes, mix, span_hashes
+from quitanda.llm.units import Store, stretches
 
 BLANK = "▁"
 RATE = 0.1
-CACHE_UNITS = 400_000
-CACHE_PATTERNS = 800_000
-CANDIDATES = 40  # of a unit whose skip patterns are remembered
-BLOCK = 1 << 16  # units whose candidates are drawn at once
-ROWS = 1000  # of a batch, segmented and handed on together
+FORMS = 1_000_000  # units whose form without dropout a worker remembers
+ROWS = 500  # of a batch, segmented and handed on together
 LONGEST = 64  # characters of a unit that is segmented together with others
-_UNIT = re.compile(r" *[^ \n]+|\n| +")
+_BORDER = re.compile(rb"(?<! ) (?! )|\n")
 _MASK = (1 << 64) - 1
 _PLACE, _SIZE, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9
 
@@ -88,9 +87,8 @@ class Pieces:
         self.keys, self.union = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
         key = np.array([a << 32 | b for a, b in pairs], np.int64)
         value = np.array(list(pairs.values()), np.int64)
-        slot, self.probes = self._slot(key), 0
+        slot = self._slot(key)
         while len(key):
-            self.probes += 1
             free = self.keys[slot] < 0
             self.keys[slot[free]] = key[free]  # of several in one slot the last stays
             placed = self.keys[slot] == key
@@ -103,11 +101,18 @@ class Pieces:
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece each pair of pieces makes, or -1."""
         key = left << 32 | right
-        slot, out = self._slot(key), np.full(len(key), -1, np.int64)
-        for _ in range(self.probes):
-            found = self.keys[slot] == key
-            out[found] = self.union[slot[found]]
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.union[slot], -1)
+        live = np.flatnonzero((there != key) & (there >= 0))
+        slot = slot[live]
+        while len(live):
             slot = slot + 1 & (1 << self.bits) - 1
+            there = self.keys[slot]
+            hit = there == key[live]
+            out[live[hit]] = self.union[slot[hit]]
+            on = ~hit & (there >= 0)
+            live, slot = live[on], slot[on]
         return out
 
     def segment(self, unit: str, key: int, limit: int) -> list[str]:
@@ -153,198 +158,217 @@ class Pieces:
                 ids += [got] if got is not None else [self.bytes[b] for b in p.replace(BLANK, " ").encode()]
         return ids
 
-    def many_ids(self, units: list[str], keys: np.ndarray, limit: int) -> list[list[int]]:
-        """Ids of many units: the agendas of all short units are worked off in step.
+    def plain(self, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which units are short and made of characters that are pieces."""
+        bad = np.r_[0, np.cumsum(self.char[chars] < 0)]
+        end = np.cumsum(sizes)
+        return (bad[end] == bad[end - sizes]) & (sizes <= LONGEST)
 
-        In each round every unit takes the best candidate of its agenda that is not skipped, the
-        leftmost of equals; only the candidates beside a merge are made anew.
+    def many(self, chars: np.ndarray, sizes: np.ndarray, keys: np.ndarray, limit: int, trace: bool = False):
+        """(ids per unit, all ids) of plain units; with ``trace`` also the merges per unit and all of them.
+
+        The agendas are worked off in step: in each round every unit takes the best candidate of its own
+        that is not skipped, the leftmost of equals, and only the candidates beside a merge are made anew.
+        A merge is traced as place * 256 + size.
         """
-        out: list = [None] * len(units)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        owner = np.repeat(np.arange(len(units)), sizes)
-        symbol = self.char[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
-        plain = np.ones(len(units), bool)
-        plain[owner[symbol < 0]] = False
-        plain &= sizes <= LONGEST
-        for n in np.flatnonzero(~plain):
-            out[n] = self.unit_ids(units[n], int(keys[n]), limit)
-        kept = plain[owner]
-        owner, symbol = owner[kept], symbol[kept]
-        size = np.ones(len(symbol), np.int64)
-        place = np.arange(len(symbol)) - np.searchsorted(owner, owner)
+        symbol = self.char[chars]
+        total, m = len(symbol), len(sizes)
+        begin = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(m), sizes)
+        place = np.arange(total) - begin[owner]
+        after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
+        after[begin + sizes - 1], before[begin] = -1, -1
+        size, union = np.ones(total, np.int64), np.full(total, -1)
         none = np.int64(1) << 62
 
         def worth(at: np.ndarray) -> np.ndarray:
-            """Rank and place of the candidate that starts at each symbol ``at``; ``none`` without one."""
-            value = np.full(len(at), none)
-            at_end = at + 1 >= len(owner)
-            inside = np.flatnonzero(~at_end & (owner[at] == owner[np.where(at_end, at, at + 1)]))
+            """Rank and place of the candidate that starts at each symbol; ``none`` without one."""
+            out = np.full(len(at), none)
+            inside = np.flatnonzero(after[at] >= 0)
             left = at[inside]
-            union = self.joined(symbol[left], symbol[left + 1])
-            ok = union >= 0
+            made = self.joined(symbol[left], symbol[after[left]])
+            ok = made >= 0
+            inside, left, made = inside[ok], left[ok], made[ok]
             if limit:
-                span = (size[left] + size[left + 1]).astype(np.uint64)
-                ok &= ~_skipped(keys[owner[left]], place[left].astype(np.uint64), span, limit)
-            inside, left, union = inside[ok], left[ok], union[ok]
-            value[inside] = self.rank[union] << 20 | place[left]
-            return value
-
-        value = worth(np.arange(len(owner)))
-        while len(owner):
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            best = np.minimum.reduceat(value, first)
-            count = np.diff(np.r_[first, len(owner)])
-            over = best == none
-            if over.any():
-                for n, a, c in zip(owner[first[over]].tolist(), first[over].tolist(), count[over].tolist()):
-                    out[n] = symbol[a:a + c].tolist()
-                on = np.repeat(~over, count)
-                owner, symbol, size, place, value = owner[on], symbol[on], size[on], place[on], value[on]
-                best, count = best[~over], count[~over]
-                continue_at = np.r_[0, np.cumsum(count)[:-1]] if len(count) else count
-            else:
-                continue_at = first
-            if not len(owner):
-                break
-            hit = np.flatnonzero(value == np.repeat(best, count))
-            symbol[hit] = self.joined(symbol[hit], symbol[hit + 1])
-            size[hit] += size[hit + 1]
-            left = np.ones(len(owner), bool)
-            left[hit + 1] = False
-            moved = np.cumsum(left) - 1
-            starts = moved[continue_at]
-            hit = moved[hit]
-            owner, symbol, size, place, value = owner[left], symbol[left], size[left], place[left], value[left]
-            value[hit] = worth(hit)
-            before = hit[hit > starts] - 1
-            value[before] = worth(before)
-        return out
-
-    @property
-    def kind(self) -> str:
-        return "<u2" if len(self.out) <= 1 << 16 else "<u4"
-
-
-class _Index(dict):
-    """Key -> number, numbered as they come; ``fresh`` has those not worked on yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh: list = []
+                span = (size[left] + size[after[left]]).astype(np.uint64)
+                ok = ~_skipped(keys[owner[left]], place[left].astype(np.uint64), span, limit)
+                inside, left, made = inside[ok], left[ok], made[ok]
+            union[left] = made
+            out[inside] = self.rank[made] << 20 | place[left]
+            return out
 
-    def __missing__(self, key) -> int:
-        self[key] = n = len(self)
-        self.fresh.append(key)
-        return n
+        value = worth(np.arange(total))
+        units, local = np.arange(m), begin.copy()  # units at work and where their values begin
+        traced = []
+        while len(units):
+            best = np.minimum.reduceat(value, local)
+            live = np.flatnonzero(best < none)
+            if 2 * len(live) < len(units):
+                width = sizes[units[live]]
+                step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+                value = value[np.repeat(local[live], width) + step]
+                units, best, local = units[live], best[live], np.cumsum(width) - width
+                live = np.arange(len(units))
+            if not len(live):
+                break
+            at = best[live] & (1 << 20) - 1
+            here = local[live] - begin[units[live]]  # from a symbol to its value
+            hit = begin[units[live]] + at
+            gone = after[hit]
+            symbol[hit] = union[hit]
+            size[hit] += size[gone]
+            symbol[gone], value[gone + here] = -1, none
+            follows = after[gone]
+            after[hit] = follows
+            more = follows >= 0
+            before[follows[more]] = hit[more]
+            if trace:
+                traced.append((units[live], at * 256 + size[hit]))
+            value[hit + here] = worth(hit)
+            back = before[hit]
+            more = back >= 0
+            value[back[more] + here[more]] = worth(back[more])
+        kept = symbol >= 0
+        counts = np.add.reduceat(kept, begin) if m else np.zeros(0, np.int64)
+        if not trace:
+            return counts, symbol[kept]
+        who = np.concatenate([u for u, _ in traced]) if traced else np.zeros(0, np.int64)
+        what = np.concatenate([w for _, w in traced]) if traced else np.zeros(0, np.int64)
+        order = np.argsort(who, kind="stable")
+        return counts, symbol[kept], np.bincount(who, minlength=m), what[order]
+
+
+def unit_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end) of the units of texts: a line end, or blanks and what follows them in the line."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begin = (data == 10) | np.r_[True, data[:-1] == 10] | ((data == 32) & np.r_[True, data[:-1] != 32])
+    begin[bounds[bounds < len(data)]] = True
+    first = np.flatnonzero(begin)
+    return first, np.r_[first[1:], len(data)]
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    upto = np.cumsum(size)
+    return np.repeat(first - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
 
 
 class Segmenter:
-    """Texts to ids and back; a unit is segmented once per pattern of skipped candidates while it is remembered."""
+    """Texts to ids and back."""
 
     def __init__(self, path: str, seed: int = 0, rate: float = RATE):
         self.pieces = Pieces(path)
-        self.longest = max(map(len, self.pieces.ids), default=1)
         self.seed, self.limit = seed & _MASK, int(rate * (1 << 32))
-        self._forget()
-
-    def _forget(self):
-        self.index, self.made = _Index(), _Index()
-        self.place, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.count, self.begin = np.zeros(0, np.int64), np.zeros(1, np.int64)  # -1: more than are remembered
-        self.lone = 0
-        self.flat = np.zeros(0, self.pieces.kind)
-        self.start = np.zeros(1, np.int64)
-
-    def _candidates(self, unit: str) -> list[tuple[int, int]] | None:
-        """(place, size) of all that may come on the unit's agenda; None if too many."""
-        if not self.limit:
-            return []
-        if len(unit) > LONGEST or BLANK in unit:
-            return None
-        text, score = unit.replace(" ", BLANK), self.pieces.score
-        n = len(text)
-        found = [(i, j - i) for i in range(n - 1) for j in range(i + 2, min(n, i + self.longest) + 1) if text[i:j] in score]
-        return found if len(found) <= CANDIDATES else None
-
-    def _know(self):
-        """Candidates of the units seen for the first time."""
-        fresh, self.index.fresh = self.index.fresh, []
-        each = [self._candidates(u) for u in fresh]
-        flat = np.array([c for cs in each for c in cs or ()], np.uint64).reshape(-1, 2)
-        self.place, self.size = np.concatenate([self.place, flat[:, 0]]), np.concatenate([self.size, flat[:, 1]])
-        self.count = np.concatenate([self.count, np.array([-1 if cs is None else len(cs) for cs in each], np.int64)])
-        self.begin = np.r_[0, np.cumsum(np.maximum(self.count, 0))]
-
-    def _patterns(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Per occurrence of a unit, its number and a bit for each skipped candidate; a negative one of its own if not remembered."""
-        out = at << CANDIDATES
-        if not self.limit:
-            return out
-        count = self.count[at]
-        for lo in range(0, len(at), BLOCK):
-            n = np.maximum(count[lo:lo + BLOCK], 0)
-            end = np.cumsum(n)
-            if not len(end) or not end[-1]:
-                continue
-            bit = np.arange(end[-1]) - np.repeat(end - n, n)
-            which = np.repeat(self.begin[at[lo:lo + BLOCK]], n) + bit
-            hit = np.flatnonzero(_skipped(np.repeat(keys[lo:lo + BLOCK], n), self.place[which], self.size[which], self.limit))
-            np.add.at(out, lo + np.searchsorted(end, hit, "right"), np.int64(1) << bit[hit])
-        alone = np.flatnonzero(count < 0)
-        out[alone] = -1 - self.lone - np.arange(len(alone))
-        self.lone += len(alone)
-        return out
-
-    def _learn(self, fresh: list[str], keys: np.ndarray):
-        self.made.fresh = []
-        each = self.pieces.many_ids(fresh, keys, self.limit)
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in each for i in ids), self.pieces.kind)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-
-    def keys(self, texts: list[str], counts: np.ndarray) -> np.ndarray:
-        """The key of each unit of the texts: of the seed, the whole text and the unit's place in it."""
-        own = np.fromiter((xxhash.xxh3_64_intdigest(t.encode(), seed=self.seed) for t in texts), np.uint64, len(texts))
-        place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return mix(np.repeat(own, counts) + place.astype(np.uint64) * np.uint64(_PLACE))
-
-    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids per text, all ids)."""
-        units, upto = [], [0]
-        for t in texts:
-            if t:
-                units += _UNIT.findall(" " + t)  # the blank every text starts with
-            upto.append(len(units))
-        if len(self.index) > CACHE_UNITS or len(self.made) > CACHE_PATTERNS:
-            self._forget()
-        at = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-        if self.index.fresh:
-            self._know()
-        keys = self.keys(texts, np.diff(upto))
-        known = len(self.made)
-        at = np.fromiter(map(self.made.__getitem__, self._patterns(at, keys).tolist()), np.int64, len(units))
-        if self.made.fresh:
-            new = np.flatnonzero(at >= known)
-            new = new[np.unique(at[new], return_index=True)[1]]
-            self._learn([units[i] for i in new.tolist()], keys[new])
-        first = self.start[at]
-        size = self.start[at + 1] - first
-        end = np.r_[0, np.cumsum(size)]
-        return np.diff(end[upto]), self.flat[np.repeat(first - end[:-1], size) + np.arange(end[-1])]
+        self.forms = Store(limit=FORMS)  # of a unit: its merges, then its ids
+        self.merges = np.zeros(1 << 16, np.int64)  # how many of the former
+        self.out_size = np.array(list(map(len, self.pieces.out)), np.int64)
+        self.out_start = np.cumsum(self.out_size) - self.out_size
+        self.out_bytes = np.frombuffer(b"".join(self.pieces.out), np.uint8)
+
+    def _chars(self, raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, how many per unit) of some units."""
+        some = raw[_ranges(first, end - first)]
+        upto = np.r_[0, np.cumsum((some & 0xC0) != 0x80)][np.r_[0, np.cumsum(end - first)]]
+        return np.frombuffer(some.tobytes().decode().encode("utf-32-le"), np.uint32), np.diff(upto)
+
+    def _learn(self, raw: np.ndarray, h: np.ndarray, first: np.ndarray, end: np.ndarray):
+        """Forms of units without dropout."""
+        if self.forms.count > self.forms.limit:
+            self.forms.forget()
+        chars, sizes = self._chars(raw, first, end)
+        plain = self.pieces.plain(chars, sizes)
+        chars, sizes, h = chars[np.repeat(plain, sizes)], sizes[plain], h[plain]
+        if not len(h):
+            return
+        counts, ids, n, merges = self.pieces.many(chars, sizes, np.zeros(len(h), np.uint64), 0, trace=True)
+        both = np.empty(len(ids) + len(merges), np.uint32)
+        start = np.cumsum(counts + n) - counts - n
+        both[_ranges(start, n)], both[_ranges(start + n, counts)] = merges, ids
+        known = self.forms.count
+        self.forms.add(h, both, counts + n)
+        if self.forms.count > len(self.merges):
+            self.merges = np.concatenate([self.merges, np.zeros(max(len(self.merges), len(h)), np.int64)])
+        self.merges[known:self.forms.count] = n
+
+    def _unit_ids(self, raw: bytes, first: np.ndarray, end: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per unit, all ids) of stretches of bytes that are units."""
+        data = np.frombuffer(raw, np.uint8)
+        h = span_hashes(data, first, end)
+        h[h == 0] = 1
+        at = self.forms.find(h)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new, one, times = np.unique(h[missing], return_index=True, return_counts=True)
+            new, one = new[times > 1], missing[one[times > 1]]
+            known = self.forms.count
+            self._learn(data, new, first[one], end[one])
+            at = self.forms.find(h) if self.forms.count < known else np.where(at < 0, self.forms.find(h), at)
+        free = at >= 0
+        if self.limit:
+            some = np.flatnonzero(free)
+            n = self.merges[at[some]]
+            merge = self.forms.flat[_ranges(self.forms.start[at[some]], n)].astype(np.uint64)
+            hit = _skipped(np.repeat(keys[some], n), merge >> np.uint64(8), merge & np.uint64(255), self.limit)
+            free[some[np.repeat(np.arange(len(some)), n)[hit]]] = False
+        counts = np.zeros(len(h), np.int64)
+        held = at[free]
+        begin = self.forms.start[held] + self.merges[held]
+        counts[free] = self.forms.start[held + 1] - begin
+        ready = self.forms.flat[_ranges(begin, counts[free])]
+        drawn = np.flatnonzero(~free)
+        chars, sizes = self._chars(data, first[drawn], end[drawn])
+        plain = self.pieces.plain(chars, sizes)
+        fast, slow = drawn[plain], drawn[~plain]
+        counts[fast], ids = self.pieces.many(chars[np.repeat(plain, sizes)], sizes[plain], keys[fast], self.limit)
+        odd = [self.pieces.unit_ids(raw[a:b].decode(), k, self.limit)
+               for a, b, k in zip(first[slow].tolist(), end[slow].tolist(), keys[slow].tolist())]
+        counts[slow] = list(map(len, odd))
+        start = np.cumsum(counts) - counts
+        flat = np.empty(counts.sum(), np.uint32)
+        flat[_ranges(start[free], counts[free])] = ready
+        flat[_ranges(start[fast], counts[fast])] = ids
+        flat[_ranges(start[slow], counts[slow])] = [i for ids in odd for i in ids]
+        return counts, flat
+
+    def encode_many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per text, all ids).
+
+        The key of a unit is made of the seed, the whole text and the unit's place in it.
+        """
+        own = np.fromiter((xxhash.xxh3_64_intdigest(t, seed=self.seed) for t in texts), np.uint64, len(texts))
+        counts, units, parts = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
+        for who, held in stretches([b" " + t if t else t for t in texts], _BORDER):  # the blank every text starts with
+            raw, bounds = b"".join(held), np.cumsum([0, *map(len, held)])
+            first, end = unit_spans(np.frombuffer(raw, np.uint8), bounds)
+            upto = np.searchsorted(first, bounds)
+            n = np.diff(upto)
+            place = np.arange(len(first)) - np.repeat(upto[:-1], n) + np.repeat(units[who], n)
+            keys = mix(np.repeat(own[who], n) + place.astype(np.uint64) * np.uint64(_PLACE))
+            size, ids = self._unit_ids(raw, first, end, keys)
+            counts[who] += np.diff(np.r_[0, np.cumsum(size)][upto])  # a text stands once in a stretch
+            units[who] += n
+            parts.append(ids)
+        return counts, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_many([text])[1]
+        return self.encode_many([text.encode()])[1]
+
+    def decode_many(self, counts: np.ndarray, ids: np.ndarray) -> list[bytes]:
+        """The text of each list of ids."""
+        size = self.out_size[ids]
+        raw = self.out_bytes[_ranges(self.out_start[ids], size)].tobytes()
+        cut = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(counts)]].tolist()
+        return [raw[a + 1 if raw[a:a + 1] == b" " and a < b else a:b] for a, b in zip(cut, cut[1:])]
 
     def decode(self, ids) -> str:
-        out = b"".join(map(self.pieces.out.__getitem__, ids))
-        return out[1:].decode() if out.startswith(b" ") else out.decode()
+        return self.decode_many(np.array([len(ids)]), np.asarray(ids, np.int64))[0].decode()
 
 
 _loaded: dict[tuple, Segmenter] = {}
 
 
 def segmenter(path: str, seed: int = 0, rate: float = RATE) -> Segmenter:
-    """The segmenter of this Python worker for these settings; its cache outlives one task."""
+    """The segmenter of this Python worker for these settings; what it remembers outlives one task."""
     key = (path, seed, rate)
     if key not in _loaded:
         _loaded.clear()
@@ -352,27 +376,35 @@ def segmenter(path: str, seed: int = 0, rate: float = RATE) -> Segmenter:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, model: str, seed: int = 0, rate: float = RATE, id_col: str = "doc_id",
-           text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(doc_id, ids) per row, and ``text`` if ``keep_text``.
+def _lists(counts: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids.astype(np.int32)))
 
-    Null and empty texts have no ids; decoding gives the empty text. Very long texts and words are
-    segmented whole. Repeated rows get equal ids; null ids stay null; other columns are ignored; an
-    empty table gives an empty result.
-    """
+
+def _encoded(docs: DataFrame, model: str, seed: int, rate: float, id_col: str, text_col: str, check: bool) -> DataFrame:
     def run(batches):
         tool = segmenter(model, seed, rate)
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):  # handed on in small parts: ids take more room than text
                 part = batch.slice(lo, ROWS)
-                counts, ids = tool.encode_many([t or "" for t in part.column(1).to_pylist()])
-                offsets = np.zeros(part.num_rows + 1, np.int32)
-                np.cumsum(counts, out=offsets[1:])
-                cols = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays(cols + [part.column(1)] * keep_text, ["doc_id", "ids"] + ["text"] * keep_text)
+                texts = [t or b"" for t in arrow_bytes(part.column(1))]
+                counts, ids = tool.encode_many(texts)
+                cols = [part.column(0), _lists(counts, ids)]
+                if check:
+                    cols.append(pa.array([a == b for a, b in zip(texts, tool.decode_many(counts, ids))], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "lossless"][:len(cols)])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, ids array<int>" + ", text string" * keep_text)
+        run, "doc_id long, ids array<int>" + ", lossless boolean" * check)
+
+
+def encode(docs: DataFrame, model: str, seed: int = 0, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids) per row.
+
+    Null and empty texts have no ids; decoding gives the empty text. Very long texts and words are
+    segmented whole. Repeated rows get equal ids; null ids stay null; other columns are ignored; an
+    empty table gives an empty result.
+    """
+    return _encoded(docs, model, seed, rate, id_col, text_col, False)
 
 
 def decode(tokens: DataFrame, model: str) -> DataFrame:
@@ -383,16 +415,13 @@ def decode(tokens: DataFrame, model: str) -> DataFrame:
         tool = segmenter(model, 0, 0.0)
         for batch in batches:
             lists = batch.column(at)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            texts = [tool.decode(flat[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            texts = tool.decode_many(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t.decode() for t in texts], pa.string())], [*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField("decoded", StringType())]))
 
 
 def checked(docs: DataFrame, model: str, seed: int = 0, rate: float = RATE, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, lossless): the ids, and whether decoding them gave the text back."""
-    both = decode(encode(docs, model, seed, rate, id_col, text_col, keep_text=True), model)
-    return both.select("doc_id", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
-
+    """(doc_id, ids, lossless): the ids, and whether decoding them gave the text back; rows as ``encode`` has them."""
+    return _encoded(docs, model, seed, rate, id_col, text_col, True)

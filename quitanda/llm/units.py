@@ -21,17 +21,17 @@ STRETCH = 1 << 20  # bytes looked at together; a text is cut only where units en
 class Store:
     """Hash -> ids of units; forgets everything when it has become too large."""
 
-    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = UNITS):
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None = None, limit: int = UNITS):
         self.learn, self.limit = learn, limit
-        self._forget()
+        self.forget()
 
-    def _forget(self):
+    def forget(self):
         self.count, self.bits = 0, 16
         self.keys, self.value = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.start = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
+    def find(self, h: np.ndarray) -> np.ndarray:
         """Entry number of each hash, or -1."""
         slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         key = self.keys[slot]
@@ -56,7 +56,8 @@ class Store:
             self.value[slot[placed]] = value[placed]
             h, value, slot = h[~placed], value[~placed], slot[~placed] + 1 & (1 << self.bits) - 1
 
-    def _add(self, h: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+    def add(self, h: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+        """New entries, all different."""
         n = self.count + len(h)
         if 2 * n > 1 << self.bits:
             keys, values = self.keys[self.keys != 0], self.value[self.keys != 0]
@@ -77,17 +78,17 @@ class Store:
     def ids(self, raw: bytes, first: np.ndarray, end: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
         """(ids per unit, all ids) of the units ``raw[first:end]``."""
         if self.count > self.limit:
-            self._forget()
+            self.forget()
         h = span_hashes(np.frombuffer(raw, np.uint8), first, end, lower)
         h[h == 0] = 1
-        at = self._find(h)
+        at = self.find(h)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new, one = np.unique(h[missing], return_index=True)
             one = missing[one]
             ids, counts = self.learn([raw[a:b] for a, b in zip(first[one].tolist(), end[one].tolist())])
-            self._add(new, ids, counts)
-            at[missing] = self._find(h[missing])
+            self.add(new, ids, counts)
+            at[missing] = self.find(h[missing])
         begin = self.start[at]
         size = self.start[at + 1] - begin
         upto = np.cumsum(size)
