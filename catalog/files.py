@@ -13,6 +13,7 @@ from quitanda.plans import customers as customer_job, daily, sales as sales_job
 from quitanda.schemas import SALE_COLUMNS
 from quitanda.session import scratch_path
 from quitanda.sources import files, sinks
+from quitanda.sources.arrivals import csv_arrivals
 from quitanda.sources.streams import keyed_messages
 
 NOW = "2024-01-11 00:00:00"
@@ -109,6 +110,17 @@ def raw_sales(spark, sf) -> str:
     return path
 
 
+@query("quoted_notes", """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority || chr(10) || chr(10) || '  status "' || o_orderstatus || '", dia' || chr(10) || strftime(o_orderdate, '%Y-%m-%d') AS nota,
+CAST(o_custkey AS VARCHAR) AS cliente FROM orders""")
+def quoted_notes(spark, sf):
+    """Orders as CSV with a note over four lines, quotes and commas in it, read back by name."""
+    path = scratch_path(spark, "notas")
+    note = F.concat("o_orderpriority", F.lit('\n\n  status "'), "o_orderstatus", F.lit('", dia\n'), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    (table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), note.alias("nota"), F.col("o_custkey").alias("cliente"))
+     .write.option("header", True).option("escape", '"').csv(path))
+    return csv_arrivals(spark, path).rows.select(*[F.col("record")[c].alias(c) for c in ("id", "nota", "cliente")])
+
+
 def processed_lake(spark, sf) -> tuple[str, str]:
     """Both jobs over the raw files; the customers' and the sales' output paths."""
     people, sold = scratch_path(spark, "processed-clientes"), scratch_path(spark, "processed-vendas")

@@ -119,4 +119,4 @@ def test_whole_range_is_that_of_the_orders(spark, tmp_path):
     orders.write.parquet(str(tmp_path / "orders.parquet"))
     run = chain.whole_range(spark, str(tmp_path))
     assert (run.start, run.end, run.now) == (date(1995, 3, 4), date(2001, 12, 31), datetime(2002, 1, 1, 3))
-    assert not any("1998" in ORACLES[f"nightly_{x}_all"] for x in ("marts", "report"))
+    assert not any("1998" in ORACLES[f"nightly_{x}"] for x in ("marts", "report"))
