@@ -8,9 +8,9 @@ from quitanda.functions.text import REGIONS, UNKNOWN_REGION
 from quitanda.plans.nightly import Versions
 from quitanda.session import LakePaths
 
-VERSIONED = {"dw": ("dim_clientes", "dim_produto", "dim_tempo")}
+VERSIONED = {"dw": ("dim_clientes", "dim_produto", "dim_tempo"), "dm": ("dm_top_clientes",)}
 PLAIN = {"staging": ("stg_clientes",), "dw": ("fato_vendas",),
-         "dm": ("dm_vendas_diarias", "dm_vendas_canal", "dm_top_clientes")}
+         "dm": ("dm_vendas_diarias", "dm_vendas_canal")}
 PARTITION = {"fato_vendas": "dia DATE", "dm_vendas_diarias": "dia DATE", "dm_vendas_canal": "ano_mes INT"}
 
 VIEWS = {

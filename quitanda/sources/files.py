@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quitanda import schemas
 from quitanda.operators.keyed import latest_per_key
 from quitanda.operators.rows import in_range, select_existing
+from quitanda.sources.sinks import exists
 
 
 def with_source(df: DataFrame, ingested_at: Column) -> DataFrame:
@@ -18,7 +19,20 @@ def with_source(df: DataFrame, ingested_at: Column) -> DataFrame:
     })
 
 
-def customer_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def landed_folders(spark: SparkSession, path: str, first: date, last: date) -> list[str]:
+    """The ``ano=/mes=/dia=`` folders of the landing days ``first``..``last`` that exist; no other folder is listed."""
+    days = (first + timedelta(days=i) for i in range((last - first).days + 1))
+    folders = [f"{path}/ano={d.year}/mes={d.month:02d}/dia={d.day:02d}" for d in days]
+    return [f for f in folders if exists(spark, f)]
+
+
+def landing_day(source_file: Column) -> Column:
+    """The landing day in a file's path; null where it has none."""
+    day = F.regexp_extract(source_file, "/ano=(\\d{4})/mes=(\\d{2})/dia=(\\d{2})/", 0)
+    return F.when(day != "", F.to_date(F.regexp_replace(day, "[^0-9]", ""), "yyyyMMdd"))
+
+
+def customer_documents(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Customer JSON documents as read, with ``_corrupt_record`` for the malformed ones."""
     return (spark.read.schema(schemas.customer_document())
             .option("multiLine", multi_line)
@@ -27,7 +41,7 @@ def customer_documents(spark: SparkSession, path: str, multi_line: bool = True)
             .json(path))
 
 
-def customers_json(spark: SparkSession, path: str, ingested_at: Column,
+def customers_json(spark: SparkSession, path: str | list[str], ingested_at: Column,
                    multi_line: bool = True) -> DataFrame:
     """One row per customer from a list, ``{clientes: [...]}``, ``{data: [...]}`` or one object."""
     docs = with_source(customer_documents(spark, path, multi_line), ingested_at)

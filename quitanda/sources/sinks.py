@@ -23,9 +23,23 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], *,
            .option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path))
 
 
-def _remove_partitions(spark: SparkSession, path: str, names: set[str]) -> None:
+def _folder(spark: SparkSession, path: str):
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    root, fs = _folder(spark, path)
+    return fs.exists(root)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    root, fs = _folder(spark, path)
+    fs.delete(root, True)
+
+
+def _remove_partitions(spark: SparkSession, path: str, names: set[str]) -> None:
+    root, fs = _folder(spark, path)
     for found in fs.listStatus(root):
         if found.getPath().getName() in names:
             fs.delete(found.getPath(), True)
@@ -48,6 +62,19 @@ def replace_days(df: DataFrame, path: str, day: str, start: date, end: date, par
     return df.sparkSession.read.schema(dated.schema).parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, by: list[str], touched: set[tuple]) -> None:
+    """Write the partitions of ``df`` over those in place; ``touched`` ones that ``df`` has no rows for are removed.
+
+    ``df`` may read the partitions it replaces: files are exchanged when all of them are written.
+    """
+    written = Observation()
+    key = F.struct(*by)
+    write_partitioned(df.observe(written, F.collect_set(key).alias("keys")), path, by)  # at most those touched
+    name = lambda c, v: f"{c}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}"
+    for gone in touched - {tuple(k) for k in written.get["keys"]}:
+        remove_folder(df.sparkSession, "/".join([path, *(name(c, v) for c, v in zip(by, gone))]))
+
+
 def write_customers(df: DataFrame, path: str) -> None:
     """The full set of customers: a customer who moved leaves no row in the old state."""
     write_partitioned(df, path, ["uf"], whole=True)

@@ -6,7 +6,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quitanda.plans import nightly, sql
+from quitanda.plans import marts, nightly, sales, sql
 from quitanda.schemas import SALE_COLUMNS
 from quitanda.session import LakePaths
 
@@ -67,6 +67,78 @@ def test_two_nights(spark, lake):
     assert [r.nome for r in names] == ["P 1"]
 
 
+def landed(root, day, people, sales):
+    where = f"ano={day[:4]}/mes={day[5:7]}/dia={day[8:]}"
+    if people:
+        put(root / "raw" / "clientes" / where, "c.json", json.dumps({"clientes": people}))
+    if sales is not None:
+        put(root / "raw" / "vendas" / where, "v.csv", "\n".join([",".join(SALE_COLUMNS), *sales]) + "\n")
+
+
+def night(day, start, end, only=True):
+    day = date.fromisoformat(day)
+    return nightly.Run(datetime(day.year, day.month, day.day, 3), date.fromisoformat(start), date.fromisoformat(end), (day, day) if only else None)
+
+
+def content(spark, lake):
+    out = {}
+    for name in ("clientes", "vendas"):
+        df = spark.read.parquet(lake.processed(name))
+        # a sale keeps what was known of its customer on the night it was loaded
+        cols = sorted(c for c in df.columns if not c.startswith("_") and (name == "clientes" or c not in ("nome", "email", "uf", "cidade", "segmento_cliente")))
+        out[name] = sorted(map(repr, df.select(cols).collect()))
+    return out
+
+
+def test_a_night_reads_its_night(spark, tmp_path):
+    a, b, c = (f"{n:011d}" for n in (1, 2, 3))
+    nights = {
+        "2024-01-10": ([person(1), person(2)], [sale(1, a, "2024-01-09", "10.00"), sale(2, b, "2023-12-31", "20.00"), sale(9, a, "sem data", "1.00")]),
+        "2024-01-11": ([person(1, uf="RJ", data_cadastro="2024-01-11"), person(3, data_cadastro="2023-01-01")],
+                       [sale(3, a, "2024-01-10", "30.00"), sale(4, c, "2024-02-01", "5.00")]),
+        "2024-01-12": ([person(3, cidade="old", data_cadastro="2020-01-01")], [sale(5, b, "2024-01-12", "7.00")])}
+    one, many = LakePaths(str(tmp_path / "one")), LakePaths(str(tmp_path / "many"))
+    for day, (people, sold) in nights.items():
+        landed(tmp_path / "one", day, people, sold)
+        landed(tmp_path / "many", day, people, sold)
+    nightly.load_lake(spark, one, night("2024-01-12", "2023-12-31", "2024-02-01", only=False))
+    for day in nights:
+        for _ in range(2):  # a repeat changes nothing
+            got = nightly.load_lake(spark, many, night(day, "2023-12-31", "2024-02-01"))
+            assert [g["status"] for g in got] == ["SUCCESS"] * 2
+    assert content(spark, many) == content(spark, one)
+    kept = sales.kept_sales(spark, many.processed("vendas"), {("2024", "02"), (None, None)}, date(2024, 1, 12), date(2024, 1, 12))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [concat_ws" in plan and {r.id_venda for r in kept.collect()} == {"4", "9"}
+    assert nightly.load_lake(spark, many, night("2024-01-20", "2024-01-01", "2024-02-01"))[1]["status"] == "SUCCESS_NO_DATA"
+
+    # a landing day that comes again leaves the months it had touched before
+    landed(tmp_path / "many", "2024-01-11", None, [sale(3, a, "2024-01-10", "31.00")])
+    untouched = {f: f.stat().st_mtime_ns for f in (tmp_path / "many" / "processed" / "vendas" / "ano=2023").rglob("*.parquet")}
+    nightly.load_lake(spark, many, night("2024-01-11", "2024-01-01", "2024-02-01"))
+    left = {r.id_venda: str(r.valor_total) for r in spark.read.parquet(many.processed("vendas")).collect()}
+    assert left == {"1": "10.00", "2": "20.00", "9": "1.00", "3": "31.00", "5": "7.00"}
+    assert not (tmp_path / "many" / "processed" / "vendas" / "ano=2024" / "mes=02").exists()
+    assert untouched and all(f.stat().st_mtime_ns == t for f, t in untouched.items())
+
+
+def test_the_customer_mart_reads_only_the_range_of_the_fact(spark, tmp_path):
+    a, b = f"{1:011d}", f"{2:011d}"
+    lake = LakePaths(str(tmp_path))
+    landed(tmp_path, "2023-12-05", [person(1), person(2)], [sale(1, a, "2023-12-04", "10.00"), sale(2, b, "2023-12-04", "20.00"), sale(3, a, "2023-12-05", "2.00")])
+    landed(tmp_path, "2024-02-02", None, [sale(4, a, "2024-02-01", "30.00"), sale(5, b, "2024-02-01", "1.00", status="CANCELADA")])
+    for run in (night("2023-12-05", "2023-12-04", "2023-12-05"), night("2024-02-02", "2024-02-01", "2024-02-01")):
+        nightly.load_lake(spark, lake, run)
+        star = nightly.load_star(spark, lake, run)
+        if run.start.year == 2024:
+            whole = marts.mart_customers_rfm(star["fato_vendas"], star["dim_clientes"], run.as_of).collect()
+            for f in (tmp_path / "dw" / "fato_vendas").glob("dia=2023-*/*.parquet"):
+                f.write_bytes(b"unreadable")
+        found = nightly.load_marts(spark, lake, star, run)["dm_top_clientes"]
+    got = found.drop("dm_atualizado_em", "dm_batch_id").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, whole)) and {(r.cpf, str(r.receita_total), r.total_pedidos) for r in got} == {(a, "42.00", 3), (b, "20.00", 1)}
+
+
 def test_paged_api(spark, tmp_path):
     from quitanda.sources import api
 
