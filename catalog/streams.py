@@ -10,10 +10,12 @@ from quitanda.functions.events import product_of
 from quitanda.schemas import SALE_MESSAGE
 from quitanda.session import scratch_path
 from quitanda.sources.streams import arriving_files, decode_events, keyed_messages
+from quitanda.sources.versions import DayVersions
 from quitanda.streaming import dead_letters, metrics, writers
 
 _KIND = """CASE event_type WHEN 'purchase' THEN 'PURCHASE_COMPLETED' WHEN 'view' THEN 'PRODUCT_VIEW'
 WHEN 'click' THEN 'BUTTON_CLICK' ELSE 'PAGE_VIEW' END"""
+LATE = "1 day"  # events later than that are not counted
 _PRODUCT = "'P' || regexp_extract(props, '[0-9]+')"
 
 
@@ -37,6 +39,13 @@ def snapshot(spark, metric, label: str):
     return spark.read.parquet(out)
 
 
+def by_day(spark, metric, label: str, keys: list[str], day: str = "inicio"):
+    """Run to the end in update mode, watermarked, and read the table by day."""
+    out = scratch_path(spark, label)
+    writers.write_days(metric, out, scratch_path(spark, f"{label}-ckpt"), keys, day)
+    return DayVersions(spark, out).read().select(*metric.columns)
+
+
 @query("stream_counts", f"SELECT {_KIND} AS event_type, COUNT(*) AS eventos FROM events GROUP BY 1")
 def stream_counts(spark, sf):
     return snapshot(spark, metrics.stream_counts(event_stream(spark, sf)), "contagem")
@@ -48,19 +57,19 @@ def _times(df):
 
 @query("stream_minute", """SELECT date_trunc('minute', ts) AS inicio, date_trunc('minute', ts) + INTERVAL 1 MINUTE AS fim, COUNT(*) AS eventos FROM events GROUP BY 1, 2""")
 def stream_minute(spark, sf):
-    return _times(snapshot(spark, metrics.stream_minute(event_stream(spark, sf)), "minuto"))
+    return _times(by_day(spark, metrics.stream_minute(event_stream(spark, sf, LATE)), "minuto", ["inicio"]))
 
 
 @query("stream_sliding", f"""WITH e AS (SELECT {_KIND} AS event_type, ts, unnest([0, 1, 2, 3]) AS n FROM events),
 w AS (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * n AS inicio FROM e)
 SELECT event_type, inicio, inicio + INTERVAL 1 HOUR AS fim, COUNT(*) AS eventos FROM w GROUP BY 1, 2, 3""")
 def stream_sliding(spark, sf):
-    return _times(snapshot(spark, metrics.stream_sliding(event_stream(spark, sf), "1 hour", "15 minutes"), "deslizante"))
+    return _times(by_day(spark, metrics.stream_sliding(event_stream(spark, sf, LATE), "1 hour", "15 minutes"), "deslizante", ["inicio", "event_type"]))
 
 
 @query("stream_revenue", """SELECT CAST(ts AS DATE) AS dia, CAST(SUM(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(15,2)) ELSE 0 END) AS DECIMAL(18,2)) AS receita FROM events GROUP BY 1""")
 def stream_revenue(spark, sf):
-    return snapshot(spark, metrics.stream_revenue(event_stream(spark, sf)), "receita")
+    return by_day(spark, metrics.stream_revenue(event_stream(spark, sf, LATE)), "receita", ["dia"], "dia")
 
 
 @query("stream_top", f"SELECT {_PRODUCT} AS produto, COUNT(*) AS qtd FROM events GROUP BY 1 ORDER BY qtd DESC, produto LIMIT 5")
@@ -93,7 +102,7 @@ def stream_dedup(spark, sf):
 @query("minute_drops", """WITH m AS (SELECT date_trunc('minute', ts) AS inicio, COUNT(*) AS eventos FROM events GROUP BY 1)
 SELECT a.inicio, a.eventos, b.eventos AS minuto_anterior FROM m a JOIN m b ON b.inicio = a.inicio - INTERVAL 1 MINUTE WHERE a.eventos < b.eventos * 0.8""")
 def minute_drops(spark, sf):
-    minutes = snapshot(spark, metrics.stream_minute(event_stream(spark, sf)), "minuto")
+    minutes = by_day(spark, metrics.stream_minute(event_stream(spark, sf, LATE)), "minuto", ["inicio"])
     return metrics.drop_alert(minutes, 0.8).withColumn("inicio", F.col("inicio").cast("timestamp_ntz"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from quitanda.functions.text import REGIONS, UNKNOWN_REGION
-from quitanda.plans.nightly import Versions
 from quitanda.session import LakePaths
+from quitanda.sources.versions import Versions
 
 VERSIONED = {"dw": ("dim_clientes", "dim_produto", "dim_tempo"), "dm": ("dm_top_clientes",)}
 PLAIN = {"staging": ("stg_clientes",), "dw": ("fato_vendas",),

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quitanda.functions.dates import hour_label
 from quitanda.operators.validation import SPECS, validate_files, with_findings
+from quitanda.sources.versions import DayVersions
 
 
 def finish(writer) -> StreamingQuery:
@@ -54,6 +55,21 @@ def write_snapshot(metric: DataFrame, path: str, checkpoint: str, mode: str = "c
     return finish(metric.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(save))
 
 
+def write_days(metric: DataFrame, path: str, checkpoint: str, keys: list[str], day: str) -> StreamingQuery:
+    """A windowed metric with a watermark as a table by day, ``DayVersions``.
+
+    In update mode a micro-batch gives the windows that changed and the state lets go of those the
+    watermark has passed. Only the days of the changed windows are written anew, as a new version.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        load = batch_folder(batch.sparkSession, batch_id).removeprefix("lote=")
+        DayVersions(batch.sparkSession, path).upsert(batch.withColumn("dia", F.to_date(day)), keys, load)
+        batch.unpersist()
+
+    return finish(metric.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save))
+
+
 def write_append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append-mode rows as Parquet with the file sink's exactly-once log."""
     return finish(rows.writeStream.outputMode("append").format("parquet").option("path", path)
