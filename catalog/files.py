@@ -88,9 +88,8 @@ def customer_partitions(spark, sf):
     return spark.read.parquet(out).groupBy("uf").agg(F.count("*").alias("clientes"))
 
 
-def raw_sales(spark, sf) -> str:
-    """Sales CSV with Brazilian money text, formatted CPFs and a few bad values."""
-    path = scratch_path(spark, "raw-vendas")
+def sale_texts(spark, sf):
+    """Sales as text with Brazilian money, formatted CPFs and a few bad values."""
     k = F.col("id_pedido")
     s = sales(spark, sf, "id_pedido", "sk_cliente", "produto_id", "produto_nome", "categoria_produto", "data_venda", "data_entrega",
               "quantidade", "desconto", "valor_total", "custo", "canal_venda", "status_venda", "forma_pagamento")
@@ -106,7 +105,13 @@ def raw_sales(spark, sf) -> str:
     have = set(s.columns)
     cols = [(values.get(c) if c in values else (F.col(c) if c in have else F.lit(None).cast("string"))).alias(c) for c in SALE_COLUMNS]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s.repartition(tasks).select(*cols).write.option("header", True).csv(path)
+    return s.repartition(tasks).select(*cols)
+
+
+def raw_sales(spark, sf) -> str:
+    """The sales as CSV files."""
+    path = scratch_path(spark, "raw-vendas")
+    sale_texts(spark, sf).write.option("header", True).csv(path)
     return path
 
 
@@ -145,6 +150,23 @@ def sales_job_output(spark, sf):
         F.sum("margem_pct").cast("decimal(18,4)").alias("margem"), F.count("nome").alias("com_cliente"))
 
 
+@query("sales_by_night", f"""WITH {_SOLD} SELECT year(data_venda)::VARCHAR AS ano, strftime(data_venda, '%m') AS mes, COUNT(*) AS vendas, {total_sql('valor_total')} AS receita,
+{total_sql('desconto')} AS desconto, COUNT(*) FILTER (sk_cliente <> 0) AS com_cliente FROM limpo GROUP BY 1, 2""")
+def sales_by_night(spark, sf):
+    """The sales in folders of two landing days, loaded night by night, the first of them twice."""
+    people, sold, raw = (scratch_path(spark, f"noites-{x}") for x in ("clientes", "vendas", "raw"))
+    customer_job.run(spark, raw_customers(spark, sf), people, _now(), multi_line=False)
+    day = F.lpad((F.col("id_pedido").cast("bigint") % 2 + 10).cast("string"), 2, "0")
+    (sale_texts(spark, sf).withColumns({"ano": F.lit("2024"), "mes": F.lit("01"), "dia": day})
+     .write.option("header", True).partitionBy("ano", "mes", "dia").csv(raw))
+    for n in (10, 11, 10):
+        night = date(2024, 1, n)
+        sales_job.run_landed(spark, raw, people, sold, _now(), night, night)
+    return spark.read.parquet(sold).groupBy("ano", "mes").agg(
+        F.count("*").alias("vendas"), F.sum("valor_total").cast("decimal(18,2)").alias("receita"),
+        F.sum("desconto").cast("decimal(18,2)").alias("desconto"), F.count("nome").alias("com_cliente"))
+
+
 @query("month_partition", f"""WITH {_SOLD} SELECT CAST(data_venda AS DATE) AS data, COUNT(*) AS vendas FROM limpo
 WHERE data_venda >= DATE '1998-03-01' AND data_venda < DATE '1998-04-01' GROUP BY 1""")
 def month_partition(spark, sf):
@@ -166,6 +188,54 @@ def daily_job(spark, sf):
     return spark.read.schema(ddl).json(f"{out}/vendas_por_dia_uf").where("data_ref = '1998-03-10'").drop("data_ref")
 
 
+_MONTH = f"""WITH {_SOLD}, m AS (SELECT *, lpad(CAST(sk_cliente AS VARCHAR), 11, '0') AS cpf FROM limpo WHERE data_venda >= DATE '1998-03-01' AND data_venda < DATE '1998-04-01')"""
+
+
+def _daily_output(spark, sf, name: str, ddl: str):
+    _, sold = processed_lake(spark, sf)
+    out = scratch_path(spark, "agregacoes")
+    daily.run(spark, sold, out, date(1998, 3, 10))
+    return spark.read.schema(ddl + ", data_ref string").json(f"{out}/{name}").where("data_ref = '1998-03-10'").drop("data_ref")
+
+
+@query("daily_job_customers", f"""{_MONTH}, t AS (SELECT cpf, COUNT(*) AS qtd_pedidos, {total_sql('valor_total')} AS total_gasto, {mean_sql('SUM(valor_total)', 'COUNT(*)')} AS ticket_medio FROM m GROUP BY 1)
+SELECT cpf AS cpf_cliente, qtd_pedidos, total_gasto, ticket_medio, CAST(row_number() OVER (ORDER BY total_gasto DESC, cpf) AS INTEGER) AS ranking
+FROM t ORDER BY total_gasto DESC, cpf LIMIT 100""")
+def daily_job_customers(spark, sf):
+    """The daily job's biggest spenders of one month, read back."""
+    rows = _daily_output(spark, sf, "top_clientes", "cpf_cliente string, qtd_pedidos bigint, total_gasto decimal(18,2), ticket_medio decimal(15,2), ranking int")
+    return rows.withColumn("cpf_cliente", F.translate("cpf_cliente", ".-", ""))
+
+
+@query("daily_job_categories", f"""{_MONTH} SELECT strftime(data_venda, '%Y-%m') AS mes, categoria_valor, COUNT(*) AS qtd_vendas, {total_sql('valor_total')} AS total_vendas FROM m GROUP BY 1, 2""")
+def daily_job_categories(spark, sf):
+    """The daily job's value bands of one month, read back; product categories added up."""
+    rows = _daily_output(spark, sf, "vendas_por_categoria", "mes string, categoria_valor string, qtd_vendas bigint, total_vendas decimal(18,2)")
+    return rows.groupBy("mes", "categoria_valor").agg(F.sum("qtd_vendas").alias("qtd_vendas"), F.sum("total_vendas").cast("decimal(18,2)").alias("total_vendas"))
+
+
+@query("expire_months", """SELECT strftime(o_orderdate, '%Y') AS ano, strftime(o_orderdate, '%m') AS mes, COUNT(*) AS pedidos, MIN(o_orderkey) AS primeiro FROM orders
+WHERE o_orderdate >= DATE '1998-03-15' GROUP BY 1, 2""")
+def expire_months(spark, sf):
+    """Orders by month, expired twice up to a day inside a month."""
+    path = scratch_path(spark, "expirar")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    sinks.write_partitioned(sinks.with_year_month(o, "o_orderdate"), path, ["ano", "mes"])
+    for _ in range(2):
+        sinks.expire_months(spark, path, "o_orderdate", date(1998, 3, 15))
+    return spark.read.parquet(path).groupBy("ano", "mes").agg(F.count("*").alias("pedidos"), F.min("o_orderkey").alias("primeiro"))
+
+
+@query("landed_events", """SELECT event_type, COUNT(*) AS eventos, MIN(event_id) AS primeiro FROM events GROUP BY 1""")
+def landed_events(spark, sf):
+    """Events as JSON lines in nested folders, read back in one batch."""
+    path = scratch_path(spark, "eventos-jsonl")
+    e = table(spark, sf, "events")
+    (e.select(F.col("event_id").cast("string").alias("_id"), "event_type", F.date_format("ts", "yyyyMMdd").alias("pasta"))
+     .hint("rebalance", "pasta").write.partitionBy("pasta").json(path))
+    return files.events_jsonl(spark, path).groupBy("event_type").agg(F.count("*").alias("eventos"), F.min(F.col("_id").cast("bigint")).alias("primeiro"))
+
+
 @query("land_raw", """SELECT event_id, user_id, event_type, value, props, strftime(ts, '%Y') AS ano, strftime(ts, '%m') AS mes, strftime(ts, '%d') AS dia FROM events""")
 def land_raw(spark, sf):
     """Events as gzip JSON lines under their date, read back."""

@@ -75,6 +75,31 @@ def replace_partitions(df: DataFrame, path: str, by: list[str], touched: set[tup
         remove_folder(df.sparkSession, "/".join([path, *(name(c, v) for c, v in zip(by, gone))]))
 
 
+def expire_months(spark: SparkSession, path: str, ts: str, cut: date) -> list[str]:
+    """Remove the rows before ``cut`` from a dataset by ``ano=/mes=``; gives the folders removed.
+
+    Months wholly before it go as folders, unread; of the month it lies in, the rows left are written
+    anew if any is older. Other months, and rows without a month, are not touched.
+    """
+    root, fs = _folder(spark, path)
+    removed = []
+    for year in fs.listStatus(root):
+        if year.getPath().getName()[:4] != "ano=":
+            continue
+        for month in fs.listStatus(year.getPath()):
+            at = (year.getPath().getName()[4:], month.getPath().getName()[4:])
+            if all(v.isdigit() for v in at) and tuple(map(int, at)) < (cut.year, cut.month):
+                fs.delete(month.getPath(), True)
+                removed.append(f"ano={at[0]}/mes={at[1]}")
+    at = (str(cut.year), f"{cut.month:02d}")
+    if exists(spark, f"{path}/ano={at[0]}/mes={at[1]}"):
+        month = spark.read.parquet(path).where((F.col("ano") == at[0]) & (F.col("mes") == at[1]))
+        limit = F.lit(cut).cast(dict(month.dtypes)[ts])
+        if not month.where(F.col(ts) < limit).isEmpty():
+            replace_partitions(month.where(F.col(ts).isNull() | (F.col(ts) >= limit)), path, ["ano", "mes"], {at})
+    return sorted(removed)
+
+
 def write_customers(df: DataFrame, path: str) -> None:
     """The full set of customers: a customer who moved leaves no row in the old state."""
     write_partitioned(df, path, ["uf"], whole=True)

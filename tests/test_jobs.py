@@ -165,3 +165,16 @@ def test_arrived_files_keep_their_path(spark, tmp_path):
     assert dict(discovery.columns_of(spark, str(folder), "csv", header=True, inferSchema=True))["valor_total"] == "double"
     (tmp_path / "j.json").write_text('[{"a": 1, "b": "x"}]')
     assert discovery.columns_of(spark, str(tmp_path / "j.json"), "json", multiLine=True) == [("a", "bigint"), ("b", "string")]
+
+
+def test_months_past_the_limit_go_as_folders(spark, rows, tmp_path):
+    days = [date(2023, 12, 31), date(2024, 1, 5), date(2024, 2, 9), date(2024, 2, 10), date(2024, 3, 1), None]
+    out = str(tmp_path / "meses")
+    sinks.write_partitioned(sinks.with_year_month(rows([(i, d) for i, d in enumerate(days)], "n int, d date"), "d"), out, ["ano", "mes"])
+    written = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "meses").rglob("*.parquet")}
+    before = written()
+    assert sinks.expire_months(spark, out, "d", date(2024, 2, 10)) == ["ano=2023/mes=12", "ano=2024/mes=01"]
+    assert sorted(r.n for r in spark.read.parquet(out).collect()) == [3, 4, 5]
+    after = written()
+    assert sum(f in before and before[f] == t for f, t in after.items()) == 2  # March and the undated row
+    assert sinks.expire_months(spark, out, "d", date(2024, 2, 10)) == [] and written() == after
