@@ -201,8 +201,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     .alias("component_id")))
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, fragments: int) -> tuple[DataFrame, DataFrame]:
-    """``describe``'s rows, and (node, rep, comp) with the smallest id and the component of every class."""
+def _prepared(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, fragments: int):
+    """(``describe``'s rows, classes, prefixes, segments): what the search for pairs starts from."""
     seen = materialize(describe(docs, id_col, text_col, k, percent), "ngram-sets")
     classes = materialize(seen.filter("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.coalesce(F.min_by("sum", "doc_id"), F.min("sum")).alias("rep_sum"),
@@ -254,9 +254,16 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, f
     segments = active.select("node", "n", F.posexplode(
         F.array(*(segment(a, b) for a, b in zip(bounds, bounds[1:])))).alias("frag", "seg")).filter(F.size("seg") > 0)
 
-    hub = prefix.groupBy("gram").agg(
+    return seen, classes, prefix, segments
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, fragments: int) -> tuple[DataFrame, DataFrame]:
+    """``describe``'s rows, and (node, rep, comp) with the smallest id and the component of every class."""
+    seen, classes, prefix, segments = _prepared(docs, id_col, text_col, k, percent, fragments)
+    # Written, so that the joins with it stand alone in their stages and a hot n-gram can be split.
+    hub = materialize(prefix.groupBy("gram").agg(
         F.max(F.struct("central", "node", "n", "usable", "pos")).alias("h"), F.count("*").alias("c")).filter("c > 1").select(
-        "gram", "h.*").alias("h")
+        "gram", "h.*"), "ngram-hubs").alias("h")
     tried = materialize(
         prefix.alias("p").join(hub, F.col("p.gram") == F.col("h.gram"))
         .filter((F.col("p.node") != F.col("h.node")) & _possible("p", "h", percent))
@@ -266,9 +273,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, f
 
     placed = prefix.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = materialize(placed, "ngram-placed")
-    main = (placed.groupBy("gram", "comp").agg(F.count("*").alias("c"))
-            .groupBy("gram").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"))
-            .filter("comps > 1").select("gram", F.col("m.comp").alias("main")))
+    main = materialize(placed.groupBy("gram", "comp").agg(F.count("*").alias("c"))
+                       .groupBy("gram").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"))
+                       .filter("comps > 1").select("gram", F.col("m.comp").alias("main")), "ngram-main")
     few = placed.join(main, "gram").filter("comp <> main").alias("x")
     rest = (few.join(placed.alias("y"), F.col("x.gram") == F.col("y.gram"))
             .filter((F.col("x.comp") != F.col("y.comp"))
@@ -282,6 +289,28 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, f
     return seen, classes.join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
 
 
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
+          fragments: int = 8, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): all links between different n-gram sets, and who belongs to each set.
+
+    ``members`` has (doc_id, node, n), a row per row of ``docs`` with words; equal sets are one ``node``.
+    ``pairs`` has (a, b), two nodes that link, a < b, each pair once; copies are not expanded. Texts and
+    edge cases are those of ``ngram_jaccard``. A group of near copies that all link has as many pairs as
+    that; for a common n-gram they are searched in blocks of about ``block`` by all, spread over tasks.
+    """
+    seen, _, prefix, segments = _prepared(docs, id_col, text_col, k, percent, fragments)
+    often = materialize(prefix.groupBy("gram").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("c"))
+                        .filter("c > 1").drop("c"), "ngram-often")
+    placed = prefix.join(often, "gram")
+    left = placed.withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int")).alias("x")
+    right = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    tried = (left.join(right, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") == F.col("y.part")))
+             .filter((F.col("x.node") < F.col("y.node")) & _possible("x", "y", percent))
+             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    pairs = materialize(_overlap(materialize(tried, "ngram-pairs"), segments, percent), "ngram-links")
+    return pairs, seen.filter("n > 0").select("doc_id", "node", "n")
+
+
 def _pivots(df_cuts: list[int], fragments: int) -> list[tuple[int, int]]:
     """(frequency, hash) cuts from frequency quantiles; equal quantiles share their hash range."""
     cuts = []
@@ -304,8 +333,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     worded = seen.filter("n > 0").select("doc_id", "sum", "node")
     rows = materialize(worded.join(placed.select("node", "comp"), "node").select("doc_id", "sum", "comp"), "ngram-rows")
     first = rows.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "sum")).alias("f"))
-    stays = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("sum") == F.col("f.sum"))
-    gone = (rows.join(first, "comp").filter(~stays)
+    stays = first.select(F.col("f.doc_id").alias("_id"), F.col("f.sum").alias("_sum"))
+    # Found by id and text, not by component: a component may hold much of the table, an id may not.
+    gone = (rows.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sum") == F.col("_sum")), "left_anti")
             .select(F.col("doc_id").alias("_gone_id"), F.col("sum").alias("_gone_sum")).distinct())
 
     same = (F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id"))

@@ -77,6 +77,25 @@ def test_components_equal_brute_force(spark, rows, seed):
     assert tidy(map(tuple, got.collect())) == tidy(brute_components(data))
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_links_between_sets_equal_brute_force(spark, rows, block):
+    data = corpus(7, 120) + [(500, None), (501, ""), (None, "one two"), (502, "one two")]
+    pairs, members = ngram_join.links(rows([(*d, 1) for d in data], "doc_id long, text string, node long"), block=block)
+    texts, sets = dict(data), defaultdict(set)
+    for r in members.collect():
+        sets[r["node"]].add(grams(texts[r["doc_id"]]))
+        assert r["n"] == len(grams(texts[r["doc_id"]]))
+    assert all(len(s) == 1 for s in sets.values()) and len(sets) == len({grams(t) for _, t in data} - {frozenset()})
+    of = {n: next(iter(s)) for n, s in sets.items()}
+    want = set()
+    for (a, x), (b, y) in combinations(sorted(of.items()), 2):
+        both = len(x & y)
+        if 100 * both >= 80 * (len(x) + len(y) - both):
+            want.add((a, b))
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
 def test_edge_rows(spark, rows):
     long = " ".join(f"x{i}" for i in range(30_000))
     data = [(5, None), (6, ""), (7, " \n\t"), (8, "One two"), (3, "one TWO"), (9, long), (2, long + " end"),
