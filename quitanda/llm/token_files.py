@@ -30,7 +30,7 @@ from quitanda.operators.ranking import running_sum
 from quitanda.session import materialize
 
 MAGIC = b"FRQ1"
-FILE_TOKENS = 4_000_000
+FILE_TOKENS = 2_000_000
 FILES = 1_000_000  # whose running totals are broadcast
 END_ID = 2
 
@@ -218,7 +218,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
                 keys.append(key)
                 texts.append(text)
                 chars += len(text)
-                if chars > 4_000_000:
+                if chars > 1_000_000:
                     put(keys, texts)
                     keys, texts, chars = [], [], 0
             if keys:
