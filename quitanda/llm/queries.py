@@ -59,7 +59,7 @@ def pigeonhole_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.token_files(
-        table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), str(public_tokenizers.path("word_bpe_49k.json"))))
+        table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), str(public_tokenizers.path("word_bpe_49k.json")), packed=True))
 
 
 def weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,6 @@ import os
 import re
 import struct
 import uuid
-import zlib
 from unicodedata import is_normalized
 
 import numpy as np
@@ -31,6 +30,7 @@ from quitanda.session import materialize
 
 MAGIC = b"FRQ1"
 FILE_TOKENS = 2_000_000
+ROWS = 300  # encoded together
 FILES = 1_000_000  # whose running totals are broadcast
 END_ID = 2
 
@@ -213,16 +213,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
                 flush()
 
         for batch in batches:
-            keys, texts, chars = [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), arrow_bytes(batch.column(1))):
-                keys.append(key)
-                texts.append(text)
-                chars += len(text)
-                if chars > 1_000_000:
-                    put(keys, texts)
-                    keys, texts, chars = [], [], 0
-            if keys:
-                put(keys, texts)
+            for lo in range(0, batch.num_rows, ROWS):  # a batch is worked off in small parts
+                part_of = batch.slice(lo, ROWS)
+                put(part_of.column(0).to_pylist(), arrow_bytes(part_of.column(1)))
         if names:
             flush()
         cols = list(zip(*out)) or [()] * 5
@@ -232,9 +225,10 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
     return ordered.mapInArrow(run, "file string, part long, seq long, documents long, tokens long")
 
 
-def read_files(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
+def read_files(spark: SparkSession, folder: str, written: DataFrame, packed: bool = False) -> DataFrame:
     """(doc_id, start, ids) per document, from the files and the list of what was written.
 
+    With ``packed`` the ids are bytes, unsigned 32-bit integers, little-endian.
     ``start`` counts the ids before the document, by a running total over one row per file.
     """
     totals = running_sum(written.select("file", "part", "seq", "tokens"), [F.col("part"), F.col("seq")], "tokens", "upto", "total", "position")
@@ -250,35 +244,26 @@ def read_files(spark: SparkSession, folder: str, written: DataFrame) -> DataFram
                 for lo in range(0, len(names), 1000):
                     hi = min(lo + 1000, len(names))
                     first = int(ends[lo] - counts[lo])
-                    offsets = np.r_[first, ends[lo:hi]] - first
+                    offsets, some = (np.r_[first, ends[lo:hi]] - first).astype(np.int32), np.ascontiguousarray(ids[first:ends[hi - 1]], "<u4")
+                    if packed:
+                        held = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets * 4), pa.py_buffer(some)])
+                    else:
+                        held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(some.astype(np.int32)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[lo:hi], pa.int64()), pa.array(base + ends[lo:hi] - counts[lo:hi], pa.int64()),
-                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[first:ends[hi - 1]], pa.int64()).cast(pa.int32()))],
+                        [pa.array(names[lo:hi], pa.int64()), pa.array(base + ends[lo:hi] - counts[lo:hi], pa.int64()), held],
                         ["doc_id", "start", "ids"])
 
     return blobs.join(bases, "file").select("base", "content").mapInArrow(
-        run, "doc_id long, start long, ids array<int>")
-
-
-def crc_of(ids: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
+        run, "doc_id long, start long, ids " + ("binary" if packed else "array<int>"))
 
 
 def digest(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of ``read_files`` rows."""
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """(doc_id, start, n_tokens, ids_crc32) of packed ``read_files`` rows."""
+    return tokens.select("doc_id", "start", F.floor(F.length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-def token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
+                packed: bool = False) -> DataFrame:
     """Write ``docs`` as token files under ``folder`` and read them back: (doc_id, start, ids).
 
     Documents follow in ascending id, nulls last, rows with one id by the hash of their text. Null
@@ -288,5 +273,5 @@ def token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
     spark = docs.sparkSession
     written = materialize(write_files(docs, folder, tokenizer, id_col, text_col), "token-files")
     if written.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, ids array<int>")
-    return read_files(spark, folder, written)
+        return spark.createDataFrame([], "doc_id long, start long, ids " + ("binary" if packed else "array<int>"))
+    return read_files(spark, folder, written, packed)
