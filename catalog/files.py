@@ -62,6 +62,26 @@ def first_list_documents(spark, sf):
     return rows.groupBy("segmento_cliente").agg(F.count("*").alias("clientes"))
 
 
+@query("large_documents", """SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'clientes' ELSE 'data' END AS chave, c_mktsegment AS segmento_cliente,
+  COUNT(*) AS clientes, CAST(SUM(CAST(c_acctbal AS DECIMAL(15,2))) AS DECIMAL(25,2)) AS limite FROM customer GROUP BY 1, 2""")
+def large_documents(spark, sf):
+    """One document per nation, its customers one by one from the blocks of the file, whatever its size."""
+    path, doc = scratch_path(spark, "documentos"), F.col("c_nationkey")
+    key = F.when(doc % 2 == 0, "clientes").otherwise("data")
+    tables = table(spark, sf, "customer")
+    one = F.struct(cpf_text(F.col("c_custkey")).alias("cpf"), F.concat(F.lit('"{'), "c_name").alias("nome"), key.alias("cidade"),
+                   F.col("c_mktsegment").alias("segmento_cliente"), F.col("c_acctbal").cast("string").alias("limite_credito"))
+    members = tables.select(doc.alias("doc"), F.col("c_custkey").alias("place"), F.concat(F.to_json(one), F.lit(",")).alias("value"))
+    nations = tables.select(doc.alias("doc"), key.alias("key")).distinct()
+    ends = nations.select("doc", F.explode(F.array(
+        F.struct(F.lit(-1).cast("long").alias("place"), F.concat(F.lit('{"total": {"n": [1]}, "'), "key", F.lit('": [')).alias("value")),
+        F.struct(F.lit(2**63 - 1).alias("place"), F.lit('null], "fim": {}}').alias("value")))).alias("e")).select("doc", "e.*")
+    (members.unionByName(ends).repartition("doc").sortWithinPartitions("doc", "place").select("doc", "value")
+     .write.partitionBy("doc").text(path))
+    return files.customers_json(spark, path, _now(), large=0).groupBy(F.col("cidade").alias("chave"), "segmento_cliente").agg(
+        F.count("*").alias("clientes"), F.sum(F.col("limite_credito").cast("decimal(15,2)")).cast("decimal(25,2)").alias("limite"))
+
+
 _DAY = "CAST('2024-01-0' || (c_custkey % 9 + 1) AS TIMESTAMP)"
 _CLEAN = f"""SELECT c_custkey AS id, lpad(CAST(c_custkey AS VARCHAR), 11, '0') AS cpf, upper(c_name[1]) || lower(c_name[2:]) AS nome,
   'c' || c_custkey || '@exemplo.com' AS email,

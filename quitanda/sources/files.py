@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quitanda import schemas
 from quitanda.operators.keyed import latest_per_key
 from quitanda.operators.rows import in_range, select_existing
+from quitanda.sources.documents import list_records
 from quitanda.sources.sinks import exists
 
+LARGE_DOCUMENT = 16 << 20  # bytes; a larger document is read block by block, by many tasks
+
 
 def with_source(df: DataFrame, ingested_at: Column) -> DataFrame:
     return df.withColumns({
@@ -41,28 +44,57 @@ def customer_documents(spark: SparkSession, path: str | list[str], multi_line: b
             .json(path))
 
 
+def _large(spark: SparkSession, path: str | list[str], bytes_: int) -> bool:
+    """Whether any document is larger; from the listing, contents are not read."""
+    return not list_objects(spark, path).where(F.col("bytes") > bytes_).isEmpty()
+
+
 def customers_json(spark: SparkSession, path: str | list[str], ingested_at: Column,
-                   multi_line: bool = True) -> DataFrame:
-    """One row per customer from a list, ``{clientes: [...]}``, ``{data: [...]}`` or one object."""
+                   multi_line: bool = True, large: int = LARGE_DOCUMENT) -> DataFrame:
+    """One row per customer from a list, ``{clientes: [...]}``, ``{data: [...]}`` or one object.
+
+    With ``multi_line`` a file is one document. Documents of over ``large`` bytes must hold a list, of
+    which malformed members are left out one by one.
+    """
     docs = with_source(customer_documents(spark, path, multi_line), ingested_at)
     names = schemas.struct(schemas.CUSTOMER).names
     flat = F.struct(*names)
     rows = F.coalesce(F.col("clientes"), F.col("data"), F.array(flat))
-    return (docs.where(F.col("_corrupt_record").isNull())
-            .select(F.explode(rows).alias("c"), "_source_file", "_ingestion_timestamp")
-            .select("c.*", "_source_file", "_ingestion_timestamp"))
 
+    def customers(docs: DataFrame) -> DataFrame:
+        return (docs.where(F.col("_corrupt_record").isNull())
+                .select(F.explode(rows).alias("c"), "_source_file", "_ingestion_timestamp")
+                .select("c.*", "_source_file", "_ingestion_timestamp"))
 
-def first_list_json(spark: SparkSession, path: str, ddl: str, multi_line: bool = True) -> DataFrame:
+    if not multi_line or not _large(spark, path, large):
+        return customers(docs)
+    kind = schemas.struct(schemas.CUSTOMER).add("_corrupt_record", "string")
+    one = F.from_json("value", kind, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    found = (list_records(spark, path, ("clientes", "data"), large).where("NOT unreadable")
+             .select(one.alias("c"), "_source_file").where(F.col("c._corrupt_record").isNull())
+             .select(*[f"c.{n}" for n in names], "_source_file", ingested_at.alias("_ingestion_timestamp")))
+    return customers(docs.where(F.col("_metadata.file_size") <= large)).unionByName(found)
+
+
+def first_list_json(spark: SparkSession, path: str, ddl: str, multi_line: bool = True,
+                    large: int = LARGE_DOCUMENT) -> DataFrame:
     """Records of the first list found in each JSON document, whatever its key; a bare list too.
 
-    Documents without a list and malformed ones give no row.
+    Documents without a list and malformed ones give no row. Documents of over ``large`` bytes are
+    read block by block.
     """
     doc = F.trim("value")
     fields = F.map_values(F.from_json(doc, "map<string,string>"))
     found = F.when(doc.startswith("["), doc).otherwise(F.get(F.filter(fields, lambda v: v.startswith("[")), 0))
     lines = spark.read.text(path, wholetext=multi_line, recursiveFileLookup=True)
-    return lines.select(F.explode(F.from_json(found, f"array<struct<{ddl}>>")).alias("c")).select("c.*")
+
+    def members(lines: DataFrame) -> DataFrame:
+        return lines.select(F.explode(F.from_json(found, f"array<struct<{ddl}>>")).alias("c")).select("c.*")
+
+    if not multi_line or not _large(spark, path, large):
+        return members(lines)
+    read = list_records(spark, path, over=large).where("NOT unreadable").select(F.from_json("value", f"struct<{ddl}>").alias("c"))
+    return members(lines.where(F.col("_metadata.file_size") <= large)).unionByName(read.select("c.*"))
 
 
 def processed_customers(spark: SparkSession, path: str, unique: bool = True) -> DataFrame:
