@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quitanda.session import materialize
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -90,10 +92,11 @@ def reputation(outcomes: DataFrame, z: float = 2.0) -> DataFrame:
 
     The prior of a host is the posterior of its domain without that host's own pages, and so upwards:
     no outcome counts twice. A prior is never stronger than the outcomes and the prior behind it. The
-    three strengths and the overall counts are single numbers; no outcomes give no rows.
+    three strengths and the overall counts are single numbers; no outcomes give no rows. Outcomes are
+    counted per host once and written; all that follows reads these counts.
     """
-    hosts = (outcomes.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-             .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    counted = outcomes.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
+    hosts = (materialize(counted, "host-outcomes").withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     n, bad = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
