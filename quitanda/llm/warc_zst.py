@@ -18,10 +18,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quitanda.llm.common import filesystem
+from quitanda.llm.common import filesystem, spread
+from quitanda.session import materialize
 
 # Fixed values of the formats: magic numbers of a skippable frame with a dictionary and of a dictionary.
 SKIPPABLE = 0x184D2A5D
@@ -138,8 +139,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 def write_archives(records: DataFrame, folder: str, when: str = "2024-01-01T00:00:00Z", prefix: str = "pages") -> DataFrame:
     """Write the planned records into ``folder`` and return (file, records, bytes).
 
-    A file is written under a hidden name and then renamed; its name depends on the partition only,
-    so a task that runs again replaces what its lost attempt left.
+    A file is written under a hidden name and then renamed. Its name depends on the partition only and
+    the records of a partition are in a fixed order, so a task that runs again cuts the same files and
+    replaces what its lost attempt left.
     """
     def run(batches):
         fs, root = filesystem(folder)
@@ -170,21 +172,25 @@ def write_archives(records: DataFrame, folder: str, when: str = "2024-01-01T00:0
             [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
             ["file", "records", "bytes"])
 
-    return records.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "file string, records long, bytes long")
+    return records.select("page_id", "url", "payload", "refers_to").sortWithinPartitions("page_id", "url", "payload").mapInArrow(run, "file string, records long, bytes long")
 
 
-def read_archives(spark: SparkSession, files: list[str] | str) -> DataFrame:
-    """One row per record: page_id, url, payload (null for revisits), payload_bytes, payload_digest,
-    record_type, refers_to. Every file is decoded by one task, record by record."""
+def read_archives(files: DataFrame, folder: str) -> DataFrame:
+    """One row per record of ``files(file)`` in ``folder``: page_id, url, payload (null for revisits),
+    payload_bytes, payload_digest, record_type, refers_to. Every file is opened and decoded by one task,
+    record by record; other files in the folder are not looked at."""
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()),
                       ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                       ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches):
+        fs, root = filesystem(folder)
         for batch in batches:
-            for data in batch.column(0):
+            for name in batch.column(0).to_pylist():
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as source:
+                    data = source.read()
                 rows, size = [], 0
-                for record in decode_file(data.as_py()):
+                for record in decode_file(data):
                     rows.append(parse_record(record))
                     size += len(record)
                     if size > 4 << 20:
@@ -192,9 +198,9 @@ def read_archives(spark: SparkSession, files: list[str] | str) -> DataFrame:
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return (spark.read.format("binaryFile").load(files).select("content").mapInArrow(
+    return spread(files.select("file")).mapInArrow(
         run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, "
-             "refers_to long"))
+             "refers_to long")
 
 
 def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -207,10 +213,5 @@ def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     all responses, for a record cannot refer to itself. Very long payloads are one record. Other
     columns are ignored. An empty table writes no file and gives no rows.
     """
-    spark = pages.sparkSession
-    done = write_archives(plan_records(pages, id_col, url_col, html_col, min_bytes), folder)
-    made = done.agg(F.count("*")).first()[0]
-    if not made:
-        return spark.createDataFrame([], "page_id long, url string, payload binary, payload_bytes long, "
-                                         "payload_digest string, record_type string, refers_to long")
-    return read_archives(spark, f"{folder}/*.warc.zst")
+    written = materialize(write_archives(plan_records(pages, id_col, url_col, html_col, min_bytes), folder), "warc-files")
+    return read_archives(written, folder)

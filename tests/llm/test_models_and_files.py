@@ -233,6 +233,30 @@ def test_archive_round_trip(spark, rows):
     assert warc_zst.archive(rows([], "page_id long, url string, html string"), scratch_path(spark, "warc")).collect() == []
 
 
+def test_archives_are_cut_alike_again_and_stray_files_are_not_read(spark, rows, tmp_path):
+    pages = rows([(i, f"http://h/{i}", f"page {i % 90}") for i in range(200)], "page_id long, url string, html string")
+    planned, cut = warc_zst.plan_records(pages), []
+    for name, order in (("a", "url"), ("b", "refers_to")):
+        written = warc_zst.write_archives(planned.coalesce(1).sortWithinPartitions(order), str(tmp_path / name))
+        assert written.count() == 1
+        cut.append({f.name: f.read_bytes() for f in (tmp_path / name).glob("*.zst")})
+    assert cut[0] and cut[0] == cut[1]
+    again = scratch_path(spark, "warc")
+    first = {(r.page_id, r.refers_to) for r in warc_zst.archive(pages, again).collect()}
+    fs, root = warc_zst.filesystem(again)
+    with fs.open_output_stream(f"{root}/pages-999999-00000.warc.zst", compression=None) as stray:
+        stray.write(warc_zst.encode_file([warc_zst.build_record(5, "u", b"lost attempt", None, "t")]))
+    read = warc_zst.archive(pages, again).collect()
+    assert len(read) == 200 and {(r.page_id, r.refers_to) for r in read} == first
+
+
+def test_outcomes_are_counted_once(spark, rows):
+    outcomes = rows([(f"h{i % 7}.d{i % 3}.com", i % 2) for i in range(60)], "host string, bad int")
+    seen = url_reputation.reputation(outcomes)
+    assert seen.count() == 21 and any("host-outcomes" in f for f in seen.inputFiles())
+    assert "LocalTableScan" not in seen._jdf.queryExecution().executedPlan().toString()
+
+
 def test_archive_frames_stand_alone():
     records = [warc_zst.build_record(i, f"http://h/{i}", f"body {i % 9} of a page, quite like the others".encode() * 9, None, "t") for i in range(400)]
     blob = warc_zst.encode_file(records)
