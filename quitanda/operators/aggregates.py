@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quitanda.functions.dates import month_label
 from quitanda.functions.money import MONEY, TOTAL, mean_of, percent_of
 from quitanda.operators.ranking import running_sum
-from quitanda.operators.rows import union_all
 from quitanda.session import materialize
 
 VALUE = "valor_total"
@@ -170,22 +169,26 @@ def melt(one: DataFrame, name: str, value: str) -> DataFrame:
     return one.select(F.explode(pairs).alias("p")).select("p.*")
 
 
-def quartiles(df: DataFrame, col: str) -> DataFrame:
-    """Exact quartiles with linear interpolation.
+def quartiles(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Exact quartiles with linear interpolation, one row per column that has a value.
 
-    Rows are counted per value first, so a value held by most rows is one row in the sort.
+    Rows are counted per column and value first, so a value held by most rows is one row in the sort, and
+    all columns share the pass, the sort and the running sum.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(
-        F.count("*").alias("n"))
-    run = running_sum(counts, [F.asc("v")], "n", "upto", "total", "_pos")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("coluna"), F.col(c).cast("double").alias("v")) for c in cols]))
+    counts = df.select(pairs.alias("p")).select("p.*").where("v IS NOT NULL").groupBy("coluna", "v").agg(F.count("*").alias("n"))
+    run = running_sum(counts, [F.asc("coluna"), F.asc("v")], "n", "upto", "_all", "_pos")
+    ends = run.groupBy("coluna").agg(F.min(F.col("upto") - F.col("n")).alias("base"), F.max("upto").alias("last"))
+    run = run.join(F.broadcast(ends), "coluna").select(  # one row per column
+        "coluna", "v", "n", (F.col("upto") - F.col("base")).alias("upto"), (F.col("last") - F.col("base")).alias("total"))
     at = {p: F.lit(q) * (F.col("total") - 1) for p, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))}
 
     def value_at(row: Column) -> Column:
         return F.max(F.when((F.col("upto") > row) & (F.col("upto") - F.col("n") <= row), F.col("v")))
 
-    return run.agg(*[
+    return run.groupBy("coluna").agg(*[
         (value_at(F.floor(pos)) + (value_at(F.ceil(pos)) - value_at(F.floor(pos))) * F.max(pos - F.floor(pos)))
-        .alias(p) for p, pos in at.items()]).withColumn("coluna", F.lit(col))
+        .alias(p) for p, pos in at.items()])
 
 
 def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -197,7 +200,7 @@ def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
             F.max(c).cast("double").alias("maximo"),
         ).alias(c) for c in cols])
     moments = melt(one, "coluna", "r").select("coluna", "r.*")
-    return moments.join(union_all([quartiles(df, c) for c in cols]), "coluna")
+    return moments.join(quartiles(df, cols), "coluna", "left")
 
 
 def profile_columns(df: DataFrame) -> DataFrame:

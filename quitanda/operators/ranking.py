@@ -64,6 +64,56 @@ def with_ntile(df: DataFrame, order: list[Column], tiles: int, name: str) -> Dat
     return numbered.withColumn(name, ntile_of(F.col("_pos"), F.col("_total"), tiles)).drop("_pos", "_total")
 
 
+def _first_rows(n: int, tiles: int) -> list[int]:
+    """1-based position of the first row of every tile but the first; tiles without rows are left out."""
+    small, bigger = divmod(n, tiles)
+    return [p for p in (t * small + min(t, bigger) + 1 for t in range(1, tiles)) if p <= n]
+
+
+def with_ntiles(df: DataFrame, tiles: int, key: str, **by: Column) -> DataFrame:
+    """SQL ``ntile`` over each of several orders; every name in ``by`` is given to a tile, its value orders the rows,
+    rows of one value follow ``key``, which is unique. Nulls come first; negate a value to turn its order.
+
+    Nothing but the values is sorted: they are counted, for all orders in one pass, and the counts tell in which
+    value each tile begins. Only the keys of those values (``tiles - 1`` an order) are numbered. The first rows of
+    the tiles are literals, so the rows themselves are written once and not shuffled.
+    """
+    if not by:
+        return df
+    names, fresh = list(by), {f"_by_{i}": v for i, v in enumerate(by.values())}
+    kept = materialize(df.withColumns(fresh), "ntiles")
+    n = kept.count()
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("v")) for i, c in enumerate(fresh)])
+    values = kept.select(key, F.explode(sides).alias("s")).select(key, "s.*")
+    run = running_sum(values.groupBy("side", "v").agg(F.count("*").alias("n")), [F.asc("side"), F.asc_nulls_first("v")], "n", "upto", "_all", "_pos")
+    starts = [(i, i * n + p) for i in range(len(names)) for p in _first_rows(n, tiles)]
+    if starts:
+        within = F.array(*[F.lit(p).cast("long") for _, p in starts])
+        cut = run.select("side", "v", "n", (F.col("upto") - F.col("n")).alias("before"),
+                         F.filter(within, lambda p: (p > F.col("upto") - F.col("n")) & (p <= F.col("upto"))).alias("starts"))
+        cut = cut.where(F.size("starts") > 0).orderBy("side", F.asc_nulls_first("v")).collect()  # at most one row a start
+    else:
+        cut = []
+    bounds: list[list[Column]] = [[] for _ in names]
+    if cut:
+        kind = values.schema["v"].dataType
+        which = F.lit(None).cast("int")
+        wanted, total = {}, 0
+        for c, r in enumerate(cut):
+            which = F.when((F.col("side") == r.side) & F.col("v").eqNullSafe(F.lit(r.v).cast(kind)), c).otherwise(which)
+            wanted |= {total + p - r.before: c for p in r.starts}
+            total += r.n
+        tied = number_rows(values.select(which.alias("cut"), key).where("cut IS NOT NULL"), [F.asc("cut"), F.asc_nulls_first(key)], "_place", label="ntiles-cut")
+        for r in tied.where(F.col("_place").isin(list(wanted))).orderBy("_place").collect():
+            at = cut[r.cut]
+            bounds[at.side].append(F.struct(F.lit(at.v).cast(kind).alias("v"), F.lit(r[key]).cast(kept.schema[key].dataType).alias("k")))
+    tile = {}
+    for i, name in enumerate(names):
+        row = F.struct(F.col(f"_by_{i}").cast(values.schema["v"].dataType).alias("v"), F.col(key).alias("k"))
+        tile[name] = sum(((row >= b).cast("int") for b in bounds[i]), F.lit(1))
+    return kept.withColumns(tile).drop(*fresh)
+
+
 def running_sum(df: DataFrame, order: list[Column], value: str, running: str, total: str,
                 position: str, rows: str | None = None) -> DataFrame:
     """Running and grand total of ``value`` in the given order, the row position and, if named,

@@ -3,7 +3,7 @@
 import statistics
 
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from quitanda.operators import aggregates, ranking, windows
 
@@ -47,6 +47,28 @@ def test_running_sum(spark):
     assert {r.total for r in got} == {acc}
 
 
+def test_ntiles_of_several_orders_against_windows(spark):
+    for n in (0, 1, 3, 7, 1003):
+        df = spark.range(n).select(
+            F.concat(F.lit("k"), (F.col("id") * 7919 % 1009).cast("string")).alias("k"), F.col("id").cast("int").alias("few"),
+            F.when(F.col("id") % 3 > 0, 5).otherwise(F.col("id") % 4).alias("hot"),
+            F.when(F.col("id") % 5 > 0, (F.col("id") % 13).cast("decimal(12,2)")).alias("gaps"))
+        got = ranking.with_ntiles(df, 5, "k", a=-F.col("few"), b=F.col("hot"), c=F.col("gaps"), d=F.lit(1))
+        w = {"a": [F.desc("few")], "b": [F.asc("hot")], "c": [F.asc_nulls_first("gaps")], "d": []}
+        want = df.withColumns({c: F.ntile(5).over(Window.orderBy(*o, F.asc("k"))) for c, o in w.items()})
+        assert sorted(got.collect(), key=str) == sorted(want.select(*got.columns).collect(), key=str)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quartiles_of_several_columns(spark):
+    df = skewed(spark, 1001).select("*", (-F.col("id")).alias("w"), F.when(F.col("id") == 4, 2.5).alias("one"), F.lit(None).cast("int").alias("none"))
+    got = {r.coluna: (r.p25, r.p50, r.p75, r.contagem) for r in aggregates.numeric_summary(df, ["v", "w", "one", "none"]).collect()}
+    values = df.collect()
+    for c in ("v", "w"):
+        assert got[c] == (*statistics.quantiles(sorted(r[c] for r in values), n=4, method="inclusive"), 1001)
+    assert got["one"] == (2.5, 2.5, 2.5, 1) and got["none"] == (None, None, None, 0)
+
+
 def test_quartiles(spark):
     df = skewed(spark, 1001)
     values = sorted(r.v for r in df.collect())
