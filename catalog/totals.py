@@ -12,6 +12,7 @@ from catalog.registry import (
 from catalog.tables import events, fact, order_calendar, sales, star_customers, table
 from quitanda.functions.money import MONEY
 from quitanda.operators import aggregates as agg
+from quitanda.operators.rows import union_all
 from quitanda.plans import marts
 from quitanda.plans.daily import daily_aggregates
 
@@ -92,7 +93,7 @@ def daily_job_rows(spark, sf):
     """Row counts of the daily job's outputs."""
     out = daily_aggregates(sales(spark, sf, "data_venda", "uf", "valor_total", "cpf_cliente", "categoria_valor"))
     counted = [df.agg(F.lit(k).alias("agregacao"), F.count("*").alias("linhas")) for k, df in out.items()]
-    return agg.union_all(counted)
+    return union_all(counted)
 
 
 @query("channel_totals", f"""WITH {SALES} SELECT canal_venda, COUNT(id_pedido) AS qtd_vendas, {total_sql('valor_total')} AS receita_total,

@@ -1,8 +1,14 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import ast
+import importlib
+import pkgutil
+from types import ModuleType
+
 import pytest
 
 import __spark_entry__ as entry
+import catalog
 from tests.oracle import connect, difference
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +36,14 @@ def test_entry_is_lazy_and_has_rows(spark):
 
 def test_every_oracle_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", [m.name for m in pkgutil.iter_modules(catalog.__path__, "catalog.")])
+def test_names_of_modules_exist(name):
+    """A query that asks a module for a name it lacks fails only when it runs."""
+    module = importlib.import_module(name)
+    with open(module.__file__) as source:
+        asked = [n for n in ast.walk(ast.parse(source.read())) if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name)]
+    held = vars(module)
+    assert [f"{n.value.id}.{n.attr}" for n in asked
+            if isinstance(held.get(n.value.id), ModuleType) and not hasattr(held[n.value.id], n.attr)] == []
