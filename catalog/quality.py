@@ -12,7 +12,7 @@ from quitanda.operators import alerts, quality as dq, validation as val
 from quitanda.operators.rows import any_row
 from quitanda.functions.money import parse_money
 from quitanda.schemas import SALE_COLUMNS
-from quitanda.session import scratch_path
+from quitanda.session import materialize, scratch_path
 from quitanda.sources.arrivals import csv_arrivals, read_sales, validate_arrivals
 from quitanda.sources.sinks import quarantine
 
@@ -294,7 +294,8 @@ def dataset_of_path(spark, sf):
 id_venda, cpf_cliente, valor_total, data_venda FROM a""")
 def quarantine_sales(spark, sf):
     path = scratch_path(spark, "quarentena")
-    found = val.with_findings(_arrived(spark, sf), val.SPECS["vendas"]).drop("avisos")
+    # written, as every batch and its clean rows read the checked sales again
+    found = materialize(val.with_findings(_arrived(spark, sf), val.SPECS["vendas"]).drop("avisos"), "vendas-conferidas")
     for _ in range(2):  # a rerun replaces its batch
         good = quarantine(found, path, "B1")
     kept = ("id_venda", "cpf_cliente", "valor_total", "data_venda")

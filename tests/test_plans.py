@@ -89,3 +89,8 @@ def test_share_uses_a_scalar_subquery(spark):
     by = table(spark, SF, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
     text = plan(share_of_total(by, "n", "pct"))
     assert "Subquery" in text and "Window" not in text
+
+
+def test_checked_sales_are_joined_once(spark):
+    """Two batches set aside and the clean rows read what was written, not the tables again."""
+    assert "lineitem" not in plan(entry.queries()["quarantine_sales"](spark, SF))
