@@ -6,9 +6,11 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from quitanda.functions.dates import weekday_english
 from quitanda.plans import marts, nightly, sales, sql
 from quitanda.schemas import SALE_COLUMNS
 from quitanda.session import LakePaths
+from quitanda.sources import files
 
 
 def put(folder, name, text):
@@ -192,3 +194,19 @@ def test_whole_range_is_that_of_the_orders(spark, tmp_path):
     run = chain.whole_range(spark, str(tmp_path))
     assert (run.start, run.end, run.now) == (date(1995, 3, 4), date(2001, 12, 31), datetime(2002, 1, 1, 3))
     assert not any("1998" in ORACLES[f"nightly_{x}"] for x in ("marts", "report"))
+
+
+def test_landing_days_are_looked_up_as_text_before_the_pattern(spark):
+    paths = ["s3a://x/ano=2024/mes=01/dia=10/f.csv", "s3a://x/ano=2024/mes=01/dia=11/a/f.csv", "s3a://x/ano=2024/mes=02/dia=10/f.csv", "s3a://x/f.csv", None,
+             "s3a://x/ano=2023/mes=12/dia=31/a/ano=2024/mes=01/dia=10/f.csv"]  # the first day counts
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    for first, last, want in ((date(2024, 1, 10), date(2024, 1, 11), [True, True, False, False, False, False]),
+                              (date(2023, 12, 1), date(2024, 12, 31), [True, True, True, False, False, True])):
+        assert [r[0] for r in df.select(files.landed_between(F.col("p"), first, last)).collect()] == want
+    plan = df.where(~files.landed_between(F.col("p"), date(2024, 1, 10), date(2024, 1, 10)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Contains") < plan.index("regexp_extract")
+
+
+def test_weekday_names(spark):
+    got = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-08')) AS d UNION ALL SELECT NULL")
+    assert got.where(~weekday_english(F.col("d")).eqNullSafe(F.date_format("d", "EEEE"))).count() == 0
