@@ -11,7 +11,7 @@ from quitanda.sources.versions import Versions
 VERSIONED = {"dw": ("dim_clientes", "dim_produto", "dim_tempo"), "dm": ("dm_top_clientes",)}
 PLAIN = {"staging": ("stg_clientes",), "dw": ("fato_vendas",),
          "dm": ("dm_vendas_diarias", "dm_vendas_canal")}
-PARTITION = {"fato_vendas": "dia DATE", "dm_vendas_diarias": "dia DATE", "dm_vendas_canal": "ano_mes INT"}
+PARTITION = {"fato_vendas": "dia DATE", "dm_vendas_diarias": "ano_mes INT", "dm_vendas_canal": "ano_mes INT"}
 
 VIEWS = {
     "vw_kpis_mes_atual": """

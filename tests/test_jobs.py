@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quitanda.plans import customers, daily, sales
+from quitanda.session import conf
 from quitanda.sources import files, sinks
 from quitanda.sources.arrivals import csv_arrivals, read_sales, validate_arrivals
 
@@ -178,3 +179,27 @@ def test_months_past_the_limit_go_as_folders(spark, rows, tmp_path):
     after = written()
     assert sum(f in before and before[f] == t for f, t in after.items()) == 2  # March and the undated row
     assert sinks.expire_months(spark, out, "d", date(2024, 2, 10)) == [] and written() == after
+
+
+def test_a_large_write_makes_few_files_a_folder(spark, tmp_path):
+    with conf(spark, spark__sql__adaptive__advisoryPartitionSizeInBytes="256KB"):
+        day = F.date_add(F.lit(date(2024, 1, 1)), (F.col("id") % 200).cast("int"))
+        big = spark.range(100_000, numPartitions=16).select(day.alias("d"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+        got = sinks.replace_days(big, str(tmp_path / "t"), "d", date(2024, 1, 1), date(2024, 7, 18))
+    assert got.count() == 100_000 and got.select("dia").distinct().count() == 200
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) < 400
+
+
+def test_days_replaced_in_months(spark, rows, tmp_path):
+    out, ddl = str(tmp_path / "t"), "n int, d date"
+    days = [date(2024, 1, 30), date(2024, 1, 31), date(2024, 2, 1), date(2024, 2, 2), date(2024, 3, 1), date(2023, 12, 31)]
+    first = sinks.replace_days_in_months(rows([(i, d) for i, d in enumerate(days)], ddl), out, "d", days[0], days[0])
+    assert first.count() == 6
+    untouched = {f: f.stat().st_mtime_ns for m in (202312, 202403) for f in (tmp_path / "t" / f"ano_mes={m}").glob("*.parquet")}
+    for _ in range(2):  # a repeat changes nothing; 1 February has no rows any more
+        got = sinks.replace_days_in_months(rows([(9, days[1])], ddl), out, "d", days[1], days[2])
+        assert sorted((r.n, r.d, r.ano_mes) for r in got.collect()) == [
+            (0, days[0], 202401), (3, days[3], 202402), (4, days[4], 202403), (5, days[5], 202312), (9, days[1], 202401)]
+    assert len(untouched) == 2 and all(f.stat().st_mtime_ns == t for f, t in untouched.items())
+    got = sinks.replace_days_in_months(rows([], ddl), out, "d", days[4], days[4])  # a month without rows goes
+    assert sorted(r.n for r in got.collect()) == [0, 3, 5, 9] and not (tmp_path / "t" / "ano_mes=202403").exists()
