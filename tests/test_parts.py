@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog import files as catalog_files
 from quitanda import session
-from quitanda.plans import sales
+from quitanda.plans import nightly, sales
 from quitanda.session import conf
 from quitanda.sources import sinks
 
@@ -110,3 +110,12 @@ def test_raw_sales_are_written_in_parts_and_compressed(spark, monkeypatch):
     text = spark.read.option("header", True).csv(catalog_files.raw_sales(spark, sf))
     assert sorted(int(r[0]) for r in text.select("id_pedido").collect()) == whole
     assert all(f.endswith(".csv.gz") for f in text.inputFiles())
+
+
+def test_spans_hold_every_day(spark, monkeypatch):
+    days = ["2024-01-02", "2024-01-02", "2024-01-05", "2024-01-06", "2024-01-09"]
+    sold = spark.createDataFrame([(d,) for d in days], "d string").select(F.col("d").cast("timestamp").alias("data_venda"))
+    start, end = date(2024, 1, 1), date(2024, 1, 31)
+    assert nightly.spans(sold, start, end) == [(start, end)] == nightly.spans(sold.limit(0), start, end)
+    monkeypatch.setattr(session, "ROWS_AT_ONCE", 2)
+    assert nightly.spans(sold, start, end) == [(start, date(2024, 1, 4)), (date(2024, 1, 5), date(2024, 1, 8)), (date(2024, 1, 9), end)]
