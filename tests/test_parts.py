@@ -1,7 +1,9 @@
 """Large jobs done in parts: same results, nothing left behind."""
 
 import gzip
-from datetime import date
+import json
+import shutil
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,7 +117,31 @@ def test_raw_sales_are_written_in_parts_and_compressed(spark, monkeypatch):
 def test_spans_hold_every_day(spark, monkeypatch):
     days = ["2024-01-02", "2024-01-02", "2024-01-05", "2024-01-06", "2024-01-09"]
     sold = spark.createDataFrame([(d,) for d in days], "d string").select(F.col("d").cast("timestamp").alias("data_venda"))
-    start, end = date(2024, 1, 1), date(2024, 1, 31)
-    assert nightly.spans(sold, start, end) == [(start, end)] == nightly.spans(sold.limit(0), start, end)
+    start, end, day = date(2024, 1, 1), date(2024, 1, 31), F.to_date("data_venda")
+    assert nightly.spans(sold, day, start, end) == [(start, end)] == nightly.spans(sold.limit(0), day, start, end)
     monkeypatch.setattr(session, "ROWS_AT_ONCE", 2)
-    assert nightly.spans(sold, start, end) == [(start, date(2024, 1, 4)), (date(2024, 1, 5), date(2024, 1, 8)), (date(2024, 1, 9), end)]
+    assert nightly.spans(sold, F.trunc(day, "month"), start, end) == [(start, end)]
+    assert nightly.spans(sold, day, start, end) == [(start, date(2024, 1, 4)), (date(2024, 1, 5), date(2024, 1, 8)), (date(2024, 1, 9), end)]
+
+
+def test_star_and_marts_in_spans(spark, tmp_path, monkeypatch):
+    """Days next to each other, in two months, and a day without sales: as in one go."""
+    folder = tmp_path / "raw" / "clientes"
+    folder.mkdir(parents=True)
+    people = [{"cpf": f"{n:011d}", "nome": f"P {n}", "uf": "SP", "segmento_cliente": "B2C", "data_cadastro": "2024-01-01"} for n in (1, 2)]
+    (folder / "c.json").write_text(json.dumps({"clientes": people}))
+    days = ["2024-01-30", "2024-01-31", "2024-01-31", "2024-02-01", "2024-02-03"]
+    head = "id_venda,id_pedido,cpf_cliente,data_venda,produto_id,produto_nome,categoria_produto,valor_total,custo,desconto,canal_venda,status_venda,forma_pagamento,quantidade"
+    put(tmp_path / "raw" / "vendas", 0, [f"{i},{i},{i % 2 + 1:011d},{d},P{i},p,c,{i + 1}0.00,1,0,ECOMMERCE,CONCLUIDA,PIX,1" for i, d in enumerate(days)], head)
+    run = nightly.Run(datetime(2024, 2, 4, 3), date(2024, 1, 30), date(2024, 2, 3))
+    lake, found = session.LakePaths(str(tmp_path)), []
+    nightly.load_lake(spark, lake, run)
+    for rows in (session.ROWS_AT_ONCE, 1, 1):  # again over what is there
+        monkeypatch.setattr(session, "ROWS_AT_ONCE", rows)
+        star = nightly.load_star(spark, lake, run)
+        tables = star | nightly.load_marts(spark, lake, star, run)
+        found.append({n: sorted(map(repr, t.select(sorted(t.columns)).collect())) for n, t in tables.items()})
+        lake = lake if rows == 1 else session.LakePaths(str(tmp_path / "again"))
+        if rows > 1:
+            shutil.copytree(tmp_path / "processed", tmp_path / "again" / "processed")
+    assert found[0] == found[1] == found[2] and len(found[0]["dm_vendas_diarias"]) == 4 and len(found[0]["dm_vendas_canal"]) == 2
